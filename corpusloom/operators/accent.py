@@ -15,9 +15,9 @@ from .. import constants as K
 from ..functions import text as T
 from .ordinal import with_ordinal
 
-# A one-row map column is broadcast into every task; above this many entries the replacement
-# switches to the token join below, which has no size limit.
-MAP_BROADCAST_MAX_ENTRIES = 20000
+# The replacement map (at most `cutoff` rows) is broadcast up to this many entries; above it the
+# lookup becomes a shuffle join of word runs, which has no size limit.
+MAP_BROADCAST_MAX_ENTRIES = 200_000
 # Word lists up to this many rows are broadcast for the hit count; larger ones shuffle-join
 # (AQE's skew-join handling splits hot words).
 LIST_BROADCAST_MAX_ROWS = 2_000_000
@@ -69,35 +69,37 @@ def top_words(split: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE) -> DataFrame:
 
 
 def replacement_map(ranked: DataFrame) -> DataFrame:
-    """One row holding map<anglicised, accented> of the entries inside the cut-off."""
-    entries = ranked.where("in_map").select(F.struct("anglicised", "accented").alias("e"))
-    return entries.agg(F.map_from_entries(F.collect_list("e")).alias("accent_map"))
+    """(run, accented) for the entries inside the cut-off."""
+    return ranked.where("in_map").select(F.col("anglicised").alias("run"), "accented")
 
 
 def replace_accents(df: DataFrame, ranked: DataFrame, cutoff: int, text_col: str, out_col: str,
                     key: str = "pair_id") -> DataFrame:
-    """Op 26: whole-word replacement of anglicised words by their accented spelling."""
-    if cutoff <= MAP_BROADCAST_MAX_ENTRIES:
-        m = F.broadcast(replacement_map(ranked))
-        return (df.crossJoin(m)
-                  .withColumn(out_col, T.replace_words(text_col, F.col("accent_map")))
-                  .drop("accent_map"))
-    return _replace_by_join(df, ranked, text_col, out_col, key)
-
+    """Op 26: whole-word replacement of anglicised words by their accented spelling.
 
-def _replace_by_join(df: DataFrame, ranked: DataFrame, text_col: str, out_col: str, key: str) -> DataFrame:
-    """Unbounded map: word runs joined to the map table, then re-assembled per row."""
+    The text is cut into word / non-word runs (``posexplode``), each run is looked up with a hash
+    join, and the runs are put back together per row. The map has at most ``cutoff`` rows, so up to
+    MAP_BROADCAST_MAX_ENTRIES it is broadcast and the runs are never shuffled for the lookup (a
+    shuffle by run would put every single-space run in one task). Beyond that bound only word runs
+    take part in a shuffle join, where AQE's skew-join handling splits hot words.
+    """
     runs = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(T.WORD_RUNS), 0))
                      .alias("run_pos", "run"))
-    entries = ranked.where("in_map").select(F.col("anglicised").alias("run"), "accented")
-    swapped = (runs.join(entries, "run", "left")
-                   .select(key, "run_pos", F.coalesce("accented", "run").alias("run")))
+    entries = replacement_map(ranked)
+    if cutoff <= MAP_BROADCAST_MAX_ENTRIES:
+        swapped = runs.join(F.broadcast(entries), "run", "left")
+    else:
+        is_word = F.col("run").rlike(r"^[\p{L}\p{N}_]")
+        swapped = (runs.where(is_word).join(entries, "run", "left")
+                       .unionByName(runs.where(~is_word).withColumn("accented", F.lit(None).cast("string"))))
+    swapped = swapped.select(key, "run_pos", F.coalesce("accented", "run").alias("run"))
     rebuilt = (swapped.groupBy(key)
                       .agg(F.array_sort(F.collect_list(F.struct("run_pos", "run"))).alias("runs"))
                       .select(key, F.array_join(F.transform("runs", lambda r: r["run"]), "").alias(out_col)))
     out = df.join(rebuilt, key, "left")
-    return out.withColumn(out_col, F.when(F.col(text_col).isNull(), F.lit(None))
-                          .otherwise(F.coalesce(F.col(out_col), F.lit(""))))
+    # rows without any run (empty text) keep their text; NULL stays NULL
+    return out.withColumn(out_col, F.when(F.col(text_col).isNull(), F.lit(None).cast("string"))
+                          .otherwise(F.coalesce(F.col(out_col), F.col(text_col))))
 
 
 def word_list_hits(df: DataFrame, words: DataFrame, text_col: str, out_col: str,

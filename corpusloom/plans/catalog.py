@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import constants as K
 from ..functions import text as T
@@ -128,7 +129,7 @@ def q_append_sweep(spark, sf):
     first = [m["model"] for m in K.MODEL_REGISTRY[:2]]
     IO.append_sweep_results(trials.where(F.col("model").isin(first)), path)
     IO.append_sweep_results(trials.where(~F.col("model").isin(first)), path)
-    schema = IO.SWEEP_SCHEMA.add("model", "string")
+    schema = StructType(IO.SWEEP_SCHEMA.fields + [StructField("model", StringType())])
     return spark.read.schema(schema).options(**IO.CSV_OPTIONS).csv(path)
 
 
