@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from .ordinal import with_ordinal
+from .sizing import broadcast_if_small
 
 # The replacement map (at most `cutoff` rows) is broadcast up to this many entries; above it the
 # lookup becomes a shuffle join of word runs, which has no size limit.
@@ -104,17 +105,23 @@ def replace_accents(df: DataFrame, ranked: DataFrame, cutoff: int, text_col: str
 
 def word_list_hits(df: DataFrame, words: DataFrame, text_col: str, out_col: str,
                    key: str = "pair_id", broadcast_words: bool | None = None) -> DataFrame:
-    """Op 27: whitespace tokens of ``text_col`` that are in ``words`` (duplicates count).
+    """Op 27: whitespace tokens of ``text_col`` that are in ``words`` (duplicates count)."""
+    return word_lists_hits(df, {out_col: words}, text_col, key, broadcast_words)
 
-    Tokens are joined to the word list, counted per row, and joined back with 0 for no hits.
-    Whether the list is broadcast is decided from its row count unless forced.
-    """
-    wl = words.select(F.col("word").alias("token")).distinct()
-    if broadcast_words is None:
-        broadcast_words = wl.count() <= LIST_BROADCAST_MAX_ROWS
-    if broadcast_words:
-        wl = F.broadcast(wl)
+
+def word_lists_hits(df: DataFrame, lists: dict[str, DataFrame], text_col: str, key: str = "pair_id",
+                    broadcast_words: bool | None = None) -> DataFrame:
+    """Op 27 for several word lists in one pass: tokens are exploded once, tagged by each list
+    (broadcast when the list's row count is within the bound, else a shuffle join with AQE skew
+    handling), counted per row with one aggregate, and joined back with 0 for no hits."""
     toks = df.select(key, F.explode(T.whitespace_tokens(text_col)).alias("token"))
-    counts = toks.join(wl, "token", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(out_col))
-    return (df.join(counts, key, "left")
-              .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0)).cast("long")))
+    for name, words in lists.items():
+        wl = words.select(F.col("word").alias("token")).distinct().withColumn(f"_in_{name}", F.lit(1))
+        if broadcast_words is None:
+            wl = broadcast_if_small(wl, LIST_BROADCAST_MAX_ROWS)
+        elif broadcast_words:
+            wl = F.broadcast(wl)
+        toks = toks.join(wl, "token", "left")
+    counts = toks.groupBy(key).agg(*[F.count(f"_in_{name}").alias(name) for name in lists])
+    out = df.join(counts, key, "left")
+    return out.withColumns({name: F.coalesce(F.col(name), F.lit(0)).cast("long") for name in lists})

@@ -4,7 +4,8 @@
 
 1. range-partition on (groups..., order...) and sort inside each partition;
 2. tag rows with ``monotonically_increasing_id`` (partition index in the high bits, position in
-   the partition in the low bits) and checkpoint, which pins partition contents for the reuse below;
+   the partition in the low bits) and write the tagged rows to the shared checkpoint folder, which
+   pins the tags for the two reads below (and for task retries);
 3. per (partition, group): first tag and row count; this table has at most partitions x groups
    rows, so it is small by construction and safe to broadcast;
 4. a running sum over that small table gives each (partition, group) its offset;
@@ -21,21 +22,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, default_parallelism
+from ..session import materialize
 
 _LOW_BITS = 33
 
 
 def with_ordinal(df: DataFrame, order: Sequence[Column | str], out_col: str = "ordinal",
                  groups: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or default_parallelism(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     group_cols = [F.col(g) for g in groups]
-    ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
-                .sortWithinPartitions(*group_cols, *order_cols)
-                .withColumn("_tag", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)
+    # without an explicit count the range exchange follows spark.sql.shuffle.partitions and AQE
+    # may coalesce it; the ordinals do not depend on the partition count
+    if num_partitions:
+        ranged = df.repartitionByRange(num_partitions, *group_cols, *order_cols)
+    else:
+        ranged = df.repartitionByRange(*group_cols, *order_cols)
+    ranged = ranged.sortWithinPartitions(*group_cols, *order_cols) \
+                   .withColumn("_tag", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ordinal")
     stats = (ranged.groupBy(F.shiftright(F.col("_tag"), _LOW_BITS).alias("_part"), *group_cols)
                    .agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

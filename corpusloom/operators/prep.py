@@ -14,10 +14,13 @@ from pyspark.sql import types as Ty
 from .. import constants as K
 from ..functions import text as T
 from .ordinal import with_ordinal
+from .sizing import broadcast_if_small
 
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 LANG_IDS = {"en": 3, "fr": 4}
 FIRST_WORD_ID = 5
+# vocabularies up to this many words are broadcast for the id lookup; larger ones shuffle-join
+VOCAB_BROADCAST_MAX_ROWS = 2_000_000
 
 
 def bidirectional(pairs: DataFrame) -> DataFrame:
@@ -84,26 +87,32 @@ def word_vocabulary(records: DataFrame) -> DataFrame:
     return ranked.select("token", (F.col("rank") + FIRST_WORD_ID).alias("token_id"))
 
 
-def _ids_per_record(records: DataFrame, vocab: DataFrame, side: str, max_len: int) -> DataFrame:
-    toks = records.select("record_id", F.posexplode(T.whitespace_tokens(T.py_strip(side))).alias("pos", "token"))
-    ided = (toks.join(vocab, "token", "left")
-                .select("record_id", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
-    seq = (ided.groupBy("record_id")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s")))
-    ids = F.transform("_s", lambda s: s["token_id"].cast("int"))
-    return seq.select("record_id", F.concat(F.slice(ids, 1, max_len - 1), F.array(F.lit(EOS_ID))).alias(side))
-
-
 def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int = K.MAX_SOURCE_LEN,
                      max_target_len: int = K.MAX_TARGET_LEN) -> DataFrame:
     """Strip, tokenise source -> input_ids and target -> labels, truncate (end token included),
-    drop empty targets; the m2m100-style per-row decoder inputs start with the target language id."""
+    drop empty targets; the m2m100-style per-row decoder inputs start with the target language id.
+
+    Both sides are exploded together, looked up in one join (the vocabulary is broadcast when its
+    row count is within the bound, else shuffle-joined with AQE skew handling for hot words), and
+    re-assembled with a single group-by on record_id: one shuffle of the tokens.
+    """
     valid = records.where(F.length(T.py_strip("target")) > 0)
-    src = _ids_per_record(valid, vocab, "source", max_source_len).withColumnRenamed("source", "input_ids")
-    tgt = _ids_per_record(valid, vocab, "target", max_target_len).withColumnRenamed("target", "labels")
-    base = valid.select("record_id", "source_lang")
-    out = base.join(src, "record_id", "left").join(tgt, "record_id", "inner")
-    out = out.withColumn("input_ids", F.coalesce("input_ids", F.array(F.lit(EOS_ID))))
+    sides = F.array(F.struct(F.lit(0).alias("side"), T.whitespace_tokens(T.py_strip("source")).alias("toks")),
+                    F.struct(F.lit(1).alias("side"), T.whitespace_tokens(T.py_strip("target")).alias("toks")))
+    per_side = valid.select("record_id", "source_lang", F.inline(sides))
+    toks = per_side.select("record_id", "source_lang", "side", F.posexplode("toks").alias("pos", "token"))
+    ided = (toks.join(broadcast_if_small(vocab, VOCAB_BROADCAST_MAX_ROWS), "token", "left")
+                .select("record_id", "source_lang", "side", "pos",
+                        F.coalesce("token_id", F.lit(UNK_ID)).cast("int").alias("token_id")))
+    grouped = (ided.groupBy("record_id", "source_lang")
+                   .agg(F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_s")))
+
+    def ids(side: int, max_len: int):
+        picked = F.transform(F.filter("_s", lambda t: t["side"] == side), lambda t: t["token_id"])
+        return F.concat(F.slice(picked, 1, max_len - 1), F.array(F.lit(EOS_ID)))
+
+    out = grouped.select("record_id", "source_lang", ids(0, max_source_len).alias("input_ids"),
+                         ids(1, max_target_len).alias("labels"))
     lang_id = F.when(F.col("source_lang") == "fr", F.lit(LANG_IDS["en"])).otherwise(F.lit(LANG_IDS["fr"]))
     shifted = F.transform(F.slice("labels", 1, F.size("labels") - 1),
                           lambda t: F.when(t == K.LABEL_PAD_ID, F.lit(PAD_ID)).otherwise(t))

@@ -299,8 +299,7 @@ def q_token_list_hits(spark, sf):
     ambiguous = c.accent_mapping().where(F.col("form_rank") > 1).select(F.col("anglicised").alias("word"))
     real = c.lexicon_split().where("in_lexicon").select(F.col("anglicised").alias("word"))
     f = c.features().select("pair_id", "fr", F.col("potential_fr_accent_issues").alias("uncommon_hits"))
-    f = A.word_list_hits(f, ambiguous, "fr", "ambiguous_hits")
-    f = A.word_list_hits(f, real, "fr", "real_word_hits")
+    f = A.word_lists_hits(f, {"ambiguous_hits": ambiguous, "real_word_hits": real}, "fr")
     return f.select("pair_id", "ambiguous_hits", "real_word_hits", "uncommon_hits")
 
 

@@ -7,8 +7,9 @@ pairs -> features (ratios, annotation counts, one-character words; pre-repair te
 Stage order matters: ratios and one-character counts are computed before any repair and never
 recomputed, while the figure, date and accent checks see the repaired French.
 
-Stages are checkpointed into the shared checkpoint folder (the Spark counterpart of the original's
-pickle after each script) and memoised per session, so every query over the same data reuses them.
+Stages are written as Parquet tables into the shared checkpoint folder (the Spark counterpart of the
+original's pickle after each script) and memoised per session, so every query over the same data
+reuses them, with column pruning and pushdown into each stage.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..operators import accent as A
 from ..operators import gates as G
-from ..session import cut_lineage
+from ..session import materialize
 from . import fixtures as X
 
 VERB_RE = r"(?d)(ing|ed|er)([ .,;!?]|$)"
@@ -69,30 +70,30 @@ class Curation:
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
 
-    def _stage(self, name: str, build) -> DataFrame:
+    def stage(self, name: str, build) -> DataFrame:
         if name not in self._memo:
-            self._memo[name] = cut_lineage(build())
+            self._memo[name] = materialize(build(), f"stage-{name}")
         return self._memo[name]
 
     # -- stages ---------------------------------------------------------------------------------
     def pairs(self) -> DataFrame:
-        return self._stage("pairs", lambda: X.derive_pairs(self.spark, self.sf_dir))
+        return self.stage("pairs", lambda: X.derive_pairs(self.spark, self.sf_dir))
 
     def lexicon(self) -> DataFrame:
-        return self._stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
+        return self.stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
 
     def features_pre(self) -> DataFrame:
-        return self._stage("features_pre", lambda: feature_columns(self.pairs()))
+        return self.stage("features_pre", lambda: feature_columns(self.pairs()))
 
     def accent_mapping(self) -> DataFrame:
-        return self._stage("accent_mapping",
+        return self.stage("accent_mapping",
                            lambda: A.accent_mapping(A.accent_counts(self.features_pre(), "fr_apos")))
 
     def lexicon_split(self) -> DataFrame:
         return A.lexicon_split(self.accent_mapping(), self.lexicon())
 
     def vocabulary(self) -> DataFrame:
-        return self._stage("vocabulary", lambda: A.top_words(self.lexicon_split(), self.cutoff))
+        return self.stage("vocabulary", lambda: A.top_words(self.lexicon_split(), self.cutoff))
 
     def uncommon_words(self) -> DataFrame:
         return self.vocabulary().where(~F.col("in_map")).select(F.col("anglicised").alias("word"))
@@ -102,10 +103,10 @@ class Curation:
         def build():
             fixed = A.replace_accents(self.features_pre(), self.vocabulary(), self.cutoff, "fr_apos", "fr")
             return A.word_list_hits(fixed, self.uncommon_words(), "fr", "potential_fr_accent_issues")
-        return self._stage("features", build)
+        return self.stage("features", build)
 
     def gated(self) -> DataFrame:
-        return self._stage("gated", lambda: G.add_gate_columns(self.features()))
+        return self.stage("gated", lambda: G.add_gate_columns(self.features()))
 
 
 _SESSIONS: dict[tuple[str, str, int], Curation] = {}

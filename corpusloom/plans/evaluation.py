@@ -1,7 +1,8 @@
 """Entries 2 and 3 of the original project: training-input preparation and translator evaluation,
 over tables Spark derives from the curated pairs and the driver's ``embeddings``.
 
-Fixture rules (also written in SQL in ``plans.catalog``):
+Fixture rules (also written in SQL in ``plans.oracle_eval``); the tables are checkpointed stages
+of the session's ``Curation``, shared by every query that reads them:
 * corpus: the bidirectional expansion of the pairs, record_id = 2 * pair_id + direction;
 * comparison: one English-to-French sample per pair x 4 translators; vectors are rows of
   ``embeddings`` picked by pair_id % N, (pair_id * 7 + 1) % N, (pair_id * 13 + k) % N;
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evalstats as E
 from ..operators import prep as P
 from ..operators import sampling as S
 from .curation import Curation
@@ -31,7 +31,7 @@ def corpus(c: Curation) -> DataFrame:
 
 
 def split_corpus(c: Curation) -> DataFrame:
-    return S.train_eval_split(corpus(c), "record_id")
+    return c.stage("split_corpus", lambda: S.train_eval_split(corpus(c), "record_id"))
 
 
 def embeddings(c: Curation) -> DataFrame:
@@ -40,6 +40,10 @@ def embeddings(c: Curation) -> DataFrame:
 
 
 def comparison(c: Curation) -> DataFrame:
+    return c.stage("comparison", lambda: _comparison(c))
+
+
+def _comparison(c: Curation) -> DataFrame:
     emb = embeddings(c)
     n = F.broadcast(emb.agg(F.count(F.lit(1)).alias("n_vec")))
     samples = (c.pairs().crossJoin(n)
@@ -79,6 +83,10 @@ def survey(c: Curation) -> DataFrame:
 
 
 def sweep(c: Curation) -> DataFrame:
+    return c.stage("sweep", lambda: _sweep(c))
+
+
+def _sweep(c: Curation) -> DataFrame:
     reg = P.registry(c.spark)
     grid = (reg.select("model", F.posexplode("lr_grid").alias("lr_index", "lr"), "r_grid", "dropout_grid")
                .select("model", "lr_index", "lr", F.posexplode("r_grid").alias("r_index", "lora_r"), "dropout_grid")
@@ -117,11 +125,13 @@ def tagged_records(c: Curation) -> DataFrame:
     return corpus(c).select("record_id", tagged.alias("text"))
 
 
+def vocabulary(c: Curation) -> DataFrame:
+    return c.stage("word_vocabulary", lambda: P.word_vocabulary(corpus(c)))
+
+
 def tokens(c: Curation) -> DataFrame:
-    recs = corpus(c)
-    vocab = P.word_vocabulary(recs)
-    return P.tokenize_records(recs, vocab)
+    return c.stage("tokens", lambda: P.tokenize_records(corpus(c), vocabulary(c)))
 
 
 def shuffled_split(c: Curation) -> DataFrame:
-    return S.seeded_shuffle(split_corpus(c), "record_id")
+    return c.stage("shuffled_split", lambda: S.seeded_shuffle(split_corpus(c), "record_id"))

@@ -6,7 +6,6 @@ unset *and* the master is local (tests, the bench) do we pick a fresh folder und
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -59,19 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared folder, survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def strip_file_scheme(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def local_file_size(path: str) -> int:
-    return os.path.getsize(strip_file_scheme(path))
+    Cuts the lineage like ``checkpoint()`` and survives executor loss, and unlike a checkpointed
+    RDD the stage keeps column pruning, predicate pushdown and file-size statistics for the
+    optimizer's broadcast decisions.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
