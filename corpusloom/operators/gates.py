@@ -90,14 +90,16 @@ def similarity_range(df: DataFrame, lo: float, hi: float, col: str = "similarity
     return df.where(F.col(col).between(F.lit(lo), F.lit(hi)))
 
 
-def restrict_language(corpus: DataFrame, registry: DataFrame) -> DataFrame:
+def restrict_language(corpus: DataFrame, models=K.MODEL_REGISTRY) -> DataFrame:
     """Op 50: each model keeps the records whose source language equals its restriction (if any).
 
-    The registry is a handful of rows (one per configured model), so it is broadcast.
+    Each record is fanned out to the configured models with a generate and filtered; no join.
     """
-    r = F.broadcast(registry.select("model", "restrict_source_language"))
-    cond = F.col("restrict_source_language").isNull() | (F.col("source_lang") == F.col("restrict_source_language"))
-    return corpus.join(r, cond, "inner").drop("restrict_source_language")
+    from .prep import registry_entries
+    fanned = corpus.select("*", F.explode(registry_entries(models)).alias("_m"))
+    restrict = F.col("_m.restrict_source_language")
+    return (fanned.where(restrict.isNull() | (F.col("source_lang") == restrict))
+                  .select(*corpus.columns, F.col("_m.model").alias("model")))
 
 
 def drop_invalid_examples(df: DataFrame) -> DataFrame:

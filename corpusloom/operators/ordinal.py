@@ -6,8 +6,9 @@
 2. tag rows with ``monotonically_increasing_id`` (partition index in the high bits, position in
    the partition in the low bits) and write the tagged rows to the shared checkpoint folder, which
    pins the tags for the two reads below (and for task retries);
-3. per (partition, group): first tag and row count; this table has at most partitions x groups
-   rows, so it is small by construction and safe to broadcast;
+3. per (partition, group): first tag and row count; since groups lead the range key, a partition
+   holds a contiguous run of groups, so this table has at most partitions + groups rows and is
+   broadcast (checked against a row bound);
 4. a running sum over that small table gives each (partition, group) its offset;
 5. ordinal = offset + (tag - first tag).
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .sizing import broadcast_if_small
 
 _LOW_BITS = 33
 

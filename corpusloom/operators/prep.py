@@ -7,7 +7,7 @@ A caller's own tokenizer plugs in through ``operators.plugins.tokenize_with``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -54,20 +54,32 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
 
 
-def route_language(records: DataFrame, reg: DataFrame) -> DataFrame:
+def registry_entries(models=K.MODEL_REGISTRY) -> Column:
+    """The registry as one literal array of structs. Fanning a record out to every model is then a
+    generate (``explode``) inside the record's own task, not a join."""
+    def entry(m):
+        lang_map = F.create_map(*[F.lit(x) for kv in m["language_map"].items() for x in kv])
+        return F.struct(F.lit(m["model"]).alias("model"),
+                        F.lit(m["restrict_source_language"]).cast("string").alias("restrict_source_language"),
+                        lang_map.alias("language_map"))
+    return F.array(*[entry(m) for m in models])
+
+
+def route_language(records: DataFrame, models=K.MODEL_REGISTRY) -> DataFrame:
     """Op 36: target language = the other of en/fr; codes through the model's language map."""
     target = F.when(F.col("source_lang") == "fr", F.lit("en")).otherwise(F.lit("fr"))
-    joined = records.crossJoin(F.broadcast(reg.select("model", "language_map")))
-    return joined.select(
-        "record_id", "model", F.col("source_lang"), target.alias("target_lang"),
-        F.coalesce(F.try_element_at("language_map", F.col("source_lang")), F.col("source_lang")).alias("src_code"),
-        F.coalesce(F.try_element_at("language_map", target), target).alias("tgt_code"))
+    fanned = records.select("record_id", "source_lang", F.explode(registry_entries(models)).alias("_m"))
+    lang_map = F.col("_m.language_map")
+    return fanned.select(
+        "record_id", F.col("_m.model").alias("model"), F.col("source_lang"), target.alias("target_lang"),
+        F.coalesce(F.try_element_at(lang_map, F.col("source_lang")), F.col("source_lang")).alias("src_code"),
+        F.coalesce(F.try_element_at(lang_map, target), target).alias("tgt_code"))
 
 
 def train_sizes(split_records: DataFrame, reg: DataFrame) -> DataFrame:
     """Op 72: rows per split after the language restriction and validity filter, and steps per epoch."""
     from .gates import drop_invalid_examples, restrict_language
-    kept = drop_invalid_examples(restrict_language(split_records, reg))
+    kept = drop_invalid_examples(restrict_language(split_records))
     counts = kept.groupBy("model").agg(F.count_if(F.col("split") == "train").alias("train_rows"),
                                        F.count_if(F.col("split") == "eval").alias("eval_rows"))
     r = F.broadcast(reg.select("model", "batch_size", "grad_accum"))

@@ -79,20 +79,21 @@ def describe_all(features: DataFrame, columns=NUMERIC_FEATURES) -> DataFrame:
 
 
 def similarity_histogram(df: DataFrame, col: str = "similarity", bins: int = K.HISTOGRAM_BINS) -> DataFrame:
-    """Op 64: equal-width bins from min to max, last bin closed; empty bins reported with 0."""
+    """Op 64: equal-width bins from min to max, last bin closed; empty bins reported with 0.
+    The two bounds are one small aggregate, passed on as literals."""
     x = F.col(col)
-    bounds = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
-    width = F.col("mx") - F.col("mn")
-    raw_bin = F.floor(F.try_divide(x - F.col("mn"), width) * F.lit(bins))
-    binned = (df.where(x.isNotNull()).crossJoin(F.broadcast(bounds))
-                .select(F.when(width == 0, F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1)))
-                        .cast("int").alias("bin")))
+    mn, mx = df.agg(F.min(x), F.max(x)).first()
+    if mn is None:
+        mn = mx = 0.0
+    lo, hi = F.lit(float(mn)), F.lit(float(mx))
+    raw_bin = F.floor(F.try_divide(x - lo, hi - lo) * F.lit(bins))
+    binned = df.where(x.isNotNull()).select(
+        (F.lit(0) if mn == mx else F.least(raw_bin, F.lit(bins - 1))).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    all_bins = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "mn", "mx")
-    edges = all_bins.select(
-        "bin",
-        F.round(F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("bin") / F.lit(bins), 6).alias("lower"),
-        F.round(F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("bin") + 1) / F.lit(bins), 6).alias("upper"))
+    edges = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"),
+        F.round(lo + (hi - lo) * F.col("id") / F.lit(bins), 6).alias("lower"),
+        F.round(lo + (hi - lo) * (F.col("id") + 1) / F.lit(bins), 6).alias("upper"))
     return (edges.join(counts, "bin", "left")
                  .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 

@@ -62,19 +62,24 @@ def sample_band(df: DataFrame, n: int, lo: float, hi: float, id_col: str = "pair
     return sample_rows(inside, n, id_col, seed).orderBy(col, id_col)
 
 
-def similarity_bands(spark, start: int = 70, stop: int = 100, step: int = 5) -> DataFrame:
-    return (spark.range(start, stop, step)
-                 .select((F.col("id") / 100.0).alias("band_lo"), ((F.col("id") + step) / 100.0).alias("band_hi")))
-
-
-def sample_per_band(df: DataFrame, bands: DataFrame, n: int, id_col: str = "pair_id", seed=K.SPLIT_SEED,
-                    col: str = "similarity") -> DataFrame:
-    """Op 80: op 79 for every band at once. Bands are inclusive on both ends, so a row on a shared
-    boundary may be drawn by both bands, as in the per-band loop it replaces.
-
-    The band table is a handful of rows, broadcast for the range join. ``row_number() <= n`` lets
-    Spark insert a partial per-band limit before the shuffle, so a band is never gathered whole.
+def sample_per_band(df: DataFrame, n: int, start: int = 70, stop: int = 100, step: int = 5,
+                    id_col: str = "pair_id", seed=K.SPLIT_SEED, col: str = "similarity") -> DataFrame:
+    """Op 80: op 79 for every band [x/100, (x+step)/100], x = start, start+step, ... < stop, at once.
+
+    Bands are inclusive on both ends, so a row on a shared boundary is drawn by both bands, as in the
+    per-band loop this replaces. Each row generates its (at most three) candidate bands and keeps
+    those that contain it: no join. ``row_number() <= n`` lets Spark insert a partial per-band limit
+    before the shuffle, so a band is never gathered whole.
     """
-    joined = df.join(F.broadcast(bands), F.col(col).between(F.col("band_lo"), F.col("band_hi")))
+    x = F.col(col)
+    base = F.floor((x * F.lit(100) - F.lit(start)) / F.lit(step)).cast("int")
+    cand = df.where(x.isNotNull()).select("*", F.explode(F.array(base - 1, base, base + 1)).alias("_b"))
+    lo = ((F.lit(start) + F.col("_b") * F.lit(step)) / F.lit(100.0))
+    hi = ((F.lit(start) + F.col("_b") * F.lit(step) + F.lit(step)) / F.lit(100.0))
+    n_bands = (stop - start + step - 1) // step
+    banded = (cand.where((F.col("_b") >= 0) & (F.col("_b") < n_bands))
+                  .withColumns({"band_lo": lo, "band_hi": hi})
+                  .where(x.between(F.col("band_lo"), F.col("band_hi")))
+                  .drop("_b"))
     w = Window.partitionBy("band_lo", "band_hi").orderBy(md5_key(seed, id_col, "sample:"), F.col(id_col))
-    return joined.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return banded.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -155,13 +155,14 @@ FROM (
 @register("comparison_report", with_all(REPORT_SQL))
 def q_comparison_report(spark, sf):
     cmp_ = EV.comparison(_c(spark, sf))
-    n = cmp_.where(F.col("translator_name") == "opus_mt_base").agg(F.count(F.lit(1)).cast("int").alias("n_samples"))
+    n_samples = cmp_.where(F.col("translator_name") == "opus_mt_base").count()
     base = cmp_.where(F.col("translator_name") == "opus_mt_base") \
                .select("pair_id", "source_lang", "source", "target", F.col("translated_text").alias("base_output"))
     fine = cmp_.where(F.col("translator_name") == "opus_mt_finetuned") \
                .select("pair_id", F.col("translated_text").alias("finetuned_output"))
-    samples = (base.join(fine, "pair_id").crossJoin(F.broadcast(n))
-                   .withColumn("sample_no", (F.col("pair_id") + 1).cast("int")))
+    samples = (base.join(fine, "pair_id")
+                   .withColumns({"sample_no": (F.col("pair_id") + 1).cast("int"),
+                                 "n_samples": F.lit(n_samples).cast("int")}))
     path = IO.write_report(IO.comparison_report(samples), scratch_path(spark, "report"))
     return IO.read_report(spark, path)
 
@@ -411,7 +412,7 @@ FROM corpus c CROSS JOIN registry r"""
 
 @register("route_language", with_all(ROUTE_LANG_SQL))
 def q_route_language(spark, sf):
-    return P.route_language(EV.corpus(_c(spark, sf)), P.registry(spark))
+    return P.route_language(EV.corpus(_c(spark, sf)))
 
 
 ROUTE_MODEL_SQL = """
@@ -427,7 +428,7 @@ FROM corpus c CROSS JOIN translators t"""
 
 @register("route_model", with_all(ROUTE_MODEL_SQL))
 def q_route_model(spark, sf):
-    return E.route_model(EV.corpus(_c(spark, sf)), E.translators(spark))
+    return E.route_model(EV.corpus(_c(spark, sf)))
 
 
 def _tag_sql() -> str:
@@ -544,20 +545,20 @@ def q_point_lookup(spark, sf):
 @register("restrict_language", with_all(
     "SELECT model, record_id, source_lang FROM restricted"))
 def q_restrict_language(spark, sf):
-    return G.restrict_language(EV.split_corpus(_c(spark, sf)), P.registry(spark)) \
+    return G.restrict_language(EV.split_corpus(_c(spark, sf))) \
             .select("model", "record_id", "source_lang")
 
 
 @register("drop_invalid_examples", with_all("SELECT model, record_id FROM valid"))
 def q_drop_invalid(spark, sf):
-    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf)), P.registry(spark)))
+    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf))))
     return kept.select("model", "record_id")
 
 
 @register("require_rows", with_all(
     "SELECT model, CAST(count(*) AS BIGINT) AS n_rows FROM valid GROUP BY model"))
 def q_require_rows(spark, sf):
-    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf)), P.registry(spark)))
+    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf))))
     G.require_rows(kept, "filtering")
     return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -657,9 +658,9 @@ def embedding_lookup(c) -> Callable[[DataFrame], DataFrame]:
     picked by md5(text); a caller passes ``plugins.embed_texts`` with a real model instead."""
     def encode(texts: DataFrame) -> DataFrame:
         emb = EV.embeddings(c)
-        n = F.broadcast(emb.agg(F.count(F.lit(1)).alias("n_vec")))
-        keyed = texts.crossJoin(n).withColumn(
-            "vec_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.col("n_vec"))
+        n_vec = emb.count()
+        keyed = texts.withColumn(
+            "vec_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.lit(n_vec))
         return keyed.join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id") \
                     .select("text", "vec")
     return encode
@@ -958,7 +959,7 @@ SELECT pair_id, fr, en, similarity, band_lo, band_hi FROM (
 WHERE rn <= 10"""))
 def q_sample_per_band(spark, sf):
     p = _c(spark, sf).pairs().select("pair_id", "fr", "en", "similarity")
-    return S.sample_per_band(p, S.similarity_bands(spark), 10)
+    return S.sample_per_band(p, 10)
 
 
 @register("train_eval_split", with_all("SELECT record_id, source_lang, split FROM split_corpus"))

@@ -45,16 +45,15 @@ def comparison(c: Curation) -> DataFrame:
 
 def _comparison(c: Curation) -> DataFrame:
     emb = embeddings(c)
-    n = F.broadcast(emb.agg(F.count(F.lit(1)).alias("n_vec")))
-    samples = (c.pairs().crossJoin(n)
-               .select("pair_id", F.col("en").alias("source"), F.col("fr").alias("target"),
-                       F.lit("en").alias("source_lang"),
-                       (F.col("pair_id") % F.col("n_vec")).alias("src_vec_id"),
-                       ((F.col("pair_id") * 7 + 1) % F.col("n_vec")).alias("tgt_vec_id"), "n_vec"))
-    names = c.spark.createDataFrame([(k, name) for k, name in enumerate(COMPARED)],
-                                    "translator_index int, translator_name string")
-    rows = samples.crossJoin(F.broadcast(names)).withColumns({
-        "trans_vec_id": (F.col("pair_id") * 13 + F.col("translator_index")) % F.col("n_vec"),
+    n_vec = F.lit(emb.count())
+    names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
+                      for k, name in enumerate(COMPARED)])
+    samples = c.pairs().select(
+        "pair_id", F.col("en").alias("source"), F.col("fr").alias("target"), F.lit("en").alias("source_lang"),
+        (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"),
+        F.inline(names))
+    rows = samples.withColumns({
+        "trans_vec_id": (F.col("pair_id") * 13 + F.col("translator_index")) % n_vec,
         "translated_text": F.when(F.col("translator_name").endswith("_finetuned"),
                                   T.clean_common_patterns("target")).otherwise(F.col("target")),
     })

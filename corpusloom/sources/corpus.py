@@ -119,12 +119,12 @@ def append_sweep_results(trials: DataFrame, path: str) -> str:
 
 
 def sink_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Op 10: size in KB and line count of a written text sink (all part files)."""
-    lines = spark.read.text(path)
-    files = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
-    size = files.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("bytes"))
-    count = lines.agg(F.count(F.lit(1)).alias("line_count"))
-    return size.crossJoin(count).select(F.round(F.col("bytes") / 1024.0, 2).alias("size_kb"), "line_count")
+    """Op 10: size in KB and line count of a written text sink (all part files), in one pass."""
+    per_file = (spark.read.text(path)
+                     .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
+                     .groupBy("f").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("n")))
+    return per_file.agg(F.round(F.coalesce(F.sum("s"), F.lit(0)) / 1024.0, 2).alias("size_kb"),
+                        F.coalesce(F.sum("n"), F.lit(0)).alias("line_count"))
 
 
 REPORT_SEPARATOR = "\x1e"
