@@ -235,10 +235,3 @@ TRANSLATORS = [
      "merged_model_path": None, "merged_model_path_en_fr": "merged/mbart50_mmt_fr",
      "merged_model_path_fr_en": "merged/mbart50_mmt_en"},
 ]
-# language codes per translator family ("nllb" uses script-qualified codes)
-FAMILY_LANGUAGE_CODES = {
-    "nllb": {"en": "eng_Latn", "fr": "fra_Latn"},
-    "opus": {"en": "en", "fr": "fr"},
-    "m2m100": {"en": "en", "fr": "fr"},
-    "mbart50": {"en": "en_XX", "fr": "fr_XX"},
-}

@@ -47,7 +47,8 @@ def with_ordinal(df: DataFrame, order: Sequence[Column | str], out_col: str = "o
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     keys = [F.shiftright(F.col("r._tag"), _LOW_BITS) == F.col("o._part")] + [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in groups]
-    joined = ranged.alias("r").join(F.broadcast(offsets.alias("o")), on=keys, how="inner")
+    # at most (partitions + groups) rows: broadcast unless a caller ranks within millions of groups
+    joined = ranged.alias("r").join(broadcast_if_small(offsets, 1_000_000).alias("o"), on=keys, how="inner")
     return joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
         (F.col("o._base") + F.col("r._tag") - F.col("o._first")).alias(out_col),

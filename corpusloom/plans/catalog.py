@@ -25,7 +25,6 @@ from . import oracle_sql as O
 from .curation import annotate_counts, curation
 from .oracle_eval import clean as sql_clean
 from .oracle_eval import cosine as sql_cosine
-from .oracle_eval import md5_unit as sql_md5_unit
 from .oracle_eval import with_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,9 +168,6 @@ def q_comparison_report(spark, sf):
 
 # =================================== 2B scalar / text projections ===================================
 
-FEATS = "SELECT pair_id, {cols} FROM feats"
-
-
 @register("len_ratio", with_all("SELECT pair_id, len_ratio FROM feats"))
 def q_len_ratio(spark, sf):
     return _c(spark, sf).features_pre().select("pair_id", "len_ratio")

@@ -73,14 +73,3 @@ def derive_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = docs.select(F.explode(T.whitespace_tokens("text")).alias("word"))
     return (tokens.where(F.col("word").rlike("^[a-z]+$") & (F.length("word") % 2 == 0))
                   .distinct())
-
-
-# --- md5-derived helpers shared by the evaluation fixtures -------------------------------------------
-
-def md5_unit(key: Column) -> Column:
-    """First 8 hex digits of md5(key) as an integer in [0, 2^32)."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
-
-
-def vector_index(key: Column, n: Column) -> Column:
-    return md5_unit(key) % n

@@ -196,7 +196,3 @@ gated0 AS (
 gated AS (
   SELECT *, ({_exclude_expr()}) AS exclude, ({relaxed}) AS exclude_relaxed FROM gated0)
 """
-
-
-def with_chain(select: str, cutoff: int = K.ACCENT_MAP_SIZE) -> str:
-    return "WITH " + chain(cutoff).strip() + "\n" + select.strip()

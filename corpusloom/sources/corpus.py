@@ -3,10 +3,14 @@ parallel file sinks. Writers return the folder they wrote so callers can read it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from .. import constants as K
+
 PAIR_SCHEMA = Ty.StructType([
     Ty.StructField("pair_id", Ty.LongType(), False),
     Ty.StructField("fr", Ty.StringType(), True),
@@ -82,15 +86,19 @@ def write_corpus(records: DataFrame, path: str) -> str:
     return path
 
 
+def _fill(template: str) -> Column:
+    """A ``{fr}`` / ``{en}`` template as a concat of literals and columns."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(fr|en)\}", template)):
+        parts.append(F.col(piece) if i % 2 else F.lit(piece))
+    return F.concat(*parts)
+
+
 def prompt_records(pairs: DataFrame) -> DataFrame:
     """Op 6 records: French-to-English first, then English-to-French."""
     return pairs.select("pair_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("direction"),
-                 F.concat(F.lit("translate French to English: "), F.col("fr"), F.lit(" <sep> "), F.col("en"))
-                  .alias("text")),
-        F.struct(F.lit(1).alias("direction"),
-                 F.concat(F.lit("translate English to French: "), F.col("en"), F.lit(" <sep> "), F.col("fr"))
-                  .alias("text")))))
+        F.struct(F.lit(0).alias("direction"), _fill(K.PROMPT_FR_TO_EN).alias("text")),
+        F.struct(F.lit(1).alias("direction"), _fill(K.PROMPT_EN_TO_FR).alias("text")))))
 
 
 def write_prompt_corpus(pairs: DataFrame, path: str) -> str:

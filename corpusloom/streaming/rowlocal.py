@@ -8,7 +8,6 @@ a stream of new pair files. The accent pass needs the whole corpus and stays a b
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
@@ -42,13 +41,3 @@ def flag_pair_stream(spark: SparkSession, source_folder: str, sink_folder: str,
     return (stream.writeStream.format("parquet").option("path", sink_folder)
                   .option("checkpointLocation", checkpoint_folder)
                   .trigger(availableNow=True).start())
-
-
-def unflagged(df: DataFrame) -> DataFrame:
-    """Rows that pass every row-local check (the accent check still has to run in batch)."""
-    flags = ["exclude_low_similarity", "exclude_figtext", "has_date_refs"] + \
-            [f"exclude_{f}" for f in ROW_LOCAL_FEATURES]
-    cond = F.lit(True)
-    for f in flags:
-        cond = cond & ~F.col(f)
-    return df.where(cond)
