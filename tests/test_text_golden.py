@@ -120,3 +120,31 @@ def test_extract_response(spark):
 def test_cosine_similarity(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert df.select(T.cosine_similarity("a", "b").alias("c")).first()["c"] == round(2 ** -0.5, 6)
+
+
+# an invented OCR-style junk line: mostly stray single characters
+JUNK_FR = "3 x - q o K U .- b t w Y O C r ' W I 7 I 2 N 9 N 4 N I N C U ) 5 N 8 8 N 6 M 2 N N I O M U ) b"
+
+
+def _gate_rows(spark, rows):
+    from corpusloom.plans.curation import feature_columns
+    pairs = spark.createDataFrame(rows, "pair_id long, fr string, en string, similarity double")
+    feats = (feature_columns(pairs).withColumn("fr", F.col("fr_apos"))
+             .withColumn("potential_fr_accent_issues", F.lit(0).cast("long")))
+    return {r["pair_id"]: r for r in G.add_gate_columns(feats).collect()}
+
+
+def test_junk_ocr_string_is_excluded(spark):
+    got = _gate_rows(spark, [(1, JUNK_FR, "Junk text from a scanned table", 0.93),
+                             (2, "Le taux est faible.", "The rate is low.", 0.93)])
+    assert got[1]["exclude"] and got[1]["exclude_one_char_words_fr"]
+    assert not got[2]["exclude"]
+
+
+def test_truncated_translation_has_a_low_length_ratio(spark):
+    fr = ("Les prises de morue ont diminué dans le golfe, tandis que les prises de plie et de flétan "
+          "ont augmenté au cours des dix dernières années")
+    en = "Cod catches decreased in the gulf"
+    df = spark.createDataFrame([(fr, en)], "fr string, en string")
+    r = df.select(T.len_ratio("en", "fr").alias("rev"), T.len_ratio("fr", "en").alias("fwd")).first()
+    assert r["rev"] < 0.5 < 2 < r["fwd"]
