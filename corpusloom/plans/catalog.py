@@ -946,16 +946,32 @@ def q_sample_band(spark, sf):
     return S.sample_band(_c(spark, sf).pairs().select("pair_id", "fr", "en", "similarity"), 42, 0.7, 0.8)
 
 
-@register("sample_per_band", with_all(f"""
-SELECT pair_id, fr, en, similarity, band_lo, band_hi FROM (
+def _band_sample_sql(start: int, n: int) -> str:
+    return f"""
   SELECT p.pair_id, p.fr, p.en, p.similarity, b.band_lo, b.band_hi,
          row_number() OVER (PARTITION BY b.band_lo, b.band_hi ORDER BY {_sample_key('p.pair_id')}, p.pair_id) AS rn
-  FROM pairs p JOIN (SELECT x / 100.0 AS band_lo, (x + 5) / 100.0 AS band_hi FROM range(70, 100, 5) t(x)) b
-    ON p.similarity BETWEEN b.band_lo AND b.band_hi)
-WHERE rn <= 10"""))
+  FROM pairs p JOIN (SELECT x / 100.0 AS band_lo, (x + 5) / 100.0 AS band_hi FROM range({start}, 100, 5) t(x)) b
+    ON p.similarity BETWEEN b.band_lo AND b.band_hi"""
+
+
+SAMPLE_PER_BAND_SQL = f"""
+SELECT pair_id, fr, en, similarity, band_lo, band_hi, 'all_10' AS variant FROM ({_band_sample_sql(70, 10)})
+WHERE rn <= 10
+UNION ALL
+SELECT s.pair_id, s.fr, s.en, s.similarity, s.band_lo, s.band_hi, 'improved_100' AS variant
+FROM ({_band_sample_sql(80, 100)}) s
+WHERE s.rn <= 100 AND s.pair_id IN (SELECT pair_id FROM ({IMPROVED_SQL}))"""
+
+
+@register("sample_per_band", with_all(SAMPLE_PER_BAND_SQL))
 def q_sample_per_band(spark, sf):
+    """Both uses of op 80: 10 rows per band over 0.70-1.00, and 100 rows per band over 0.80-1.00 of
+    which only those whose cleaned version scores higher are reported."""
     p = _c(spark, sf).pairs().select("pair_id", "fr", "en", "similarity")
-    return S.sample_per_band(p, 10)
+    every = S.sample_per_band(p, 10).withColumn("variant", F.lit("all_10"))
+    improved = E.improved_rows(p, cleaned_copy(p)).select("pair_id")
+    wide = S.sample_per_band(p, 100, start=80).join(improved, "pair_id", "left_semi")
+    return every.unionByName(wide.withColumn("variant", F.lit("improved_100")))
 
 
 @register("train_eval_split", with_all("SELECT record_id, source_lang, split FROM split_corpus"))
