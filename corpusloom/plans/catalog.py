@@ -132,7 +132,14 @@ def q_append_sweep(spark, sf):
     return spark.read.schema(schema).options(**IO.CSV_OPTIONS).csv(path)
 
 
-@register("sink_stats")
+SINK_STATS_SQL = f"""
+SELECT round(CAST(sum(strlen(CAST(to_json(struct_pack(source := source, target := target, source_lang := source_lang))
+                                  AS VARCHAR)) + 1) AS DOUBLE) / 1024.0, 2) AS size_kb,
+       CAST(count(*) AS BIGINT) AS line_count
+FROM ({TRAINING_SQL})"""
+
+
+@register("sink_stats", with_all(SINK_STATS_SQL))
 def q_sink_stats(spark, sf):
     recs = P.bidirectional(G.training_pairs(_c(spark, sf).gated()))
     path = IO.write_corpus(recs, scratch_path(spark, "training_data"))
@@ -286,11 +293,7 @@ ambiguous AS (SELECT DISTINCT anglicised AS word FROM acc_map WHERE form_rank >
 real_words AS (SELECT anglicised AS word FROM lex_split WHERE in_lexicon)"""
 
 
-def _with_extra(select: str, extra: str) -> str:
-    return with_all(select, extra)
-
-
-@register("token_list_hits", _with_extra(TOKEN_HITS_SQL, TOKEN_HITS_CTES))
+@register("token_list_hits", with_all(TOKEN_HITS_SQL, TOKEN_HITS_CTES))
 def q_token_list_hits(spark, sf):
     c = _c(spark, sf)
     ambiguous = c.accent_mapping().where(F.col("form_rank") > 1).select(F.col("anglicised").alias("word"))
@@ -462,7 +465,8 @@ def q_cosine_similarity(spark, sf):
         "cosine_similarity_vs_target")
 
 
-@register("model_from_filename")
+@register("model_from_filename", with_all(
+    f"SELECT split_part(model, '_', 1) AS model_name, {', '.join(SWEEP_COLS)} FROM sweep"))
 def q_model_from_filename(spark, sf):
     root = scratch_path(spark, "sweeps")
     trials = EV.sweep(_c(spark, sf))
@@ -662,7 +666,7 @@ def embedding_lookup(c) -> Callable[[DataFrame], DataFrame]:
     return encode
 
 
-@register("best_variant", _with_extra(_best_variant_sql(), BEST_VARIANT_CTE))
+@register("best_variant", with_all(_best_variant_sql(), BEST_VARIANT_CTE))
 def q_best_variant(spark, sf):
     c = _c(spark, sf)
     return E.best_variant(c.pairs(), embedding_lookup(c))
@@ -867,7 +871,7 @@ tokenized AS (
   FROM tokenized0)"""
 
 
-@register("tokenize_pairs", _with_extra("SELECT record_id, input_ids, labels, decoder_input_ids FROM tokenized",
+@register("tokenize_pairs", with_all("SELECT record_id, input_ids, labels, decoder_input_ids FROM tokenized",
                                         _vocab_cte()))
 def q_tokenize_pairs(spark, sf):
     return EV.tokens(_c(spark, sf))
@@ -897,7 +901,7 @@ FROM (
   FROM tokenized t JOIN shuffled s ON t.record_id = s.record_id)"""
 
 
-@register("shift_and_pad", _with_extra(SHIFT_SQL, _vocab_cte() + "," + _shuffle_cte()))
+@register("shift_and_pad", with_all(SHIFT_SQL, _vocab_cte() + "," + _shuffle_cte()))
 def q_shift_and_pad(spark, sf):
     c = _c(spark, sf)
     toks = EV.tokens(c)
@@ -979,12 +983,12 @@ def q_train_eval_split(spark, sf):
     return EV.split_corpus(_c(spark, sf)).select("record_id", "source_lang", "split")
 
 
-@register("seeded_shuffle", _with_extra("SELECT record_id, split, position FROM shuffled", _shuffle_cte()))
+@register("seeded_shuffle", with_all("SELECT record_id, split, position FROM shuffled", _shuffle_cte()))
 def q_seeded_shuffle(spark, sf):
     return EV.shuffled_split(_c(spark, sf)).select("record_id", "split", "position")
 
 
-@register("cap_rows", _with_extra(
+@register("cap_rows", with_all(
     f"SELECT record_id, split, position FROM shuffled WHERE (split = 'train' AND position < {K.SWEEP_TRAIN_SAMPLES}) "
     f"OR (split = 'eval' AND position < {K.SWEEP_EVAL_SAMPLES})", _shuffle_cte()))
 def q_cap_rows(spark, sf):
