@@ -116,3 +116,24 @@ def test_require_rows_raises(spark):
         assert "filtering" in str(e)
     else:
         raise AssertionError("expected EmptyResultError")
+
+
+def test_exact_percentiles_with_coarse_sketch_and_forced_fallback(spark, monkeypatch):
+    from corpusloom.operators import quantiles as Q
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.exponential(size=700), np.full(300, 2.0)])
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
+    probs = [0.001, 0.25, 0.5, 0.9, 0.999]
+    names = [f"q{i}" for i in range(len(probs))]
+    want = [round(float(x), 6) for x in np.percentile(vals, [p * 100 for p in probs])]
+    coarse = Q.exact_percentiles(df, ["g"], "v", probs, names, accuracy=20).first()
+    assert [coarse[n] for n in names] == want
+    real_targets = Q._targets
+
+    def shifted(*args, **kwargs):  # brackets that miss the wanted ranks
+        t = real_targets(*args, **kwargs)
+        return t.withColumn("_blo", F.col("_bhi") + 1.0).withColumn("_bhi", F.col("_blo") + 1.0)
+
+    monkeypatch.setattr(Q, "_targets", shifted)
+    fallback = Q.exact_percentiles(df, ["g"], "v", probs, names).first()
+    assert [fallback[n] for n in names] == want
