@@ -63,9 +63,13 @@ def feature_columns(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class Curation:
+    """The stage chain over one corpus. Pairs and lexicon come either from the driver's tables in
+    ``sf_dir`` (the fixture recipe) or from the caller (``curate``)."""
     spark: SparkSession
-    sf_dir: str
+    sf_dir: str | None
     cutoff: int = K.ACCENT_MAP_SIZE
+    pairs_source: DataFrame | None = None
+    lexicon_source: DataFrame | None = None
 
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
@@ -77,9 +81,13 @@ class Curation:
 
     # -- stages ---------------------------------------------------------------------------------
     def pairs(self) -> DataFrame:
+        if self.pairs_source is not None:
+            return self.stage("pairs", lambda: _checked_pairs(self.pairs_source))
         return self.stage("pairs", lambda: X.derive_pairs(self.spark, self.sf_dir))
 
     def lexicon(self) -> DataFrame:
+        if self.lexicon_source is not None:
+            return self.stage("lexicon", lambda: self.lexicon_source.select(F.col("word").cast("string")).distinct())
         return self.stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
 
     def features_pre(self) -> DataFrame:
@@ -115,6 +123,20 @@ class Curation:
         return self.stage("gated", lambda: G.add_gate_columns(self.features()))
 
 
+def _checked_pairs(df: DataFrame) -> DataFrame:
+    """A caller's pair table: schema checked, NaN similarity read as missing."""
+    from ..sources.corpus import PAIR_SCHEMA, check_schema
+    out = check_schema(df, PAIR_SCHEMA)
+    return out.withColumn("similarity", F.nanvl(F.col("similarity"), F.lit(None).cast("double")))
+
+
+def curate(spark: SparkSession, pairs: DataFrame, lexicon: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE) -> Curation:
+    """The curation chain over a caller's own pair table (pair_id, fr, en, similarity) and French
+    lexicon (word). ``curate(...).gated()`` is the flag table; ``training_pairs`` / ``relaxed_test_pairs``
+    in ``operators.gates`` give the two outputs."""
+    return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon)
+
+
 _SESSIONS: dict[tuple[str, str, int], Curation] = {}
 
 

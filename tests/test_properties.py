@@ -137,3 +137,22 @@ def test_exact_percentiles_with_coarse_sketch_and_forced_fallback(spark, monkeyp
     monkeypatch.setattr(Q, "_targets", shifted)
     fallback = Q.exact_percentiles(df, ["g"], "v", probs, names).first()
     assert [fallback[n] for n in names] == want
+
+
+def test_curation_on_a_callers_own_pairs(spark):
+    from corpusloom.plans.curation import curate
+    rows = [(1, "La mer est calme et belle", "The sea is calm and beautiful", 0.95),
+            (2, "Le ble a ete recolte tot", "The wheat was harvested early", 0.95),
+            (3, "L ete a ete chaud", "The summer was hot", 0.95),
+            (4, "Le blé a été récolté en été", "Wheat was harvested in summer", 0.95),
+            (5, "Voir Tableau 3", "See Table 3", 0.95),
+            (6, "Une phrase", "A sentence", float("nan"))]
+    pairs = spark.createDataFrame(rows, "pair_id long, fr string, en string, similarity double")
+    lexicon = spark.createDataFrame([("mer",), ("calme",)], "word string")
+    c = curate(spark, pairs, lexicon, cutoff=10)
+    g = {r["pair_id"]: r for r in c.gated().collect()}
+    assert g[2]["fr"] == "Le blé a été récolté tot"          # accents learned from row 4
+    assert g[3]["fr"] == "L'été a été chaud"                  # apostrophe, then accents
+    assert g[5]["exclude_figtext"] and g[5]["exclude"]
+    assert g[6]["similarity"] is None and not g[6]["exclude_low_similarity"]
+    assert not g[1]["exclude"]
