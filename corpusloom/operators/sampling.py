@@ -6,6 +6,8 @@ data happens to be partitioned and are the same on every re-run or task retry.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,18 @@ def train_eval_split(df: DataFrame, id_col: str, ratio: float = K.VAL_RATIO, see
                                     .otherwise(F.lit("train")))
 
 
+def train_eval_split_exact(df: DataFrame, id_col: str, ratio: float = K.VAL_RATIO, seed=K.SPLIT_SEED,
+                           out_col: str = "split") -> DataFrame:
+    """Op 81, exact-size variant: eval = the ceil(n * ratio) records with the smallest md5(seed:id)
+    (the size a dataset library's ``test_size`` gives); ranks come from distributed ordinals."""
+    n = df.count()
+    k = math.ceil(n * ratio)
+    keyed = df.withColumn("_split_key", md5_key(seed, id_col))
+    ranked = with_ordinal(keyed, order=["_split_key", id_col], out_col="_split_rank")
+    return ranked.withColumn(out_col, F.when(F.col("_split_rank") < k, F.lit("eval")).otherwise(F.lit("train"))) \
+                 .drop("_split_key", "_split_rank")
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed=K.SPLIT_SEED, groups=("split",)) -> DataFrame:
     """Op 82: 0-based ``position`` in a seeded order inside each group, via a distributed sort."""
     keyed = df.withColumn("_shuffle_key", md5_key(seed, id_col, salt="shuffle:"))

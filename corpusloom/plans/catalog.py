@@ -978,9 +978,15 @@ def q_sample_per_band(spark, sf):
     return every.unionByName(wide.withColumn("variant", F.lit("improved_100")))
 
 
-@register("train_eval_split", with_all("SELECT record_id, source_lang, split FROM split_corpus"))
+@register("train_eval_split", with_all("""
+SELECT record_id, source_lang, split,
+  CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(record_id AS VARCHAR)), record_id) - 1
+            < ceil((SELECT count(*) FROM split_corpus) * 0.05) THEN 'eval' ELSE 'train' END AS split_exact
+FROM split_corpus"""))
 def q_train_eval_split(spark, sf):
-    return EV.split_corpus(_c(spark, sf)).select("record_id", "source_lang", "split")
+    """Both variants of op 81: hash threshold (``split``) and exact size (``split_exact``)."""
+    recs = EV.split_corpus(_c(spark, sf)).select("record_id", "source_lang", "split")
+    return S.train_eval_split_exact(recs, "record_id", out_col="split_exact")
 
 
 @register("seeded_shuffle", with_all("SELECT record_id, split, position FROM shuffled", _shuffle_cte()))
