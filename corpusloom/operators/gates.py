@@ -119,3 +119,15 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise EmptyResultError(f"No data remaining after {what}")
     return df
+
+
+class UnknownModelError(ValueError):
+    pass
+
+
+def require_model(name: str, models=K.MODEL_REGISTRY) -> dict:
+    """Op 52: the registry entry of a model, or a named error listing the known models."""
+    for m in models:
+        if m["model"] == name:
+            return m
+    raise UnknownModelError(f"Model '{name}' not found. Available models: {[m['model'] for m in models]}")

@@ -156,3 +156,13 @@ def test_curation_on_a_callers_own_pairs(spark):
     assert g[5]["exclude_figtext"] and g[5]["exclude"]
     assert g[6]["similarity"] is None and not g[6]["exclude_low_similarity"]
     assert not g[1]["exclude"]
+
+
+def test_require_model():
+    assert G.require_model("opus_mt_en_fr")["restrict_source_language"] == "en"
+    try:
+        G.require_model("nope")
+    except G.UnknownModelError as e:
+        assert "m2m100_418m" in str(e)
+    else:
+        raise AssertionError("expected UnknownModelError")
