@@ -46,26 +46,27 @@ def comparison(c: Curation) -> DataFrame:
 def _comparison(c: Curation) -> DataFrame:
     emb = embeddings(c)
     n_vec = F.lit(emb.count())
-    names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
-                      for k, name in enumerate(COMPARED)])
+    vec = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     samples = c.pairs().select(
         "pair_id", F.col("en").alias("source"), F.col("fr").alias("target"), F.lit("en").alias("source_lang"),
-        (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"),
-        F.inline(names))
-    rows = samples.withColumns({
+        (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"))
+    # source and target vectors are per sample: join and compare them before the fan-out
+    per_sample = (samples.join(vec.toDF("src_vec_id", "src_vec"), "src_vec_id")
+                         .join(vec.toDF("tgt_vec_id", "tgt_vec"), "tgt_vec_id")
+                         .withColumn("cosine_similarity_original_translation",
+                                     T.cosine_similarity("src_vec", "tgt_vec")))
+    names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
+                      for k, name in enumerate(COMPARED)])
+    rows = per_sample.select("*", F.inline(names)).withColumns({
         "trans_vec_id": (F.col("pair_id") * 13 + F.col("translator_index")) % n_vec,
         "translated_text": F.when(F.col("translator_name").endswith("_finetuned"),
                                   T.clean_common_patterns("target")).otherwise(F.col("target")),
     })
-    emb = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    joined = (rows.join(emb.toDF("src_vec_id", "src_vec"), "src_vec_id")
-                  .join(emb.toDF("tgt_vec_id", "tgt_vec"), "tgt_vec_id")
-                  .join(emb.toDF("trans_vec_id", "trans_vec"), "trans_vec_id"))
+    joined = rows.join(vec.toDF("trans_vec_id", "trans_vec"), "trans_vec_id")
     other = F.when(F.col("source_lang") == "fr", F.lit("en")).otherwise(F.lit("fr"))
     return joined.select(
         "pair_id", "source", "target", "source_lang", other.alias("other_lang"), "translator_name",
-        "translated_text",
-        T.cosine_similarity("src_vec", "tgt_vec").alias("cosine_similarity_original_translation"),
+        "translated_text", "cosine_similarity_original_translation",
         T.cosine_similarity("src_vec", "trans_vec").alias("cosine_similarity_vs_source"),
         T.cosine_similarity("tgt_vec", "trans_vec").alias("cosine_similarity_vs_target"),
     )
