@@ -45,7 +45,7 @@ def with_ordinal(df: DataFrame, order: Sequence[Column | str], out_col: str = "o
     stats = (ranged.groupBy(F.shiftright(F.col("_tag"), _LOW_BITS).alias("_part"), *group_cols)
                    .agg(F.min("_tag").alias("_first"), F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    offsets = materialize(stats.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))), "ordinal-offsets")
     keys = [F.shiftright(F.col("r._tag"), _LOW_BITS) == F.col("o._part")] + [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in groups]
     # at most (partitions + groups) rows: broadcast unless a caller ranks within millions of groups
     joined = ranged.alias("r").join(broadcast_if_small(offsets, 1_000_000).alias("o"), on=keys, how="inner")

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordinal import with_ordinal
 from .sizing import broadcast_if_small
 
@@ -49,7 +50,8 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
                   .groupBy(*keys, "_name")
                   .agg(F.count_if(F.col("_v") < F.col("_blo")).alias("_below"),
                        F.count_if(F.col("_v") <= F.col("_bhi")).alias("_upto")))
-    plan = targets.join(counts, [*keys, "_name"], "left").na.fill(0, ["_below", "_upto"])
+    plan = materialize(targets.join(counts, [*keys, "_name"], "left").na.fill(0, ["_below", "_upto"]),
+                       "percentile-plan")
     contained = (F.col("_below") <= F.col("_lo")) & (F.col("_hi") < F.col("_upto"))
     if plan.where(~contained).limit(1).count() > 0:
         ranked_all = with_ordinal(vals.withColumn("_uid", F.monotonically_increasing_id()),
@@ -93,7 +95,8 @@ def _targets(vals: DataFrame, keys, probs, names, accuracy) -> DataFrame:
     h = (F.col("_n") - 1) * F.col("_p")
     t = t.select(*keys, "_name", h.alias("_h"), F.floor(h).cast("long").alias("_lo"),
                  F.ceil(h).cast("long").alias("_hi"), "_blo", "_bhi")
-    return broadcast_if_small(t, TARGETS_BROADCAST_MAX_ROWS)
+    # written once: every later step reads this small table instead of re-running the sketch pass
+    return broadcast_if_small(materialize(t, "percentile-targets"), TARGETS_BROADCAST_MAX_ROWS)
 
 
 def _interpolate(ranked: DataFrame, targets: DataFrame, keys, extra_keys) -> DataFrame:
