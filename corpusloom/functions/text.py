@@ -16,8 +16,17 @@ from .. import constants as K
 from .accents import strip_accents_translation
 
 
+# Python's whitespace also covers the information separators U+001C..U+001F, Java's (?U)\s does not
+PY_WS = r"[\s\x{1c}-\x{1f}]"
+
+
+def python_ws(pattern: str) -> str:
+    r"""Rewrite ``\s`` (used outside character classes in our patterns) as Python's whitespace set."""
+    return pattern.replace(r"\s", PY_WS)
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?idU)" if ignore_case else "(?dU)") + pattern
+    return ("(?idU)" if ignore_case else "(?dU)") + python_ws(pattern)
 
 
 def _col(c) -> Column:
@@ -28,12 +37,12 @@ def _col(c) -> Column:
 
 def py_strip(c) -> Column:
     """Strip Unicode whitespace at both ends (Spark's trim only strips U+0020)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), f"(?U)^{PY_WS}+|{PY_WS}+$", "")
 
 
 def whitespace_tokens(c) -> Column:
     """Whitespace split with empty tokens dropped: the same tokens as Python's ``str.split()``."""
-    return F.filter(F.split(_col(c), r"(?U)\s+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(_col(c), f"(?U){PY_WS}+"), lambda t: t != F.lit(""))
 
 
 # --- counts and ratios (ops 12-17, 19, 20) -----------------------------------------------------
@@ -149,9 +158,8 @@ def append_period(c) -> Column:
 def clean_common_patterns(c) -> Column:
     out = _col(c).cast("string")
     for pattern, repl in K.CLEANUP_STEPS:
-        flags = "(?dU)" if not pattern.startswith("(?i)") else "(?idU)"
-        body = pattern[4:] if pattern.startswith("(?i)") else pattern
-        out = F.regexp_replace(out, flags + body, repl)
+        icase = pattern.startswith("(?i)")
+        out = F.regexp_replace(out, java_regex(pattern[4:] if icase else pattern, icase), repl)
     return py_strip(out)
 
 
