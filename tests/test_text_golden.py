@@ -74,7 +74,7 @@ def py_one_char(s, allow):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=list("aAlLdDxyz éÀà\t") + [NBSP, "\n"], max_size=30))
+@given(st.text(alphabet=list("aAlLdDxyz éÀà\t\x1c\x1f") + [NBSP, "\n"], max_size=30))
 def test_one_char_words_equals_python(spark, s):
     assert one(spark, s, lambda c: T.one_char_words(c, K.ONE_CHAR_ALLOW_FR)) == py_one_char(s, K.ONE_CHAR_ALLOW_FR)
 
