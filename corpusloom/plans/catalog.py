@@ -659,7 +659,7 @@ def embedding_lookup(c) -> Callable[[DataFrame], DataFrame]:
     def encode(texts: DataFrame) -> DataFrame:
         emb = EV.embeddings(c)
         n_vec = emb.count()
-        keyed = texts.withColumn(
+        keyed = texts.distinct().withColumn(
             "vec_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.lit(n_vec))
         return keyed.join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id") \
                     .select("text", "vec")
