@@ -29,7 +29,11 @@ def md5_unit(seed, id_col, salt: str = "") -> Column:
 
 
 def train_eval_split(df: DataFrame, id_col: str, ratio: float = K.VAL_RATIO, seed=K.SPLIT_SEED) -> DataFrame:
-    """Op 81: ``split`` = eval when the record's hash falls below the ratio."""
+    """Op 81: ``split`` = eval when the record's hash falls below the ratio.
+
+    Keyed on ``record_id`` this matches the original, which splits records, so the two directions
+    of one pair may land on opposite sides; pass ``id_col="pair_id"`` to keep both directions of a
+    pair on the same side (no leakage between training and evaluation)."""
     return df.withColumn("split", F.when(md5_unit(seed, id_col) < F.lit(ratio), F.lit("eval"))
                                     .otherwise(F.lit("train")))
 

@@ -1,7 +1,7 @@
 """Entries 2 and 3 of the original project: training-input preparation and translator evaluation,
 over tables Spark derives from the curated pairs and the driver's ``embeddings``.
 
-Fixture rules (also written in SQL in ``plans.oracle_eval``); the tables are checkpointed stages
+Fixture rules (also written in SQL in ``plans.oracle_eval``); the tables are materialised stages
 of the session's ``Curation``, shared by every query that reads them:
 * corpus: the bidirectional expansion of the pairs, record_id = 2 * pair_id + direction;
 * comparison: one English-to-French sample per pair x 4 translators; vectors are rows of
