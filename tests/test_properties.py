@@ -166,3 +166,10 @@ def test_require_model():
         assert "m2m100_418m" in str(e)
     else:
         raise AssertionError("expected UnknownModelError")
+
+
+def test_split_by_pair_keeps_both_directions_together(spark):
+    recs = P.bidirectional(curation(spark, SF_SMALL).pairs())
+    by_pair = S.train_eval_split(recs, "pair_id")
+    mixed = by_pair.groupBy("pair_id").agg(F.countDistinct("split").alias("k")).where("k > 1")
+    assert mixed.count() == 0
