@@ -49,14 +49,21 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"
 
 
 def check_schema(df: DataFrame, schema: Ty.StructType) -> DataFrame:
-    """Fail early when a table lacks a column or has it with another type."""
+    """Fail early when a table lacks a column or has it with an incompatible type; numeric columns
+    of another width (int ids, float similarities from a pandas export) are cast."""
     have = {f.name: f.dataType for f in df.schema.fields}
+    cols = []
     for f in schema.fields:
         if f.name not in have:
             raise ValueError(f"missing column {f.name}")
-        if have[f.name] != f.dataType:
-            raise ValueError(f"column {f.name} is {have[f.name].simpleString()}, expected {f.dataType.simpleString()}")
-    return df.select(*[f.name for f in schema.fields])
+        got = have[f.name]
+        if got == f.dataType:
+            cols.append(F.col(f.name))
+        elif isinstance(got, Ty.NumericType) and isinstance(f.dataType, Ty.NumericType):
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            raise ValueError(f"column {f.name} is {got.simpleString()}, expected {f.dataType.simpleString()}")
+    return df.select(*cols)
 
 
 def read_pairs(spark: SparkSession, path: str, schema: Ty.StructType = PAIR_SCHEMA) -> DataFrame:

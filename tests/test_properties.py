@@ -173,3 +173,19 @@ def test_split_by_pair_keeps_both_directions_together(spark):
     by_pair = S.train_eval_split(recs, "pair_id")
     mixed = by_pair.groupBy("pair_id").agg(F.countDistinct("split").alias("k")).where("k > 1")
     assert mixed.count() == 0
+
+
+def test_read_pairs_casts_numeric_widths_and_rejects_text(spark, scratch):
+    path = os.path.join(scratch, "p")
+    spark.createDataFrame([(1, "a", "b", 0.5)], "pair_id int, fr string, en string, similarity float") \
+         .write.parquet(path)
+    df = IO.read_pairs(spark, path)
+    assert dict(df.dtypes) == {"pair_id": "bigint", "fr": "string", "en": "string", "similarity": "double"}
+    bad = os.path.join(scratch, "q")
+    spark.createDataFrame([(1, 2, "b", 0.5)], "pair_id long, fr int, en string, similarity double").write.parquet(bad)
+    try:
+        IO.read_pairs(spark, bad)
+    except ValueError as e:
+        assert "fr" in str(e)
+    else:
+        raise AssertionError("expected a schema error")
