@@ -60,9 +60,15 @@ def lexicon_split(mapping: DataFrame, lexicon: DataFrame) -> DataFrame:
                  .withColumn("in_lexicon", F.coalesce(F.col("in_lexicon"), F.lit(False))))
 
 
-def top_words(split: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE) -> DataFrame:
-    """Op 76: rank the non-lexicon entries by (count desc, accented asc); rank <= cutoff repairs."""
+def top_words(split: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE, skip_identity: bool = False) -> DataFrame:
+    """Op 76: rank the non-lexicon entries by (count desc, accented asc); rank <= cutoff repairs.
+
+    Entries whose accent-stripped form is the word itself (``cœur``: no combining marks to drop)
+    take ranks and, below the cut-off, make a correct word count as an issue, as in the original;
+    ``skip_identity=True`` leaves them out."""
     candidates = split.where(~F.col("in_lexicon")).select("anglicised", "accented", "count")
+    if skip_identity:
+        candidates = candidates.where(F.col("anglicised") != F.col("accented"))
     ranked = with_ordinal(candidates, order=[F.col("count").desc(), F.col("accented").asc()],
                           out_col="vocab_rank")
     ranked = ranked.withColumn("vocab_rank", F.col("vocab_rank") + 1)

@@ -70,6 +70,7 @@ class Curation:
     cutoff: int = K.ACCENT_MAP_SIZE
     pairs_source: DataFrame | None = None
     lexicon_source: DataFrame | None = None
+    skip_identity: bool = False
 
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
@@ -101,7 +102,8 @@ class Curation:
         return A.lexicon_split(self.accent_mapping(), self.lexicon())
 
     def vocabulary(self) -> DataFrame:
-        return self.stage("vocabulary", lambda: A.top_words(self.lexicon_split(), self.cutoff))
+        return self.stage("vocabulary",
+                          lambda: A.top_words(self.lexicon_split(), self.cutoff, self.skip_identity))
 
     def uncommon_words(self) -> DataFrame:
         return self.vocabulary().where(~F.col("in_map")).select(F.col("anglicised").alias("word"))
@@ -130,11 +132,12 @@ def _checked_pairs(df: DataFrame) -> DataFrame:
     return out.withColumn("similarity", F.nanvl(F.col("similarity"), F.lit(None).cast("double")))
 
 
-def curate(spark: SparkSession, pairs: DataFrame, lexicon: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE) -> Curation:
+def curate(spark: SparkSession, pairs: DataFrame, lexicon: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE,
+           skip_identity: bool = False) -> Curation:
     """The curation chain over a caller's own pair table (pair_id, fr, en, similarity) and French
     lexicon (word). ``curate(...).gated()`` is the flag table; ``training_pairs`` / ``relaxed_test_pairs``
     in ``operators.gates`` give the two outputs."""
-    return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon)
+    return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon, skip_identity=skip_identity)
 
 
 _SESSIONS: dict[tuple[str, str, int], Curation] = {}
