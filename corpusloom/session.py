@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "corpusloom") -> SparkSession:
+                  app_name: str = "corpusloom", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings this library is tuned for (AQE, skew join, Arrow, UI off)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -30,6 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
