@@ -134,4 +134,7 @@ def tokens(c: Curation) -> DataFrame:
 
 
 def shuffled_split(c: Curation) -> DataFrame:
-    return c.stage("shuffled_split", lambda: S.seeded_shuffle(split_corpus(c), "record_id"))
+    """(record_id, split, position): only the ids travel through the distributed sort; consumers
+    join the positions to whatever record columns they need."""
+    return c.stage("shuffled_split",
+                   lambda: S.seeded_shuffle(split_corpus(c).select("record_id", "split"), "record_id"))
