@@ -99,6 +99,16 @@ def word_vocabulary(records: DataFrame) -> DataFrame:
     return ranked.select("token", (F.col("rank") + FIRST_WORD_ID).alias("token_id"))
 
 
+_SIDE_SHIFT, _POS_SHIFT, _ID_MASK = 62, 31, (1 << 31) - 1
+
+
+def _pack(side: Column, pos: Column, token_id: Column) -> Column:
+    """side (1 bit) | position (31 bits) | token id (31 bits) in one long."""
+    return (F.shiftleft(side.cast("long"), _SIDE_SHIFT)
+            .bitwiseOR(F.shiftleft(pos.cast("long"), _POS_SHIFT))
+            .bitwiseOR(token_id.cast("long")))
+
+
 def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int = K.MAX_SOURCE_LEN,
                      max_target_len: int = K.MAX_TARGET_LEN) -> DataFrame:
     """Strip, tokenise source -> input_ids and target -> labels, truncate (end token included),
@@ -113,14 +123,18 @@ def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int =
                     F.struct(F.lit(1).alias("side"), T.whitespace_tokens(T.py_strip("target")).alias("toks")))
     per_side = valid.select("record_id", "source_lang", F.inline(sides))
     toks = per_side.select("record_id", "source_lang", "side", F.posexplode("toks").alias("pos", "token"))
-    ided = (toks.join(broadcast_if_small(vocab, VOCAB_BROADCAST_MAX_ROWS), "token", "left")
-                .select("record_id", "source_lang", "side", "pos",
-                        F.coalesce("token_id", F.lit(UNK_ID)).cast("int").alias("token_id")))
-    grouped = (ided.groupBy("record_id", "source_lang")
-                   .agg(F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_s")))
+    # truncation before the shuffle: tokens past the length limit never leave their task
+    keep = F.when(F.col("side") == 0, F.col("pos") < max_source_len - 1).otherwise(F.col("pos") < max_target_len - 1)
+    ided = (toks.where(keep)
+                .join(broadcast_if_small(vocab, VOCAB_BROADCAST_MAX_ROWS), "token", "left")
+                .select("record_id", "source_lang",
+                        _pack(F.col("side"), F.col("pos"), F.coalesce("token_id", F.lit(UNK_ID))).alias("_p")))
+    # one long per token in the shuffle; sorting the longs sorts by (side, pos)
+    grouped = ided.groupBy("record_id", "source_lang").agg(F.array_sort(F.collect_list("_p")).alias("_s"))
 
     def ids(side: int, max_len: int):
-        picked = F.transform(F.filter("_s", lambda t: t["side"] == side), lambda t: t["token_id"])
+        picked = F.transform(F.filter("_s", lambda x: F.shiftright(x, _SIDE_SHIFT) == side),
+                             lambda x: x.bitwiseAND(F.lit(_ID_MASK)).cast("int"))
         return F.concat(F.slice(picked, 1, max_len - 1), F.array(F.lit(EOS_ID)))
 
     out = grouped.select("record_id", "source_lang", ids(0, max_source_len).alias("input_ids"),
