@@ -188,6 +188,14 @@ def dot(a, b) -> Column:
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
+def norm(a) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine_similarity(a, b, digits: int = 6) -> Column:
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.round(F.try_divide(dot(a, b), norm), digits)
+    return cosine_from_norms(a, b, norm(a), norm(b), digits)
+
+
+def cosine_from_norms(a, b, norm_a, norm_b, digits: int = 6) -> Column:
+    """Cosine with the norms computed once per vector (e.g. per embedding row) instead of per pair."""
+    return F.round(F.try_divide(dot(a, b), _col(norm_a) * _col(norm_b)), digits)

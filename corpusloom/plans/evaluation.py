@@ -46,15 +46,17 @@ def comparison(c: Curation) -> DataFrame:
 def _comparison(c: Curation) -> DataFrame:
     emb = embeddings(c)
     n_vec = F.lit(emb.count())
-    vec = emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    # each vector's norm once per embedding row; each cosine is then a single dot product
+    vec = (emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+              .withColumn("norm", T.norm("vec")))
     samples = c.pairs().select(
         "pair_id", F.col("en").alias("source"), F.col("fr").alias("target"), F.lit("en").alias("source_lang"),
         (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"))
     # source and target vectors are per sample: join and compare them before the fan-out
-    per_sample = (samples.join(vec.toDF("src_vec_id", "src_vec"), "src_vec_id")
-                         .join(vec.toDF("tgt_vec_id", "tgt_vec"), "tgt_vec_id")
+    per_sample = (samples.join(vec.toDF("src_vec_id", "src_vec", "src_norm"), "src_vec_id")
+                         .join(vec.toDF("tgt_vec_id", "tgt_vec", "tgt_norm"), "tgt_vec_id")
                          .withColumn("cosine_similarity_original_translation",
-                                     T.cosine_similarity("src_vec", "tgt_vec")))
+                                     T.cosine_from_norms("src_vec", "tgt_vec", "src_norm", "tgt_norm")))
     names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
                       for k, name in enumerate(COMPARED)])
     rows = per_sample.select("*", F.inline(names)).withColumns({
@@ -62,13 +64,13 @@ def _comparison(c: Curation) -> DataFrame:
         "translated_text": F.when(F.col("translator_name").endswith("_finetuned"),
                                   T.clean_common_patterns("target")).otherwise(F.col("target")),
     })
-    joined = rows.join(vec.toDF("trans_vec_id", "trans_vec"), "trans_vec_id")
+    joined = rows.join(vec.toDF("trans_vec_id", "trans_vec", "trans_norm"), "trans_vec_id")
     other = F.when(F.col("source_lang") == "fr", F.lit("en")).otherwise(F.lit("fr"))
     return joined.select(
         "pair_id", "source", "target", "source_lang", other.alias("other_lang"), "translator_name",
         "translated_text", "cosine_similarity_original_translation",
-        T.cosine_similarity("src_vec", "trans_vec").alias("cosine_similarity_vs_source"),
-        T.cosine_similarity("tgt_vec", "trans_vec").alias("cosine_similarity_vs_target"),
+        T.cosine_from_norms("src_vec", "trans_vec", "src_norm", "trans_norm").alias("cosine_similarity_vs_source"),
+        T.cosine_from_norms("tgt_vec", "trans_vec", "tgt_norm", "trans_norm").alias("cosine_similarity_vs_target"),
     )
 
 
