@@ -77,9 +77,10 @@ def route_language(records: DataFrame, models=K.MODEL_REGISTRY) -> DataFrame:
 
 
 def train_sizes(split_records: DataFrame, reg: DataFrame) -> DataFrame:
-    """Op 72: rows per split after the language restriction and validity filter, and steps per epoch."""
+    """Op 72: rows per split after the language restriction and validity filter, and steps per epoch.
+    The validity filter does not depend on the model, so it runs before the fan-out to models."""
     from .gates import drop_invalid_examples, restrict_language
-    kept = drop_invalid_examples(restrict_language(split_records))
+    kept = restrict_language(drop_invalid_examples(split_records))
     counts = kept.groupBy("model").agg(F.count_if(F.col("split") == "train").alias("train_rows"),
                                        F.count_if(F.col("split") == "eval").alias("eval_rows"))
     r = F.broadcast(reg.select("model", "batch_size", "grad_accum"))

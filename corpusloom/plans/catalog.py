@@ -551,14 +551,14 @@ def q_restrict_language(spark, sf):
 
 @register("drop_invalid_examples", with_all("SELECT model, record_id FROM valid"))
 def q_drop_invalid(spark, sf):
-    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf))))
+    kept = G.restrict_language(G.drop_invalid_examples(EV.split_corpus(_c(spark, sf))))
     return kept.select("model", "record_id")
 
 
 @register("require_rows", with_all(
     "SELECT model, CAST(count(*) AS BIGINT) AS n_rows FROM valid GROUP BY model"))
 def q_require_rows(spark, sf):
-    kept = G.drop_invalid_examples(G.restrict_language(EV.split_corpus(_c(spark, sf))))
+    kept = G.restrict_language(G.drop_invalid_examples(EV.split_corpus(_c(spark, sf))))
     G.require_rows(kept, "filtering")
     return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
 
