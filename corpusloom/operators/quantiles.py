@@ -7,7 +7,8 @@ of the data lands in one task's memory. The value wanted for probability p is
 
 (pandas' default ``linear`` method and DuckDB's ``quantile_cont``); missing values and NaN are skipped.
 
-Strategy (no global sort of the data):
+Groups proven small by a count (at most AGGREGATE_MAX_ROWS_PER_GROUP values) use Spark's exact
+``percentile`` aggregate. Larger groups use the bracket strategy (no global sort of the data):
 
 1. one aggregate per group: the row count and a ``percentile_approx`` sketch (bounded memory) at
    p -/+ a margin of a few times the sketch's rank error, which brackets each wanted rank;
@@ -31,19 +32,34 @@ from .ordinal import with_ordinal
 from .sizing import broadcast_if_small
 
 SKETCH_ACCURACY = 10000
+# groups of at most this many values use Spark's exact ``percentile`` aggregate directly (its
+# value->count map then holds at most this many entries per group); larger groups take the sketch path
+AGGREGATE_MAX_ROWS_PER_GROUP = 1_000_000
 # per-group summary tables (one row per group and percentile) are broadcast up to this size
 TARGETS_BROADCAST_MAX_ROWS = 1_000_000
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
                       names: Sequence[str], digits: int | None = 6,
-                      accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                      accuracy: int = SKETCH_ACCURACY, method: str = "auto") -> DataFrame:
+    """``method``: "auto" (size check), "aggregate" (Spark's exact percentile; small groups only) or
+    "sketch" (the bracket method, for groups of any size)."""
     groups = list(groups)
     keys = groups or ["_all"]
     vals = df.select(*groups, F.col(value).cast("double").alias("_v")) \
              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not groups:
         vals = vals.withColumn("_all", F.lit(0))
+    if method == "auto":
+        largest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        method = "aggregate" if largest <= AGGREGATE_MAX_ROWS_PER_GROUP else "sketch"
+    if method == "aggregate":
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+        out = vals.groupBy(*keys).agg(q.alias("_qs"))
+        cols = [(F.round(F.col("_qs")[i], digits) if digits is not None else F.col("_qs")[i]).alias(nm)
+                for i, nm in enumerate(names)]
+        out = out.select(*keys, *cols)
+        return out.drop("_all") if not groups else out
 
     targets = _targets(vals, keys, probs, names, accuracy)
     counts = (vals.join(targets, keys, "inner")

@@ -42,15 +42,18 @@ def test_exact_percentiles_equal_numpy(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.00135, 0.01, 0.5, 0.9, 0.99865]
     names = [f"p{i}" for i in range(len(probs))]
-    got = exact_percentiles(df, ["g"], "v", probs, names).first()
-    want = np.percentile(vals, [p * 100 for p in probs])
-    assert [got[n] for n in names] == [round(float(x), 6) for x in want]
+    want = [round(float(x), 6) for x in np.percentile(vals, [p * 100 for p in probs])]
+    for method in ("auto", "aggregate", "sketch"):
+        got = exact_percentiles(df, ["g"], "v", probs, names, method=method).first()
+        assert [got[n] for n in names] == want, method
 
 
 def test_exact_percentiles_golden(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 4, 10]], "v double")
-    got = exact_percentiles(df, [], "v", [0.01, 0.1, 0.5, 0.9, 0.99], ["a", "b", "c", "d", "e"]).first()
-    assert [got[k] for k in "abcde"] == [1.04, 1.4, 3.0, 7.6, 9.76]
+    for method in ("aggregate", "sketch"):
+        got = exact_percentiles(df, [], "v", [0.01, 0.1, 0.5, 0.9, 0.99], ["a", "b", "c", "d", "e"],
+                                method=method).first()
+        assert [got[k] for k in "abcde"] == [1.04, 1.4, 3.0, 7.6, 9.76], method
 
 
 def test_split_is_stable_under_repartitioning(spark):
@@ -126,7 +129,7 @@ def test_exact_percentiles_with_coarse_sketch_and_forced_fallback(spark, monkeyp
     probs = [0.001, 0.25, 0.5, 0.9, 0.999]
     names = [f"q{i}" for i in range(len(probs))]
     want = [round(float(x), 6) for x in np.percentile(vals, [p * 100 for p in probs])]
-    coarse = Q.exact_percentiles(df, ["g"], "v", probs, names, accuracy=20).first()
+    coarse = Q.exact_percentiles(df, ["g"], "v", probs, names, accuracy=20, method="sketch").first()
     assert [coarse[n] for n in names] == want
     real_targets = Q._targets
 
@@ -135,7 +138,7 @@ def test_exact_percentiles_with_coarse_sketch_and_forced_fallback(spark, monkeyp
         return t.withColumn("_blo", F.col("_bhi") + 1.0).withColumn("_bhi", F.col("_blo") + 1.0)
 
     monkeypatch.setattr(Q, "_targets", shifted)
-    fallback = Q.exact_percentiles(df, ["g"], "v", probs, names).first()
+    fallback = Q.exact_percentiles(df, ["g"], "v", probs, names, method="sketch").first()
     assert [fallback[n] for n in names] == want
 
 
