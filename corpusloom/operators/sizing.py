@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows; otherwise leave the join to a shuffle
-    (with AQE's skew-join handling). Meant for tables that are already materialised (checkpointed
+    (with AQE's skew-join handling). Meant for tables that are already materialised (written
     stages, aggregated vocabularies), where the count is cheap."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -1,4 +1,4 @@
-"""Entry 1 of the original project as one lazy DataFrame chain with stage checkpoints.
+"""Entry 1 of the original project as one lazy DataFrame chain, written out stage by stage.
 
 pairs -> features (ratios, annotation counts, one-character words; pre-repair text)
       -> apostrophe repair -> accent vocabulary -> accent repair -> uncommon-word count
