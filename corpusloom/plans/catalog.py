@@ -661,8 +661,8 @@ def embedding_lookup(c) -> Callable[[DataFrame], DataFrame]:
         n_vec = emb.count()
         keyed = texts.distinct().withColumn(
             "vec_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.lit(n_vec))
-        return keyed.join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id") \
-                    .select("text", "vec")
+        # vectors stay float32 (as stored) through the joins; the dot products widen each element
+        return keyed.join(emb.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("text", "vec")
     return encode
 
 
