@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -205,3 +206,19 @@ def test_identity_accent_entries(spark):
     # as in the original: with the identity entry ranked first, "été" falls below the cut-off
     g = {r["pair_id"]: r["potential_fr_accent_issues"] for r in curate(spark, pairs, lexicon, cutoff=1).features().collect()}
     assert g == {1: 0, 2: 0}
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("parts", [None, 3])
+def test_ordinal_independent_of_adaptive_execution(spark, aqe, parts):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        df = spark.range(0, 2000).select((F.col("id") % 7).alias("v"), F.col("id")).repartition(5)
+        got = with_ordinal(df, order=["v", "id"], out_col="o", num_partitions=parts)
+        rows = sorted((r["v"], r["id"], r["o"]) for r in got.collect())
+        want = sorted(zip([v for v, _ in sorted((i % 7, i) for i in range(2000))],
+                          [i for _, i in sorted((i % 7, i) for i in range(2000))], range(2000)))
+        assert rows == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
