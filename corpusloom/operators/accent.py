@@ -83,44 +83,40 @@ def replacement_map(ranked: DataFrame) -> DataFrame:
 def replace_accents(df: DataFrame, ranked: DataFrame, cutoff: int, text_col: str, out_col: str,
                     key: str = "pair_id") -> DataFrame:
     """Op 26: whole-word replacement of anglicised words by their accented spelling (all columns of
-    ``df`` kept)."""
-    rebuilt = replaced_text(df, ranked, cutoff, text_col, out_col, key)
-    return with_replaced_text(df, rebuilt, text_col, out_col, key)
-
-
-def with_replaced_text(df: DataFrame, rebuilt: DataFrame, text_col: str, out_col: str,
-                       key: str = "pair_id") -> DataFrame:
-    """Join the re-assembled text back; rows without any run keep their text, NULL stays NULL."""
-    out = df.join(rebuilt, key, "left")
-    return out.withColumn(out_col, F.when(F.col(text_col).isNull(), F.lit(None).cast("string"))
-                          .otherwise(F.coalesce(F.col(out_col), F.col(text_col))))
-
-
-def replaced_text(df: DataFrame, ranked: DataFrame, cutoff: int, text_col: str, out_col: str,
-                  key: str = "pair_id") -> DataFrame:
-    """(key, out_col): the replaced text of every row that has at least one run.
-
-    The text is cut into word / non-word runs (``posexplode``), each run is looked up with a hash
-    join, and the runs are put back together per row with one shuffle on ``key`` (the result comes
-    out hash-partitioned by ``key``, which later per-row aggregates reuse). The map has at most
-    ``cutoff`` rows, so up to MAP_BROADCAST_MAX_ENTRIES it is broadcast and the runs are never
-    shuffled for the lookup (a shuffle by run would put every single-space run in one task).
-    Beyond that bound only word runs take part in a shuffle join, where AQE's skew-join handling
-    splits hot words.
+    ``df`` kept, ``out_col`` added)."""
+    return apply_changes(df, accent_changes(df, ranked, cutoff, text_col, key), text_col, out_col, key)
+
+
+def accent_changes(df: DataFrame, ranked: DataFrame, cutoff: int, text_col: str, key: str = "pair_id") -> DataFrame:
+    """(key, _changes): per row, map<run index, accented spelling> of the word runs that change.
+
+    The text is cut into word / non-word runs (``posexplode``) and every run is looked up with a hash
+    join; only the runs whose spelling changes are shuffled to be gathered per row, so the shuffle is
+    proportional to the repairs, not to the text. The map has at most ``cutoff`` rows, so up to
+    MAP_BROADCAST_MAX_ENTRIES it is broadcast and runs are never shuffled for the lookup (a shuffle
+    by run would put every single-space run in one task). Beyond that bound only word runs take part
+    in a shuffle join, where AQE's skew-join handling splits hot words.
     """
     runs = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(T.WORD_RUNS), 0))
                      .alias("run_pos", "run"))
     entries = replacement_map(ranked)
     if cutoff <= MAP_BROADCAST_MAX_ENTRIES:
-        swapped = runs.join(F.broadcast(entries), "run", "left")
+        hits = runs.join(F.broadcast(entries), "run", "inner")
     else:
-        is_word = F.col("run").rlike(r"^[\p{L}\p{N}_]")
-        swapped = (runs.where(is_word).join(entries, "run", "left")
-                       .unionByName(runs.where(~is_word).withColumn("accented", F.lit(None).cast("string"))))
-    swapped = swapped.select(key, "run_pos", F.coalesce("accented", "run").alias("run"))
-    return (swapped.groupBy(key)
-                   .agg(F.array_sort(F.collect_list(F.struct("run_pos", "run"))).alias("runs"))
-                   .select(key, F.array_join(F.transform("runs", lambda r: r["run"]), "").alias(out_col)))
+        hits = runs.where(F.col("run").rlike(r"^[\p{L}\p{N}_]")).join(entries, "run", "inner")
+    changed = hits.where(F.col("accented") != F.col("run"))
+    return changed.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("run_pos", "accented"))).alias("_changes"))
+
+
+def apply_changes(df: DataFrame, changes: DataFrame, text_col: str, out_col: str, key: str = "pair_id") -> DataFrame:
+    """Rebuild each row's text from its own runs with the changed runs swapped in; rows without
+    changes keep their text (NULL stays NULL)."""
+    joined = df.join(changes, key, "left")
+    runs = F.regexp_extract_all(F.col(text_col), F.lit(T.WORD_RUNS), 0)
+    rebuilt = F.array_join(F.transform(runs, lambda r, i: F.coalesce(F.try_element_at("_changes", i), r)), "")
+    return joined.withColumn(out_col, F.when(F.col("_changes").isNull(), F.col(text_col)).otherwise(rebuilt)) \
+                 .drop("_changes")
 
 
 def word_list_hits(df: DataFrame, words: DataFrame, text_col: str, out_col: str,

@@ -111,14 +111,12 @@ class Curation:
     def features(self) -> DataFrame:
         """Feature table after both repairs, with the uncommon-word count."""
         def build():
-            # the re-assembled text is hash-partitioned by pair_id, so counting its uncommon words
-            # (broadcast lookup + per-pair count + join) adds no shuffle; one join brings it back
+            # only the changed runs are shuffled; the join leaves the rows hash-partitioned by
+            # pair_id, so the uncommon-word count (broadcast lookup, per-pair count, join) adds none
             pre = self.features_pre()
-            rebuilt = A.replaced_text(pre, self.vocabulary(), self.cutoff, "fr_apos", "fr")
-            counted = A.word_list_hits(rebuilt, self.uncommon_words(), "fr", "potential_fr_accent_issues")
-            out = A.with_replaced_text(pre, counted, "fr_apos", "fr")
-            return out.withColumn("potential_fr_accent_issues",
-                                  F.coalesce(F.col("potential_fr_accent_issues"), F.lit(0)).cast("long"))
+            changes = A.accent_changes(pre, self.vocabulary(), self.cutoff, "fr_apos")
+            fixed = A.apply_changes(pre, changes, "fr_apos", "fr")
+            return A.word_list_hits(fixed, self.uncommon_words(), "fr", "potential_fr_accent_issues")
         return self.stage("features", build)
 
     def gated(self) -> DataFrame:
