@@ -75,16 +75,16 @@ class Curation:
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
 
-    def stage(self, name: str, build) -> DataFrame:
+    def stage(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
         if name not in self._memo:
-            self._memo[name] = materialize(build(), f"stage-{name}")
+            self._memo[name] = materialize(build(), f"stage-{name}", bucket_by)
         return self._memo[name]
 
     # -- stages ---------------------------------------------------------------------------------
     def pairs(self) -> DataFrame:
         if self.pairs_source is not None:
-            return self.stage("pairs", lambda: _checked_pairs(self.pairs_source))
-        return self.stage("pairs", lambda: X.derive_pairs(self.spark, self.sf_dir))
+            return self.stage("pairs", lambda: _checked_pairs(self.pairs_source), "pair_id")
+        return self.stage("pairs", lambda: X.derive_pairs(self.spark, self.sf_dir), "pair_id")
 
     def lexicon(self) -> DataFrame:
         if self.lexicon_source is not None:
@@ -92,7 +92,7 @@ class Curation:
         return self.stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
 
     def features_pre(self) -> DataFrame:
-        return self.stage("features_pre", lambda: feature_columns(self.pairs()))
+        return self.stage("features_pre", lambda: feature_columns(self.pairs()), "pair_id")
 
     def accent_mapping(self) -> DataFrame:
         return self.stage("accent_mapping",
@@ -117,10 +117,10 @@ class Curation:
             changes = A.accent_changes(pre, self.vocabulary(), self.cutoff, "fr_apos")
             fixed = A.apply_changes(pre, changes, "fr_apos", "fr")
             return A.word_list_hits(fixed, self.uncommon_words(), "fr", "potential_fr_accent_issues")
-        return self.stage("features", build)
+        return self.stage("features", build, "pair_id")
 
     def gated(self) -> DataFrame:
-        return self.stage("gated", lambda: G.add_gate_columns(self.features()))
+        return self.stage("gated", lambda: G.add_gate_columns(self.features()), "pair_id")
 
 
 def _checked_pairs(df: DataFrame) -> DataFrame:

@@ -60,14 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and survives executor loss, and unlike a checkpointed
     RDD the stage keeps column pruning, predicate pushdown and file-size statistics for the
-    optimizer's broadcast decisions.
+    optimizer's broadcast decisions. With ``bucket_by`` the table is hash-bucketed on that column
+    (one file per bucket, as many buckets as shuffle partitions) and registered as an external
+    table, so later joins and aggregations on the column read it already partitioned.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    if bucket_by is None:
+        df.write.mode("error").parquet(path)
+        return spark.read.parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "corpusloom_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    (df.repartition(buckets, bucket_by).write.mode("error").option("path", path)
+       .bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table))
+    return spark.table(table)
