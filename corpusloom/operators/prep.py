@@ -111,27 +111,29 @@ def _pack(side: Column, pos: Column, token_id: Column) -> Column:
 
 
 def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int = K.MAX_SOURCE_LEN,
-                     max_target_len: int = K.MAX_TARGET_LEN) -> DataFrame:
+                     max_target_len: int = K.MAX_TARGET_LEN, partition_keys: tuple[str, ...] = ()) -> DataFrame:
     """Strip, tokenise source -> input_ids and target -> labels, truncate (end token included),
     drop empty targets; the m2m100-style per-row decoder inputs start with the target language id.
 
     Both sides are exploded together, looked up in one join (the vocabulary is broadcast when its
     row count is within the bound, else shuffle-joined with AQE skew handling for hot words), and
-    re-assembled with a single group-by on record_id: one shuffle of the tokens.
+    re-assembled with a single group-by on record_id: one shuffle of the tokens. When the records
+    arrive partitioned by a coarser key (``partition_keys``, e.g. pair_id of a bucketed pair table),
+    grouping by it as well lets Spark reuse that partitioning and skip the shuffle.
     """
     valid = records.where(F.length(T.py_strip("target")) > 0)
     sides = F.array(F.struct(F.lit(0).alias("side"), T.whitespace_tokens(T.py_strip("source")).alias("toks")),
                     F.struct(F.lit(1).alias("side"), T.whitespace_tokens(T.py_strip("target")).alias("toks")))
-    per_side = valid.select("record_id", "source_lang", F.inline(sides))
-    toks = per_side.select("record_id", "source_lang", "side", F.posexplode("toks").alias("pos", "token"))
+    keys = [*partition_keys, "record_id", "source_lang"]
+    per_side = valid.select(*keys, F.inline(sides))
+    toks = per_side.select(*keys, "side", F.posexplode("toks").alias("pos", "token"))
     # truncation before the shuffle: tokens past the length limit never leave their task
     keep = F.when(F.col("side") == 0, F.col("pos") < max_source_len - 1).otherwise(F.col("pos") < max_target_len - 1)
     ided = (toks.where(keep)
                 .join(broadcast_if_small(vocab, VOCAB_BROADCAST_MAX_ROWS), "token", "left")
-                .select("record_id", "source_lang",
-                        _pack(F.col("side"), F.col("pos"), F.coalesce("token_id", F.lit(UNK_ID))).alias("_p")))
+                .select(*keys, _pack(F.col("side"), F.col("pos"), F.coalesce("token_id", F.lit(UNK_ID))).alias("_p")))
     # one long per token in the shuffle; sorting the longs sorts by (side, pos)
-    grouped = ided.groupBy("record_id", "source_lang").agg(F.array_sort(F.collect_list("_p")).alias("_s"))
+    grouped = ided.groupBy(*keys).agg(F.array_sort(F.collect_list("_p")).alias("_s"))
 
     def ids(side: int, max_len: int):
         picked = F.transform(F.filter("_s", lambda x: F.shiftright(x, _SIDE_SHIFT) == side),

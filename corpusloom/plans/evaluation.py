@@ -133,7 +133,8 @@ def vocabulary(c: Curation) -> DataFrame:
 
 
 def tokens(c: Curation) -> DataFrame:
-    return c.stage("tokens", lambda: P.tokenize_records(corpus(c), vocabulary(c)))
+    # the corpus comes from the pair stage bucketed by pair_id: grouping by it too avoids a shuffle
+    return c.stage("tokens", lambda: P.tokenize_records(corpus(c), vocabulary(c), partition_keys=("pair_id",)))
 
 
 def shuffled_split(c: Curation) -> DataFrame:
