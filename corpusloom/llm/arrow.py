@@ -24,7 +24,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list[StructField],
-                   fn: Callable[[list[str | None]], dict[str, Iterable]]) -> DataFrame:
+                   fn: Callable[[list[str | None]], dict[str, Iterable]], max_chars: int = BLOCK_CHARS) -> DataFrame:
     """``df`` with the columns that ``fn`` derives from the texts of one block of rows.
 
     Rows stay where they are: no shuffle, one output row per input row. A column of ``df`` whose name
@@ -40,7 +40,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_blocks(batch.column(at)):
+            for start, texts in text_blocks(batch.column(at), max_chars):
                 part, out = batch.slice(start, len(texts)), fn(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[n], k) for n, k in zip(names, kinds)]],
                                                  names=[*part.schema.names, *names])
