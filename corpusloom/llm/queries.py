@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, mixing, simhash, url_filter, winnowing
+from . import bpe, bsi_topk, language_id, license_scan, mixing, simhash, toxicity, url_filter, winnowing, wordpiece
 from .arrow import held_out
 
 
@@ -34,10 +34,21 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bsi_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules(spark))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.col("predicted").cast("int").alias("predicted"), "n_hits")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,6 +59,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary_path("byte_bpe_50k.json")).drop("text")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = wordpiece.automaton(vocabulary_path("byte_bpe_50k.json"))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -56,9 +72,12 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_winnowing": op3_winnowing,
+    "op4_bsi_topk": op4_bsi_topk,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
