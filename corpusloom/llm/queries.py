@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, bsi_topk, language_id, license_scan, mixing, simhash, toxicity, url_filter, winnowing, wordpiece
 from .arrow import held_out
+from .oracles import ORACLE  # noqa: F401  registered beside QUERIES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,5 +81,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE: dict[str, str] = {}
