@@ -21,7 +21,7 @@ def duckdb_frame(sql: str, sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or type(v).__name__ == "NAType":
         return None
     if isinstance(v, float):
         if math.isnan(v):
