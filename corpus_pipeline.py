@@ -10,26 +10,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id
+from corpusloom.llm import bpe, language_id, mixing, simhash, toxicity
 from corpusloom.llm.arrow import held_out
+from corpusloom.llm.queries import table, vocabulary_path
 from corpusloom.session import materialize
 
+#: A document is rejected if no language has this mean marginal over its words.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column renamed, so that no extra column can clash with an operator's output."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1. A document goes if it has no letters, or if no language has a mean marginal of 0.3."""
+    """Operator 1. A document goes if it has no letters, or if no language has a mean marginal of ``MIN_LANGUAGE_SCORE``."""
     model = language_id.train(docs.where(~held_out()))
-    labelled = language_id.label_languages(docs, model)
-    return labelled.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= 0.3)).select(docs.columns)
+    labelled = language_id.label_languages(_apart(docs), model, "in_text")
+    return _back(labelled.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
+
+
+def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6. A document goes if it is predicted toxic (score 0.3 or more)."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return _back(toxicity.score_toxicity(_apart(docs), model, "in_text").where("predicted = 0"), docs)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7 with shingles of 3 words and at most 2 bits. The smallest doc_id of each group stays."""
+    return _back(simhash.keep_one(_apart(docs), "in_doc_id", "in_text", shingle=3, max_distance=2), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10. Each document stays as often as the mix takes it: not at all, once, or up to three times."""
+    return _back(mixing.repeat_taken(_apart(docs), "in_doc_id", "in_text", "in_source"), docs)
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8. One row per document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    coded = bpe.round_trip(_apart(docs).select("in_doc_id", "in_text"), vocabulary_path("byte_bpe_50k.json"), "in_text")
+    return coded.select(F.col("in_doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("language_id", identify_language)]
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", filter_toxicity),
+    ("simhash_near_dedup", remove_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode_and_decode),
+]
 
 #: Models, Hamming links and byte-level merges are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """The rows of the last stage over all of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
