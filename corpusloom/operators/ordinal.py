@@ -53,3 +53,23 @@ def with_ordinal(df: DataFrame, order: Sequence[Column | str], out_col: str = "o
         *[F.col(f"r.{c}") for c in df.columns],
         (F.col("o._base") + F.col("r._tag") - F.col("o._first")).alias(out_col),
     )
+
+
+def with_running_total(df: DataFrame, order: Sequence[Column | str], value_col: str, out_col: str,
+                       groups: Sequence[str] = ()) -> DataFrame:
+    """``out_col``: the sum of ``value_col`` over the rows before this one in the order of its group. The same
+    range sort as ``with_ordinal``; a partition's rows are summed by a window over (partition, group), the
+    partitions' totals by one over a table with a row per (partition, group)."""
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    group_cols = [F.col(g) for g in groups]
+    ranged = df.repartitionByRange(*group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols) \
+               .withColumn("_tag", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "running").withColumn("_part", F.shiftright(F.col("_tag"), _LOW_BITS))
+    before = Window.partitionBy("_part", *group_cols).orderBy("_tag").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("_inner", F.coalesce(F.sum(value_col).over(before), F.lit(0)))
+    stats = ranged.groupBy("_part", *group_cols).agg(F.sum(value_col).alias("_n"))
+    w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(stats.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))), "running-offsets")
+    keys = [F.col("r._part") == F.col("o._part")] + [F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}")) for g in groups]
+    joined = inner.alias("r").join(broadcast_if_small(offsets, 1_000_000).alias("o"), on=keys, how="inner")
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("o._base") + F.col("r._inner")).alias(out_col))

@@ -276,7 +276,7 @@ def q_accented_tokens(spark, sf):
 
 @register("replace_words", with_all("SELECT pair_id, fr FROM features"))
 def q_replace_words(spark, sf):
-    return _c(spark, sf).features().select("pair_id", "fr")
+    return _c(spark, sf).features_core().select("pair_id", "fr")
 
 
 def _hits(list_cte: str) -> str:
@@ -298,7 +298,7 @@ def q_token_list_hits(spark, sf):
     c = _c(spark, sf)
     ambiguous = c.accent_mapping().where(F.col("form_rank") > 1).select(F.col("anglicised").alias("word"))
     real = c.lexicon_split().where("in_lexicon").select(F.col("anglicised").alias("word"))
-    f = c.features().select("pair_id", "fr", F.col("potential_fr_accent_issues").alias("uncommon_hits"))
+    f = c.features_core().select("pair_id", "fr", F.col("potential_fr_accent_issues").alias("uncommon_hits"))
     f = A.word_lists_hits(f, {"ambiguous_hits": ambiguous, "real_word_hits": real}, "fr")
     return f.select("pair_id", "ambiguous_hits", "real_word_hits", "uncommon_hits")
 
@@ -345,12 +345,12 @@ def q_figtext_bilingual(spark, sf):
 
 @register("figtext_simple", with_all("SELECT pair_id, exclude_figtext FROM gated"))
 def q_figtext_simple(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", "exclude_figtext")
+    return _c(spark, sf).gate_flags().select("pair_id", "exclude_figtext")
 
 
 @register("has_date_refs", with_all("SELECT pair_id, has_date_refs FROM gated"))
 def q_has_date_refs(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", "has_date_refs")
+    return _c(spark, sf).gate_flags().select("pair_id", "has_date_refs")
 
 
 @register("append_period", with_all("SELECT pair_id, fr || '.' AS fr, en || '.' AS en FROM features"))
@@ -452,7 +452,7 @@ def q_tag_constraints(spark, sf):
     "round(cosine_similarity_vs_source - cosine_similarity_original_translation, 6) AS quality_vs_tb "
     "FROM comparison"))
 def q_quality_delta(spark, sf):
-    d = E.quality_delta(EV.comparison(_c(spark, sf)))
+    d = E.quality_delta(EV.scores(_c(spark, sf)))
     return d.select("pair_id", "translator_name", "similarity_to_old_translation", "quality_vs_tb")
 
 
@@ -460,7 +460,7 @@ def q_quality_delta(spark, sf):
     "SELECT pair_id, translator_name, cosine_similarity_original_translation, cosine_similarity_vs_source, "
     "cosine_similarity_vs_target FROM comparison"))
 def q_cosine_similarity(spark, sf):
-    return EV.comparison(_c(spark, sf)).select(
+    return EV.scores(_c(spark, sf)).select(
         "pair_id", "translator_name", "cosine_similarity_original_translation", "cosine_similarity_vs_source",
         "cosine_similarity_vs_target")
 
@@ -482,18 +482,18 @@ def q_model_from_filename(spark, sf):
 
 @register("low_similarity", with_all("SELECT pair_id, exclude_low_similarity FROM gated"))
 def q_low_similarity(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", "exclude_low_similarity")
+    return _c(spark, sf).gate_flags().select("pair_id", "exclude_low_similarity")
 
 
 @register("tiered_bounds", with_all(
     "SELECT pair_id, " + ", ".join(f"exclude_{f}" for f in K.FEATURES) + " FROM gated"))
 def q_tiered_bounds(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", *[f"exclude_{f}" for f in K.FEATURES])
+    return _c(spark, sf).gate_flags().select("pair_id", *[f"exclude_{f}" for f in K.FEATURES])
 
 
 @register("exclude_any", with_all("SELECT pair_id, exclude FROM gated"))
 def q_exclude_any(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", "exclude")
+    return _c(spark, sf).gate_flags().select("pair_id", "exclude")
 
 
 @register("training_gate", with_all(TRAINING_SQL))
@@ -505,7 +505,7 @@ def q_training_gate(spark, sf):
 @register("relaxed_bounds", with_all(
     "SELECT pair_id, " + ", ".join(f"exclude_relaxed_{f}" for f in K.RELAXED_FEATURES) + ", exclude_relaxed FROM gated"))
 def q_relaxed_bounds(spark, sf):
-    return _c(spark, sf).gated().select("pair_id", *[f"exclude_relaxed_{f}" for f in K.RELAXED_FEATURES],
+    return _c(spark, sf).gate_flags().select("pair_id", *[f"exclude_relaxed_{f}" for f in K.RELAXED_FEATURES],
                                         "exclude_relaxed")
 
 
@@ -701,7 +701,7 @@ SELECT before, after, before - after AS difference FROM (
   SELECT CAST(sum({O.one_char_words('fr_raw', K.ONE_CHAR_ALLOW_FR)}) AS BIGINT) AS before,
          CAST(sum({O.one_char_words('fr_apos', K.ONE_CHAR_ALLOW_FR)}) AS BIGINT) AS after FROM feats)"""))
 def q_before_after(spark, sf):
-    return PR.before_after_totals(_c(spark, sf).features_pre())
+    return PR.before_after_totals(_c(spark, sf).features_pre().join(_c(spark, sf).raw_texts(), "pair_id"))
 
 
 def _long_sql(cols) -> str:
@@ -716,7 +716,7 @@ def _pct_cols(probs, names) -> str:
     f"SELECT feature, {_pct_cols(K.SIGMA_PERCENTILES, K.SIGMA_PERCENTILE_NAMES)} FROM ({_long_sql(PR.NUMERIC_FEATURES)}) "
     f"WHERE value IS NOT NULL GROUP BY feature"))
 def q_describe_percentiles(spark, sf):
-    return PR.describe_percentiles(_c(spark, sf).features())
+    return PR.describe_percentiles(_c(spark, sf).features_core())
 
 
 def _describe_sql(cols, probs, names) -> str:
@@ -728,13 +728,13 @@ def _describe_sql(cols, probs, names) -> str:
 @register("describe_column", with_all(_describe_sql(["potential_fr_accent_issues"], K.DESCRIBE_COLUMN_PERCENTILES,
                                                     K.DESCRIBE_COLUMN_PERCENTILE_NAMES)))
 def q_describe_column(spark, sf):
-    return PR.describe_column(_c(spark, sf).features())
+    return PR.describe_column(_c(spark, sf).features_core())
 
 
 @register("describe_all", with_all(_describe_sql(PR.NUMERIC_FEATURES, K.DESCRIBE_DEFAULT_PERCENTILES,
                                                  K.DESCRIBE_DEFAULT_PERCENTILE_NAMES)))
 def q_describe_all(spark, sf):
-    return PR.describe_all(_c(spark, sf).features())
+    return PR.describe_all(_c(spark, sf).features_core())
 
 
 HIST_SQL = """
@@ -766,7 +766,7 @@ def _outlier_sql() -> str:
 
 @register("outlier_counts", with_all(_outlier_sql()))
 def q_outlier_counts(spark, sf):
-    return PR.outlier_counts(_c(spark, sf).features())
+    return PR.outlier_counts(_c(spark, sf).features_core())
 
 
 def _exclusion_sql() -> str:
@@ -779,7 +779,7 @@ def _exclusion_sql() -> str:
 
 @register("exclusion_summary", with_all(_exclusion_sql()))
 def q_exclusion_summary(spark, sf):
-    return PR.exclusion_summary(_c(spark, sf).gated())
+    return PR.exclusion_summary(_c(spark, sf).gate_flags())
 
 
 @register("kept_fraction", with_all("""
@@ -788,7 +788,7 @@ SELECT n_total, n_kept, n_above_threshold, round(n_kept / n_total, 6) AS kept_sh
 FROM (SELECT CAST(count(*) AS BIGINT) AS n_total, CAST(count_if(NOT exclude) AS BIGINT) AS n_kept,
              CAST(count_if(similarity > 0.8) AS BIGINT) AS n_above_threshold FROM gated)"""))
 def q_kept_fraction(spark, sf):
-    return PR.kept_fraction(_c(spark, sf).gated())
+    return PR.kept_fraction(_c(spark, sf).gate_flags())
 
 
 @register("accent_mapping", with_all(
@@ -810,7 +810,7 @@ def _translator_stats_sql() -> str:
 
 @register("translator_stats", with_all(_translator_stats_sql()))
 def q_translator_stats(spark, sf):
-    return E.translator_stats(E.quality_delta(EV.comparison(_c(spark, sf))))
+    return E.translator_stats(E.quality_delta(EV.scores(_c(spark, sf))))
 
 
 def _categorical_sql() -> str:

@@ -23,7 +23,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..operators import accent as A
 from ..operators import gates as G
-from ..session import materialize
+from ..session import bucket_count, drop_written, last_written, materialize, written_mark
 from . import fixtures as X
 
 VERB_RE = r"(?d)(ing|ed|er)([ .,;!?]|$)"
@@ -42,9 +42,14 @@ def annotate_counts(df: DataFrame, cols=("fr", "en")) -> DataFrame:
     return df.withColumns(out)
 
 
-def feature_columns(pairs: DataFrame) -> DataFrame:
-    """Feature tables v1 and v2 (before the accent pass)."""
-    annotated = annotate_counts(pairs)
+COUNT_COLUMNS = [f"{n}_{lang}" for lang in ("fr", "en") for n in ("verbs", "nouns", "entities")]
+
+
+def feature_columns(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Feature tables v1 and v2 (before the accent pass). ``counts`` (pair_id and COUNT_COLUMNS) replaces the
+    default annotator's counts; a pair without a row there has missing ratios."""
+    annotated = annotate_counts(pairs) if counts is None else \
+        pairs.join(counts.select("pair_id", *COUNT_COLUMNS), "pair_id", "left")
     return annotated.select(
         "pair_id",
         F.col("fr").alias("fr_raw"),
@@ -64,22 +69,42 @@ def feature_columns(pairs: DataFrame) -> DataFrame:
 @dataclass
 class Curation:
     """The stage chain over one corpus. Pairs and lexicon come either from the driver's tables in
-    ``sf_dir`` (the fixture recipe) or from the caller (``curate``)."""
+    ``sf_dir`` (the fixture recipe) or from the caller (``curate``).
+
+    A stage holds each text once and only what it adds: ``pairs`` the two texts, ``features_pre`` the French
+    text after the apostrophe repair, ``features`` the one after the accent repair, the others none. What a
+    query reads are joins of these tables on the ``pair_id`` that they are bucketed by (no shuffle)."""
     spark: SparkSession
     sf_dir: str | None
     cutoff: int = K.ACCENT_MAP_SIZE
     pairs_source: DataFrame | None = None
     lexicon_source: DataFrame | None = None
     skip_identity: bool = False
+    counts_source: DataFrame | None = None
 
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
+        self._kept: set[str] = set()
+        self._buckets: int | None = None
 
     def stage(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
+        """The written table ``name``; intermediate tables of its build (ranks, offsets) are deleted."""
         if name not in self._memo:
-            self._memo[name] = materialize(build(), f"stage-{name}", bucket_by)
+            mark = written_mark()
+            built = build()
+            if bucket_by and self._buckets is None:
+                self._buckets = bucket_count(built)
+            self._memo[name] = materialize(built, f"stage-{name}", bucket_by, self._buckets)
+            self._kept.add(last_written())
+            drop_written(self.spark, mark, self._kept)
         return self._memo[name]
 
+    def close(self) -> None:
+        """Delete all stage tables of this chain."""
+        self._memo.clear()
+        drop_written(self.spark, 0, only=self._kept)
+        self._kept.clear()
+
     # -- stages ---------------------------------------------------------------------------------
     def pairs(self) -> DataFrame:
         if self.pairs_source is not None:
@@ -92,7 +117,11 @@ class Curation:
         return self.stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
 
     def features_pre(self) -> DataFrame:
-        return self.stage("features_pre", lambda: feature_columns(self.pairs()), "pair_id")
+        """pair_id, similarity, the numbers of feature tables v1 and v2, and ``fr_apos``."""
+        return self.stage("features_pre", lambda: feature_columns(self.pairs(), self.counts_source).drop("fr_raw", "en"), "pair_id")
+
+    def raw_texts(self) -> DataFrame:
+        return self.pairs().select("pair_id", F.col("fr").alias("fr_raw"), "en")
 
     def accent_mapping(self) -> DataFrame:
         return self.stage("accent_mapping",
@@ -108,41 +137,77 @@ class Curation:
     def uncommon_words(self) -> DataFrame:
         return self.vocabulary().where(~F.col("in_map")).select(F.col("anglicised").alias("word"))
 
-    def features(self) -> DataFrame:
-        """Feature table after both repairs, with the uncommon-word count."""
+    def features_core(self) -> DataFrame:
+        """The numbers of the feature table after both repairs, and the repaired ``fr``."""
         def build():
             # only the changed runs are shuffled; the join leaves the rows hash-partitioned by
             # pair_id, so the uncommon-word count (broadcast lookup, per-pair count, join) adds none
             pre = self.features_pre()
             changes = A.accent_changes(pre, self.vocabulary(), self.cutoff, "fr_apos")
-            fixed = A.apply_changes(pre, changes, "fr_apos", "fr")
+            fixed = A.apply_changes(pre, changes, "fr_apos", "fr").drop("fr_apos")
             return A.word_list_hits(fixed, self.uncommon_words(), "fr", "potential_fr_accent_issues")
         return self.stage("features", build, "pair_id")
 
+    def features(self) -> DataFrame:
+        """Feature table after both repairs, with the uncommon-word count and every snapshot of the texts."""
+        return self.features_core().join(self.features_pre().select("pair_id", "fr_apos"), "pair_id") \
+                   .join(self.raw_texts(), "pair_id")
+
+    def gate_flags(self) -> DataFrame:
+        """pair_id, similarity, uncommon-word count and the flags of the gate, without texts."""
+        def build():
+            core = self.features_core()
+            gated = G.add_gate_columns(core.join(self.pairs().select("pair_id", "en"), "pair_id"))
+            new = [c for c in gated.columns if c not in core.columns and c != "en"]
+            return gated.select("pair_id", "similarity", "potential_fr_accent_issues", *new)
+        return self.stage("gate_flags", build, "pair_id")
+
     def gated(self) -> DataFrame:
-        return self.stage("gated", lambda: G.add_gate_columns(self.features()), "pair_id")
+        """The feature table with the gate's flags."""
+        return self.features().join(self.gate_flags().drop("similarity", "potential_fr_accent_issues"), "pair_id")
+
+
+class PairKeyError(ValueError):
+    pass
 
 
 def _checked_pairs(df: DataFrame) -> DataFrame:
-    """A caller's pair table: schema checked, NaN similarity read as missing."""
+    """A caller's pair table: schema and keys checked, NaN similarity read as missing."""
     from ..sources.corpus import PAIR_SCHEMA, check_schema
     out = check_schema(df, PAIR_SCHEMA)
+    bad = out.groupBy("pair_id").count().where(F.col("pair_id").isNull() | (F.col("count") > 1)).orderBy("pair_id").limit(1).collect()
+    if bad:
+        raise PairKeyError(f"pair_id must be unique and not null; {bad[0]['pair_id']} occurs {bad[0]['count']} times")
     return out.withColumn("similarity", F.nanvl(F.col("similarity"), F.lit(None).cast("double")))
 
 
 def curate(spark: SparkSession, pairs: DataFrame, lexicon: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE,
-           skip_identity: bool = False) -> Curation:
+           skip_identity: bool = False, counts: DataFrame | None = None) -> Curation:
     """The curation chain over a caller's own pair table (pair_id, fr, en, similarity) and French
     lexicon (word). ``curate(...).gated()`` is the flag table; ``training_pairs`` / ``relaxed_test_pairs``
-    in ``operators.gates`` give the two outputs."""
-    return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon, skip_identity=skip_identity)
+    in ``operators.gates`` give the two outputs. ``counts`` (pair_id and COUNT_COLUMNS, for example from
+    ``plugins.annotate_with``) replaces the default annotator: the ratios and the gate then follow it."""
+    return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon, skip_identity=skip_identity,
+                    counts_source=counts)
+
+
+_SESSIONS: dict[tuple, Curation] = {}
 
 
-_SESSIONS: dict[tuple[str, str, int], Curation] = {}
+def _identity(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and change time of the input files, from a listing: a changed input is another corpus."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in ("documents", "embeddings"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            found += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(found)
 
 
 def curation(spark: SparkSession, sf_dir: str, cutoff: int = K.ACCENT_MAP_SIZE) -> Curation:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), cutoff)
+    folder = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, folder, cutoff, _identity(spark, folder))
     if key not in _SESSIONS:
-        _SESSIONS[key] = Curation(spark, sf_dir.rstrip("/"), cutoff)
+        _SESSIONS[key] = Curation(spark, folder, cutoff)
     return _SESSIONS[key]

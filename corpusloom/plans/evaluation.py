@@ -31,7 +31,7 @@ def corpus(c: Curation) -> DataFrame:
 
 
 def split_corpus(c: Curation) -> DataFrame:
-    return c.stage("split_corpus", lambda: S.train_eval_split(corpus(c), "record_id"))
+    return S.train_eval_split(corpus(c), "record_id")
 
 
 def embeddings(c: Curation) -> DataFrame:
@@ -40,7 +40,20 @@ def embeddings(c: Curation) -> DataFrame:
 
 
 def comparison(c: Curation) -> DataFrame:
-    return c.stage("comparison", lambda: _comparison(c))
+    """Comparison rows: the written cosines joined to the pair's texts."""
+    pairs = c.pairs().select("pair_id", F.col("en").alias("source"), F.col("fr").alias("target"))
+    rows = c.stage("comparison", lambda: _comparison(c), "pair_id").join(pairs, "pair_id")
+    translated = F.when(F.col("translator_name").endswith("_finetuned"), T.clean_common_patterns("target")).otherwise(F.col("target"))
+    return rows.select("pair_id", "source", "target", F.lit("en").alias("source_lang"), F.lit("fr").alias("other_lang"),
+                       "translator_name", translated.alias("translated_text"), *SCORES)
+
+
+SCORES = ["cosine_similarity_original_translation", "cosine_similarity_vs_source", "cosine_similarity_vs_target"]
+
+
+def scores(c: Curation) -> DataFrame:
+    """pair_id, translator_name and the cosines."""
+    return c.stage("comparison", lambda: _comparison(c), "pair_id")
 
 
 def _comparison(c: Curation) -> DataFrame:
@@ -51,8 +64,7 @@ def _comparison(c: Curation) -> DataFrame:
     # which is exact, so results equal a cast-first computation
     vec = emb.select("vec_id", F.col("embedding").alias("vec")).withColumn("norm", T.norm("vec"))
     samples = c.pairs().select(
-        "pair_id", F.col("en").alias("source"), F.col("fr").alias("target"), F.lit("en").alias("source_lang"),
-        (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"))
+        "pair_id", (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"))
     # source and target vectors are per sample: join and compare them before the fan-out
     per_sample = (samples.join(vec.toDF("src_vec_id", "src_vec", "src_norm"), "src_vec_id")
                          .join(vec.toDF("tgt_vec_id", "tgt_vec", "tgt_norm"), "tgt_vec_id")
@@ -60,19 +72,13 @@ def _comparison(c: Curation) -> DataFrame:
                                      T.cosine_from_norms("src_vec", "tgt_vec", "src_norm", "tgt_norm")))
     names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
                       for k, name in enumerate(COMPARED)])
-    rows = per_sample.select("*", F.inline(names)).withColumns({
-        "trans_vec_id": (F.col("pair_id") * 13 + F.col("translator_index")) % n_vec,
-        "translated_text": F.when(F.col("translator_name").endswith("_finetuned"),
-                                  T.clean_common_patterns("target")).otherwise(F.col("target")),
-    })
+    rows = per_sample.select("*", F.inline(names)) \
+                     .withColumn("trans_vec_id", (F.col("pair_id") * 13 + F.col("translator_index")) % n_vec)
     joined = rows.join(vec.toDF("trans_vec_id", "trans_vec", "trans_norm"), "trans_vec_id")
-    other = F.when(F.col("source_lang") == "fr", F.lit("en")).otherwise(F.lit("fr"))
     return joined.select(
-        "pair_id", "source", "target", "source_lang", other.alias("other_lang"), "translator_name",
-        "translated_text", "cosine_similarity_original_translation",
+        "pair_id", "translator_name", "cosine_similarity_original_translation",
         T.cosine_from_norms("src_vec", "trans_vec", "src_norm", "trans_norm").alias("cosine_similarity_vs_source"),
-        T.cosine_from_norms("tgt_vec", "trans_vec", "tgt_norm", "trans_norm").alias("cosine_similarity_vs_target"),
-    )
+        T.cosine_from_norms("tgt_vec", "trans_vec", "tgt_norm", "trans_norm").alias("cosine_similarity_vs_target"))
 
 
 def survey(c: Curation) -> DataFrame:

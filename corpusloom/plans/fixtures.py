@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.ordinal import with_ordinal
+from ..operators.ordinal import with_running_total
 
 NBSP = " "
 
@@ -21,10 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """Non-empty ``\\n``-separated lines of English and French documents, with 0-based line numbers."""
+    """English and French documents with ``lines``, their non-empty ``\\n``-separated lines in order."""
     return (documents.where(F.col("lang").isin("en", "fr") & F.col("text").isNotNull())
-            .select("doc_id", "lang", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
-            .where(F.col("line") != ""))
+            .select("doc_id", "lang", F.filter(F.split(F.col("text"), "\n"), lambda x: x != "").alias("lines")))
 
 
 def _inject_en(en: Column, m: Column) -> Column:
@@ -54,17 +53,31 @@ def similarity_rule(pair_id: Column) -> Column:
 
 
 def derive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, fr, en, similarity): the k-th English line aligned with the k-th French line."""
-    lines = document_lines(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    numbered = with_ordinal(lines, order=["doc_id", "line_no"], groups=["lang"], out_col="pair_id")
-    en = numbered.where(F.col("lang") == "en").select("pair_id", F.col("line").alias("en"))
-    fr = numbered.where(F.col("lang") == "fr").select("pair_id", F.col("line").alias("fr"))
+    """(pair_id, fr, en, similarity): every line of the language with more lines, in order; the line it is
+    paired with is the other language's line of that number modulo its number of lines.
+
+    Lines are numbered by a running total of the documents' line counts (a table without texts) plus the
+    line's place in its document, so no text is sorted."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = document_lines(documents)
+    counts = docs.select("doc_id", "lang", F.size("lines").cast("long").alias("n")).where("n > 0")
+    starts = with_running_total(counts, ["doc_id"], "n", "start", groups=["lang"])
+    lines = docs.join(starts.select("doc_id", "lang", "start"), ["doc_id", "lang"]) \
+                .select("lang", "start", F.posexplode("lines").alias("place", "line")) \
+                .select("lang", (F.col("start") + F.col("place")).alias("number"), "line")
+    n = {r["lang"]: r["n"] for r in starts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    longer, shorter = ("en", "fr") if n.get("en", 0) >= n.get("fr", 0) else ("fr", "en")
+    # a short language's line meets at most ceil(longer / shorter) lines: no hot key
+    a = lines.where(F.col("lang") == longer).select(F.col("number").alias("pair_id"), F.col("line").alias(longer),
+                                                     (F.col("number") % F.lit(n.get(shorter) or 1)).alias("number"))
+    b = lines.where(F.col("lang") == shorter).select("number", F.col("line").alias(shorter))
+    return inject(a.join(b, "number").select("pair_id", "fr", "en"))
+
+
+def inject(pairs: DataFrame) -> DataFrame:
     m = F.col("pair_id") % F.lit(16)
-    return (en.join(fr, "pair_id")
-              .select("pair_id",
-                      _inject_fr(F.col("fr"), m).alias("fr"),
-                      _inject_en(F.col("en"), m).alias("en"),
-                      similarity_rule(F.col("pair_id")).alias("similarity")))
+    return pairs.select("pair_id", _inject_fr(F.col("fr"), m).alias("fr"), _inject_en(F.col("en"), m).alias("en"),
+                        similarity_rule(F.col("pair_id")).alias("similarity"))
 
 
 def derive_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,9 +137,16 @@ lines AS (
   WHERE line <> ''),
 numbered AS (
   SELECT lang, line, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) - 1 AS pair_id FROM lines),
+n_lines AS (
+  SELECT count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang = 'fr') AS n_fr FROM numbered),
 pairs0 AS (
   SELECT e.pair_id, f.line AS fr0, e.line AS en0
-  FROM numbered e JOIN numbered f ON e.pair_id = f.pair_id AND e.lang = 'en' AND f.lang = 'fr'),
+  FROM (SELECT pair_id, line, pair_id % n_fr AS other FROM numbered, n_lines WHERE lang = 'en' AND n_en >= n_fr) e
+  JOIN numbered f ON f.lang = 'fr' AND f.pair_id = e.other
+  UNION ALL
+  SELECT f.pair_id, f.line AS fr0, e.line AS en0
+  FROM (SELECT pair_id, line, pair_id % n_en AS other FROM numbered, n_lines WHERE lang = 'fr' AND n_en < n_fr) f
+  JOIN numbered e ON e.lang = 'en' AND e.pair_id = f.other),
 pairs AS (
   SELECT pair_id, {_inject_fr('fr0')} AS fr, {_inject_en('en0')} AS en,
          CAST(70 + (pair_id * 37) % 31 AS DOUBLE) / CAST(100 AS DOUBLE) AS similarity

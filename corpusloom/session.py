@@ -6,8 +6,10 @@ unset *and* the master is local (tests, the bench) do we pick a fresh folder und
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,22 +62,83 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+#: (folder, catalog table or None) of every table written by ``materialize`` and not dropped yet.
+_WRITTEN: list[tuple[str, str | None]] = []
+#: Name and physical plan of every table written by ``materialize``: what the plan tests look at.
+WRITTEN_PLANS: list[tuple[str, str]] = []
+
+
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and survives executor loss, and unlike a checkpointed
     RDD the stage keeps column pruning, predicate pushdown and file-size statistics for the
     optimizer's broadcast decisions. With ``bucket_by`` the table is hash-bucketed on that column
-    (one file per bucket, as many buckets as shuffle partitions) and registered as an external
-    table, so later joins and aggregations on the column read it already partitioned.
+    (one file per bucket) and registered as an external table, so later joins and aggregations on
+    the column read it already partitioned; ``bucket_count`` sizes ``buckets`` from the input.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    WRITTEN_PLANS.append((name, df._jdf.queryExecution().executedPlan().toString()))
+    del WRITTEN_PLANS[:-2000]
     if bucket_by is None:
         df.write.mode("error").parquet(path)
+        _WRITTEN.append((path, None))
         return spark.read.parquet(path)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "corpusloom_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
     (df.repartition(buckets, bucket_by).write.mode("error").option("path", path)
        .bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table))
+    _WRITTEN.append((path, table))
     return spark.table(table)
+
+
+def bucket_count(df: DataFrame, target_mb: int = 256) -> int:
+    """Buckets of about ``target_mb`` of input, by the optimizer's size of the tables that ``df`` reads (file
+    sizes); at least as many as the session's shuffle partitions, so small inputs still use every core."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-size // (target_mb << 20))), 100_000)
+
+
+def written_mark() -> int:
+    """Where ``drop_written`` can later start from."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int, keep: set[str] = frozenset(), only: set[str] | None = None) -> None:
+    """Delete the tables written since ``since`` (files and catalog entry), but not those whose folder is in
+    ``keep``, nor any outside ``only``. For tables whose consumers have themselves been written."""
+    goes = lambda path: path not in keep and (only is None or path in only)
+    gone = [x for x in _WRITTEN[since:] if goes(x[0])]
+    _WRITTEN[since:] = [x for x in _WRITTEN[since:] if not goes(x[0])]
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def last_written() -> str:
+    return _WRITTEN[-1][0]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors' Python workers (once per application), so that they
+    need no installation. Only operators that run Python on the executors use them."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-ship-"), "corpusloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(x for x in names if x.endswith(".py")):
+                full = os.path.join(folder, n)
+                z.write(full, os.path.join("corpusloom", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
