@@ -235,3 +235,8 @@ TRANSLATORS = [
      "merged_model_path": None, "merged_model_path_en_fr": "merged/mbart50_mmt_fr",
      "merged_model_path_fr_en": "merged/mbart50_mmt_en"},
 ]
+
+# --- fixed value: the comparison report's layout (sample, samples, language, source, expected, base, fine-tuned) ----
+COMPARISON_REPORT = (
+    "\n[%d/%d] %s\ttext in\n\t%s\ntext out (expected)\n\t%s\ntext out (predicted with base model)\n\t%s\n"
+    "text out (predicted with finetuned model)\n\t%s\n")

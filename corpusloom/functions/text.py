@@ -196,6 +196,8 @@ def cosine_similarity(a, b, digits: int = 6) -> Column:
     return cosine_from_norms(a, b, norm(a), norm(b), digits)
 
 
-def cosine_from_norms(a, b, norm_a, norm_b, digits: int = 6) -> Column:
-    """Cosine with the norms computed once per vector (e.g. per embedding row) instead of per pair."""
-    return F.round(F.try_divide(dot(a, b), _col(norm_a) * _col(norm_b)), digits)
+def cosine_from_norms(a, b, norm_a, norm_b, digits: int | None = 6) -> Column:
+    """Cosine with the norms computed once per vector (e.g. per embedding row) instead of per pair;
+    unrounded without ``digits`` (decisions compare raw values)."""
+    raw = F.try_divide(dot(a, b), _col(norm_a) * _col(norm_b))
+    return raw if digits is None else F.round(raw, digits)

@@ -121,6 +121,17 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def require_rows_per_model(sizes: DataFrame, what: str) -> DataFrame:
+    """Op 52 per model and split: ``sizes`` (model, train_rows, eval_rows; a row per configured model) if no model
+    lacks rows of either split, else a named error that lists the models that do."""
+    short = sizes.where((F.col("train_rows") == 0) | (F.col("eval_rows") == 0)).select("model", "train_rows", "eval_rows") \
+                 .orderBy("model").collect()
+    if short:
+        raise EmptyResultError(f"No data remaining after {what} for " + ", ".join(
+            f"{r['model']} ({' and '.join(s for s in ('train', 'eval') if not r[f'{s}_rows'])})" for r in short))
+    return sizes
+
+
 class UnknownModelError(ValueError):
     pass
 

@@ -76,17 +76,29 @@ def route_language(records: DataFrame, models=K.MODEL_REGISTRY) -> DataFrame:
         F.coalesce(F.try_element_at(lang_map, target), target).alias("tgt_code"))
 
 
-def train_sizes(split_records: DataFrame, reg: DataFrame) -> DataFrame:
-    """Op 72: rows per split after the language restriction and validity filter, and steps per epoch.
-    The validity filter does not depend on the model, so it runs before the fan-out to models."""
-    from .gates import drop_invalid_examples, restrict_language
-    kept = restrict_language(drop_invalid_examples(split_records))
-    counts = kept.groupBy("model").agg(F.count_if(F.col("split") == "train").alias("train_rows"),
-                                       F.count_if(F.col("split") == "eval").alias("eval_rows"))
+def train_sizes(split_records: DataFrame, reg: DataFrame, models=K.MODEL_REGISTRY) -> DataFrame:
+    """Op 72: rows (and source characters) per split after the validity filter and the language restriction,
+    and steps per epoch. Records are counted by (source language, split) first, so the fan-out to models
+    is over those few rows."""
+    from .gates import drop_invalid_examples
+    few = drop_invalid_examples(split_records).groupBy("source_lang", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("source")).alias("chars"))
+    fanned = few.select("*", F.explode(registry_entries(models)).alias("_m")).withColumn("model", F.col("_m.model"))
+    restrict = F.col("_m.restrict_source_language")
+    of = lambda value, split: F.coalesce(F.sum(F.when(F.col("split") == split, F.col(value))), F.lit(0)).cast("long")
+    names = {f"{split}_{out}": of(value, split) for split in ("train", "eval") for value, out in (("n", "rows"), ("chars", "chars"))}
+    counts = fanned.where(restrict.isNull() | (F.col("source_lang") == restrict)).groupBy("model") \
+                   .agg(*[v.alias(k) for k, v in names.items()])
     r = F.broadcast(reg.select("model", "batch_size", "grad_accum"))
-    out = r.join(counts, "model", "left").na.fill(0, ["train_rows", "eval_rows"])
+    out = r.join(counts, "model", "left").na.fill(0, list(names))
     steps = F.ceil(F.col("train_rows") / (F.col("batch_size") * F.col("grad_accum")).cast("double"))
-    return out.select("model", "train_rows", "eval_rows", steps.cast("long").alias("steps_per_epoch"))
+    return out.select("model", "train_rows", "eval_rows", steps.cast("long").alias("steps_per_epoch"), "train_chars", "eval_chars")
+
+
+def capped_samples(train: int = K.SWEEP_TRAIN_SAMPLES, evaluation: int = K.SWEEP_EVAL_SAMPLES) -> list[Column]:
+    """Sample counts of a sweep trial: a split's rows, after the cap."""
+    return [F.least(F.col("train_rows"), F.lit(train)).cast("long").alias("train_samples"),
+            F.least(F.col("eval_rows"), F.lit(evaluation)).cast("long").alias("eval_samples")]
 
 
 # --- default tokenizer (op 73) ------------------------------------------------------------------------
@@ -97,7 +109,9 @@ def word_vocabulary(records: DataFrame) -> DataFrame:
                                              T.whitespace_tokens(T.py_strip("target")))).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     ranked = with_ordinal(counts, order=[F.col("count").desc(), F.col("token").asc()], out_col="rank")
-    return ranked.select("token", (F.col("rank") + FIRST_WORD_ID).alias("token_id"))
+    token_id = F.col("rank") + FIRST_WORD_ID
+    # ids are 31-bit: words ranked beyond them are unknown words
+    return ranked.select("token", F.when(token_id <= _ID_MASK, token_id).otherwise(F.lit(UNK_ID).cast("long")).alias("token_id"))
 
 
 _SIDE_SHIFT, _POS_SHIFT, _ID_MASK = 62, 31, (1 << 31) - 1
@@ -148,14 +162,17 @@ def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int =
     return out.withColumn("decoder_input_ids", F.concat(F.array(lang_id), shifted)).drop("source_lang")
 
 
-def shift_and_pad(tokens: DataFrame, batch_size: int) -> DataFrame:
+def shift_and_pad(tokens: DataFrame, positions: DataFrame, batch_size: int) -> DataFrame:
     """Op 74 (b): batches of ``batch_size`` consecutive positions per split; inputs padded with the
     pad id, labels with -100, attention mask, and decoder inputs = [first label] + labels[:-1] with
-    -100 turned into the pad id. Each batch is a window of at most ``batch_size`` rows."""
-    b = tokens.withColumn("batch_id", F.floor(F.col("position") / F.lit(batch_size)).cast("long"))
-    w = Window.partitionBy("split", "batch_id")
-    b = (b.withColumn("_in_len", F.max(F.size("input_ids")).over(w))
-          .withColumn("_lab_len", F.max(F.size("labels")).over(w)))
+    -100 turned into the pad id. Only lengths are gathered by batch; the token arrays meet their
+    batch's two numbers in one join on record_id."""
+    lengths = tokens.select("record_id", F.size("input_ids").alias("_in"), F.size("labels").alias("_lab"))
+    w = Window.partitionBy("split", "batch_id")  # at most batch_size rows of numbers
+    batches = positions.join(lengths, "record_id") \
+        .select("record_id", "split", F.floor(F.col("position") / F.lit(batch_size)).cast("long").alias("batch_id"), "_in", "_lab") \
+        .select("record_id", "split", "batch_id", F.max("_in").over(w).alias("_in_len"), F.max("_lab").over(w).alias("_lab_len"))
+    b = tokens.join(batches, "record_id")
     pad_in = F.col("_in_len") - F.size("input_ids")
     pad_lab = F.col("_lab_len") - F.size("labels")
     labels = F.concat("labels", F.array_repeat(F.lit(K.LABEL_PAD_ID), pad_lab))

@@ -4,6 +4,7 @@ percentiles, which use the distributed exact method in ``operators.quantiles``."
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,23 +80,26 @@ def describe_all(features: DataFrame, columns=NUMERIC_FEATURES) -> DataFrame:
 
 
 def similarity_histogram(df: DataFrame, col: str = "similarity", bins: int = K.HISTOGRAM_BINS) -> DataFrame:
-    """Op 64: equal-width bins from min to max, last bin closed; empty bins reported with 0.
-    The two bounds are one small aggregate, passed on as literals."""
+    """Op 64: numpy's histogram: equal-width bins from min to max, a value falls between the edges that
+    enclose it, the last bin is closed; a single-valued column spans half a unit to either side. Empty bins
+    are reported with 0. The two bounds are one small aggregate, passed on as literals."""
     x = F.col(col)
     mn, mx = df.agg(F.min(x), F.max(x)).first()
     if mn is None:
-        mn = mx = 0.0
-    lo, hi = F.lit(float(mn)), F.lit(float(mx))
-    raw_bin = F.floor(F.try_divide(x - lo, hi - lo) * F.lit(bins))
-    binned = df.where(x.isNotNull()).select(
-        (F.lit(0) if mn == mx else F.least(raw_bin, F.lit(bins - 1))).cast("int").alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        F.round(lo + (hi - lo) * F.col("id") / F.lit(bins), 6).alias("lower"),
-        F.round(lo + (hi - lo) * (F.col("id") + 1) / F.lit(bins), 6).alias("upper"))
-    return (edges.join(counts, "bin", "left")
-                 .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
+        mn, mx = 0.0, 1.0
+    elif mn == mx:
+        mn, mx = mn - 0.5, mx + 0.5
+    step = (mx - mn) / bins
+    edges = [i * step + mn for i in range(bins)] + [mx]
+    # the bin is the number of inner edges that are not above the value
+    bin_of = reduce(lambda a, b: a + b, [(x >= F.lit(float(e))).cast("int") for e in edges[1:-1]], F.lit(0))
+    counts = df.where(x.isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    table = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(edges[i])).alias("lower"), F.lit(float(edges[i + 1])).alias("upper"))
+                      for i in range(bins)])
+    listed = df.sparkSession.range(1).select(F.inline(table))
+    return (listed.join(counts, "bin", "left")
+                  .select("bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"),
+                          F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
 def outlier_counts(features: DataFrame, criteria=K.OUTLIER_CRITERIA, feats=K.FEATURES) -> DataFrame:

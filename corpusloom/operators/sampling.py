@@ -44,10 +44,11 @@ def train_eval_split_exact(df: DataFrame, id_col: str, ratio: float = K.VAL_RATI
     (the size a dataset library's ``test_size`` gives); ranks come from distributed ordinals."""
     n = df.count()
     k = math.ceil(n * ratio)
-    keyed = df.withColumn("_split_key", md5_key(seed, id_col))
-    ranked = with_ordinal(keyed, order=["_split_key", id_col], out_col="_split_rank")
-    return ranked.withColumn(out_col, F.when(F.col("_split_rank") < k, F.lit("eval")).otherwise(F.lit("train"))) \
-                 .drop("_split_key", "_split_rank")
+    # ids alone are sorted; the rows meet their rank in one join
+    keyed = df.select(id_col, md5_key(seed, id_col).alias("_split_key"))
+    ranked = with_ordinal(keyed, order=["_split_key", id_col], out_col="_split_rank").select(id_col, "_split_rank")
+    side = F.when(F.col("_split_rank") < k, F.lit("eval")).otherwise(F.lit("train"))
+    return df.join(ranked.select(id_col, side.alias(out_col)), id_col)
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed=K.SPLIT_SEED, groups=("split",)) -> DataFrame:
@@ -65,9 +66,26 @@ def cap_rows(shuffled: DataFrame, caps: dict[str, int]) -> DataFrame:
     return shuffled.where(cond)
 
 
+def cap_rows_per_model(split_records: DataFrame, id_col: str, caps: dict[str, int], models=K.MODEL_REGISTRY,
+                       seed=K.SPLIT_SEED) -> DataFrame:
+    """Ops 50, 82, 83 in the order of the original, for every model: its language's records, shuffled within
+    each split, the first N of each. (model, ids and split, position). Models with the same restriction see
+    the same order, so records are ranked once per restriction and fanned out to models after the cap."""
+    from .prep import registry_entries
+    restrictions = sorted({m["restrict_source_language"] or "" for m in models})
+    matching = F.filter(F.array(*[F.lit(x) for x in restrictions]), lambda x: (x == "") | (x == F.col("source_lang")))
+    ranked = seeded_shuffle(split_records.select(id_col, "split", F.explode(matching).alias("_only")), id_col, seed, groups=("_only", "split"))
+    kept = cap_rows(ranked, caps).select("*", F.explode(registry_entries(models)).alias("_m"))
+    return kept.where(F.coalesce("_m.restrict_source_language", F.lit("")) == F.col("_only")) \
+               .select(F.col("_m.model").alias("model"), id_col, "split", "position")
+
+
 def sample_rows(df: DataFrame, n: int, id_col: str, seed=K.SPLIT_SEED, lang: str | None = None,
-                lang_col: str = "source_lang") -> DataFrame:
-    """Op 78: n rows in md5 order (all rows if fewer): a per-partition top-k, not a full sort."""
+                lang_col: str = "source_lang", split: str | None = None) -> DataFrame:
+    """Op 78: n rows in md5 order (all rows if fewer): a per-partition top-k, not a full sort. With ``split``
+    only rows of that split (column ``split``) are drawn."""
+    if split is not None:
+        df = df.where(F.col("split") == split)
     if lang is not None:
         df = df.where(F.col(lang_col) == lang)
     return df.orderBy(md5_key(seed, id_col, "sample:"), F.col(id_col)).limit(n)

@@ -14,17 +14,17 @@ from ..functions import text as T
 from ..operators import accent as A
 from ..operators import evalstats as E
 from ..operators import gates as G
-from ..operators import plugins as PL
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import sampling as S
+from ..operators.encoder import trigram_embeddings
 from ..session import scratch_path
 from ..sources import corpus as IO
 from . import evaluation as EV
 from . import oracle_sql as O
 from .curation import annotate_counts, curation
 from .oracle_eval import clean as sql_clean
-from .oracle_eval import cosine as sql_cosine
+from .oracle_eval import raw_cosine
 from .oracle_eval import with_all
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +107,7 @@ SWEEP_COLS = ["trial_dir", "lr", "lora_r", "lora_alpha", "lora_dropout", "train_
 @register("read_scores", with_all(f"SELECT {', '.join(SWEEP_COLS)} FROM sweep"))
 def q_read_scores(spark, sf):
     path = scratch_path(spark, "sweep_results")
-    EV.sweep(_c(spark, sf)).select(*SWEEP_COLS).write.options(**IO.CSV_OPTIONS).csv(path)
+    EV.sweep(_c(spark, sf)).select(*SWEEP_COLS).write.options(**IO.CSV_WRITE).csv(path)
     return IO.read_scores(spark, path, IO.SWEEP_SCHEMA)
 
 
@@ -129,7 +129,7 @@ def q_append_sweep(spark, sf):
     IO.append_sweep_results(trials.where(F.col("model").isin(first)), path)
     IO.append_sweep_results(trials.where(~F.col("model").isin(first)), path)
     schema = StructType(IO.SWEEP_SCHEMA.fields + [StructField("model", StringType())])
-    return spark.read.schema(schema).options(**IO.CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**IO.CSV_READ).csv(path)
 
 
 SINK_STATS_SQL = f"""
@@ -437,7 +437,8 @@ def _tag_sql() -> str:
     pool = ("flatten(list_transform(range(1, 1025), lambda i: ['<KE' || CAST(i AS VARCHAR) || '>', "
             "'</KE' || CAST(i AS VARCHAR) || '>']))")
     return (f"SELECT record_id, text, present_all[1:128] AS present_tags, "
-            f"list_filter({pool}, lambda t: NOT list_contains(present_all, t)) AS banned_tags FROM ("
+            f"list_filter({pool}, lambda t: list_contains(present_all, t)) AS allowed_tags, "
+            f"CAST(len(list_filter({pool}, lambda t: NOT list_contains(present_all, t))) AS INTEGER) AS n_banned FROM ("
             f"SELECT record_id, text, regexp_extract_all(text, '(</?KE[0-9]+>)', 1) AS present_all FROM ("
             f"SELECT record_id, {tagged} AS text FROM corpus))")
 
@@ -473,8 +474,8 @@ def q_model_from_filename(spark, sf):
     models = [m["model"] for m in K.MODEL_REGISTRY]
     for m in models:  # one results file per model, named <model>_sweep.csv
         trials.where(F.col("model") == m).select(*SWEEP_COLS) \
-              .write.options(**IO.CSV_OPTIONS).csv(f"{root}/{m}_sweep.csv")
-    read = spark.read.schema(IO.SWEEP_SCHEMA).options(**IO.CSV_OPTIONS).csv([f"{root}/{m}_sweep.csv" for m in models])
+              .write.options(**IO.CSV_WRITE).csv(f"{root}/{m}_sweep.csv")
+    read = spark.read.schema(IO.SWEEP_SCHEMA).options(**IO.CSV_READ).csv([f"{root}/{m}_sweep.csv" for m in models])
     return IO.model_from_filename(read).select("model_name", *SWEEP_COLS)
 
 
@@ -536,10 +537,11 @@ LOOKUP_IDS = [0, 7, 42, 1000]
     "SELECT pair_id, fr, en, similarity FROM pairs WHERE pair_id IN (0, 7, 42, 1000) "
     "OR fr = (SELECT fr FROM pairs WHERE pair_id = 3)"))
 def q_point_lookup(spark, sf):
+    """By id, or by the text of pair 3 (a scalar: the stage's pair_id is unique)."""
     p = _c(spark, sf).pairs()
-    by_text = p.where(F.col("pair_id") == 3).select(F.col("fr").alias("_needle"))
-    hit_text = p.join(F.broadcast(by_text), F.col("fr") == F.col("_needle"), "left_semi")
-    return p.where(F.col("pair_id").isin(LOOKUP_IDS)).unionByName(hit_text).distinct()
+    needle = p.where(F.col("pair_id") == 3).select("fr").first()
+    by_text = F.col("fr") == F.lit(needle["fr"]) if needle else F.lit(False)
+    return p.where(F.col("pair_id").isin(LOOKUP_IDS) | by_text)
 
 
 @register("restrict_language", with_all(
@@ -558,9 +560,8 @@ def q_drop_invalid(spark, sf):
 @register("require_rows", with_all(
     "SELECT model, CAST(count(*) AS BIGINT) AS n_rows FROM valid GROUP BY model"))
 def q_require_rows(spark, sf):
-    kept = G.restrict_language(G.drop_invalid_examples(EV.split_corpus(_c(spark, sf))))
-    G.require_rows(kept, "filtering")
-    return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = P.train_sizes(EV.split_corpus(_c(spark, sf)), P.registry(spark))
+    return G.require_rows_per_model(sizes, "filtering").select("model", (F.col("train_rows") + F.col("eval_rows")).alias("n_rows"))
 
 
 # ============================================== 2D joins ==============================================
@@ -607,8 +608,8 @@ def q_lexicon_split(spark, sf):
 
 
 GRID_SQL = """
-SELECT g.model, g.lr, g.lora_r, g.lora_alpha, g.lora_dropout, s.train_rows AS train_samples,
-       s.eval_rows AS eval_samples
+SELECT g.model, g.lr, g.lora_r, g.lora_alpha, g.lora_dropout, least(s.train_rows, 200000) AS train_samples,
+       least(s.eval_rows, 10000) AS eval_samples
 FROM grid g JOIN sizes s ON g.model = s.model"""
 
 
@@ -617,8 +618,7 @@ def q_model_grid(spark, sf):
     reg = P.registry(spark)
     sizes = P.train_sizes(EV.split_corpus(_c(spark, sf)), reg)
     return E.model_grid(reg).join(F.broadcast(sizes), "model").select(
-        "model", "lr", "lora_r", "lora_alpha", "lora_dropout",
-        F.col("train_rows").alias("train_samples"), F.col("eval_rows").alias("eval_samples"))
+        "model", "lr", "lora_r", "lora_alpha", "lora_dropout", *P.capped_samples())
 
 
 @register("samples_x_translators", with_all("SELECT pair_id, " + ", ".join(COMPARISON_COLS) + " FROM comparison"))
@@ -627,17 +627,16 @@ def q_samples_x_translators(spark, sf):
 
 
 def _best_variant_sql() -> str:
-    vec = "(SELECT vec FROM emb WHERE vec_id = {k} % (SELECT n_vec FROM nvec))"
     idx = "CAST(('0x' || substr(md5({t}), 1, 8)) AS BIGINT)"
     return f"""
 SELECT pair_id,
   CASE WHEN better THEN f ELSE fr END AS fr, CASE WHEN better THEN e ELSE en END AS en,
-  CASE WHEN better THEN cos ELSE similarity END AS similarity,
-  vidx AS best_variant, cos AS best_cosine, better AS updated
+  CASE WHEN better THEN round(cos, 6) ELSE similarity END AS similarity,
+  vidx AS best_variant, round(cos, 6) AS best_cosine, better AS updated
 FROM (
   SELECT *, (similarity < cos AND (f <> fr OR e <> en)) AS better FROM (
-    SELECT v.*, {sql_cosine('fv.vec', 'ev.vec')} AS cos,
-           row_number() OVER (PARTITION BY v.pair_id ORDER BY {sql_cosine('fv.vec', 'ev.vec')} DESC, v.vidx) AS rn
+    SELECT v.*, {raw_cosine('fv.vec', 'ev.vec')} AS cos,
+           row_number() OVER (PARTITION BY v.pair_id ORDER BY {raw_cosine('fv.vec', 'ev.vec')} DESC, v.vidx) AS rn
     FROM (
       SELECT pair_id, similarity, fr, en, 0 AS vidx, fr AS f, en AS e FROM cl
       UNION ALL SELECT pair_id, similarity, fr, en, 1, fr, en_c FROM cl
@@ -738,15 +737,13 @@ def q_describe_all(spark, sf):
 
 
 HIST_SQL = """
-SELECT b.bin, round(mn + (mx - mn) * b.bin / 30, 6) AS lower, round(mn + (mx - mn) * (b.bin + 1) / 30, 6) AS upper,
-       CAST(coalesce(h.count, 0) AS BIGINT) AS count
-FROM (SELECT min(similarity) AS mn, max(similarity) AS mx FROM pairs) m
-CROSS JOIN (SELECT CAST(unnest(range(30)) AS INTEGER) AS bin) b
-LEFT JOIN (
-  SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((similarity - mn) / (mx - mn) * 30), 29) END AS INTEGER) AS bin,
-         count(*) AS count
-  FROM pairs CROSS JOIN (SELECT min(similarity) AS mn, max(similarity) AS mx FROM pairs)
-  WHERE similarity IS NOT NULL GROUP BY 1) h ON h.bin = b.bin"""
+SELECT CAST(b.bin AS INTEGER) AS bin, round(b.lower, 6) AS lower, round(b.upper, 6) AS upper,
+       (SELECT count(*) FROM pairs WHERE similarity >= b.lower AND (similarity < b.upper OR (b.bin = 29 AND similarity <= b.upper))) AS count
+FROM (
+  SELECT bin, bin * ((mx - mn) / 30) + mn AS lower, CASE WHEN bin = 29 THEN mx ELSE (bin + 1) * ((mx - mn) / 30) + mn END AS upper
+  FROM (SELECT CASE WHEN min(similarity) = max(similarity) THEN min(similarity) - 0.5 ELSE min(similarity) END AS mn,
+               CASE WHEN min(similarity) = max(similarity) THEN max(similarity) + 0.5 ELSE max(similarity) END AS mx FROM pairs),
+       range(30) AS r(bin)) b"""
 
 
 @register("similarity_histogram", with_all(HIST_SQL))
@@ -823,7 +820,7 @@ def _categorical_sql() -> str:
 
 @register("categorical_counts", with_all(_categorical_sql()))
 def q_categorical_counts(spark, sf):
-    return E.categorical_counts(EV.survey(_c(spark, sf)))
+    return E.categorical_counts(EV.survey(_c(spark, sf)), [x for x in EV.SURVEY_CATEGORIES if x])
 
 
 def _weighted_sql() -> str:
@@ -839,7 +836,7 @@ def q_weighted_score(spark, sf):
 
 @register("train_sizes", with_all("SELECT model, train_rows, eval_rows, steps_per_epoch FROM sizes"))
 def q_train_sizes(spark, sf):
-    return P.train_sizes(EV.split_corpus(_c(spark, sf)), P.registry(spark))
+    return P.train_sizes(EV.split_corpus(_c(spark, sf)), P.registry(spark)).drop("train_chars", "eval_chars")
 
 
 # ====================================== 2F model-input preparation ======================================
@@ -906,13 +903,21 @@ def q_shift_and_pad(spark, sf):
     c = _c(spark, sf)
     toks = EV.tokens(c)
     pos = EV.shuffled_split(c).select("record_id", "split", "position")
-    return P.shift_and_pad(toks.join(pos, "record_id"), batch_size=8)
+    return P.shift_and_pad(toks, pos, batch_size=8)
+
 
+EMBED_SQL = """
+SELECT text, list_transform(n, lambda x: round(x / sqrt(list_sum(list_transform(n, lambda y: y * y))), 6)) AS vec FROM (
+  SELECT text, list_transform(range(64), lambda s: CAST(len(list_filter(slots, lambda x: x = s)) AS DOUBLE)) AS n FROM (
+    SELECT text, list_transform(range(1, length(text) + 3), lambda i: CAST('0x' || substr(md5(substr('  ' || text || '  ', i, 3)), 1, 8) AS BIGINT) % 64) AS slots
+    FROM (SELECT DISTINCT coalesce(source, '') AS text FROM corpus)))"""
 
-@register("embed_translate_batches")
+
+@register("embed_translate_batches", with_all(EMBED_SQL))
 def q_embed_translate_batches(spark, sf):
-    texts = EV.corpus(_c(spark, sf)).select(F.col("source").alias("text"))
-    return PL.embed_texts(texts, PL.default_encoder_factory(64), 64)
+    """The default encoder, as columns; a caller's model goes through ``plugins.embed_texts``."""
+    texts = EV.corpus(_c(spark, sf)).select(F.coalesce("source", F.lit("")).alias("text"))
+    return trigram_embeddings(texts).select("text", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 # ================================ 2G sorts, top-k, limits, sampling, splits ================================
@@ -994,12 +999,20 @@ def q_seeded_shuffle(spark, sf):
     return EV.shuffled_split(_c(spark, sf)).select("record_id", "split", "position")
 
 
-@register("cap_rows", with_all(
-    f"SELECT record_id, split, position FROM shuffled WHERE (split = 'train' AND position < {K.SWEEP_TRAIN_SAMPLES}) "
-    f"OR (split = 'eval' AND position < {K.SWEEP_EVAL_SAMPLES})", _shuffle_cte()))
+# caps that cut at every scale factor; the sweep's own (200,000 / 10,000) are the default of the operator
+CAPS = {"train": 500, "eval": 50}
+
+
+@register("cap_rows", with_all(f"""
+SELECT model, record_id, split, position FROM (
+  SELECT model, record_id, split,
+         row_number() OVER (PARTITION BY model, split ORDER BY md5('shuffle:42:' || CAST(record_id AS VARCHAR)), record_id) - 1 AS position
+  FROM restricted)
+WHERE (split = 'train' AND position < {CAPS['train']}) OR (split = 'eval' AND position < {CAPS['eval']})"""))
 def q_cap_rows(spark, sf):
-    s = EV.shuffled_split(_c(spark, sf)).select("record_id", "split", "position")
-    return S.cap_rows(s, {"train": K.SWEEP_TRAIN_SAMPLES, "eval": K.SWEEP_EVAL_SAMPLES})
+    """The order of the original: language filter, split, shuffle, cap; each model on its own."""
+    records = EV.split_corpus(_c(spark, sf)).select("record_id", "source_lang", "split")
+    return S.cap_rows_per_model(records, "record_id", CAPS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ of the session's ``Curation``, shared by every query that reads them:
   ``embeddings`` picked by pair_id % N, (pair_id * 7 + 1) % N, (pair_id * 13 + k) % N;
   base translators return the reference text, fine-tuned ones its cleaned form;
 * survey: column per translator k = element (pair_id * (k + 2)) % 7 of the category list;
-* sweep: each registry model's grid; losses from the grid indexes; one missing loss per model.
+* sweep: each registry model's grid; losses from the characters and records of the model's split and the
+  grid indexes; one missing loss per model.
 """
 
 from __future__ import annotations
@@ -103,15 +104,18 @@ def _sweep(c: Curation) -> DataFrame:
                        F.posexplode("dropout_grid").alias("d_index", "lora_dropout")))
     grid = grid.withColumn("lora_alpha", F.floor(F.lit(2.0) * F.col("lora_r")).cast("int"))
     sizes = P.train_sizes(split_corpus(c), reg)
-    eval_loss = F.when((F.col("lr_index") == 0) & (F.col("r_index") == 0), F.lit(None).cast("double")) \
-                 .otherwise(((F.col("lr_index") * 5 + F.col("lora_r") * 3) % 11).cast("double") / F.lit(10.0))
-    train_loss = ((F.col("lr_index") * 3 + F.col("lora_r")) % 7).cast("double") / F.lit(10.0)
+    # losses that the data decide: characters and records of the model's split, weighed by the trial's place
+    def loss(split):
+        mixed = F.col(f"{split}_chars") * (F.col("lr_index") + 1) + F.col(f"{split}_rows") * F.col("lora_r")
+        return (mixed % 1000).cast("double") / F.lit(1000.0)
+    eval_loss = F.when((F.col("lr_index") == 0) & (F.col("r_index") == 0), F.lit(None).cast("double")).otherwise(loss("eval"))
+    train_loss = loss("train")
     trial_dir = F.concat(F.col("model"), F.lit("_auto/lr"), F.col("lr_index").cast("string"),
                          F.lit("_r"), F.col("lora_r").cast("string"), F.lit("_a"),
                          F.col("lora_alpha").cast("string"), F.lit("_d"), F.col("d_index").cast("string"))
     return grid.join(F.broadcast(sizes), "model").select(
         "model", trial_dir.alias("trial_dir"), "lr", "lora_r", "lora_alpha", "lora_dropout",
-        F.col("train_rows").alias("train_samples"), F.col("eval_rows").alias("eval_samples"),
+        *P.capped_samples(),
         train_loss.alias("final_train_loss"), eval_loss.alias("final_eval_loss"))
 
 

@@ -18,9 +18,13 @@ def md5_unit(key_sql: str) -> str:
     return f"(CAST(('0x' || substr(md5({key_sql}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
+def raw_cosine(a: str, b: str) -> str:
+    return (f"(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * "
+            f"sqrt(list_dot_product({b}, {b}))))")
+
+
 def cosine(a: str, b: str) -> str:
-    return (f"round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * "
-            f"sqrt(list_dot_product({b}, {b}))), 6)")
+    return f"round({raw_cosine(a, b)}, 6)"
 
 
 def _registry_values() -> str:
@@ -71,7 +75,9 @@ sizes AS (
     CAST(count(CASE WHEN v.split = 'train' THEN 1 END) AS BIGINT) AS train_rows,
     CAST(count(CASE WHEN v.split = 'eval' THEN 1 END) AS BIGINT) AS eval_rows,
     CAST(ceil(count(CASE WHEN v.split = 'train' THEN 1 END) / CAST(r.batch_size * r.grad_accum AS DOUBLE)) AS BIGINT)
-      AS steps_per_epoch
+      AS steps_per_epoch,
+    CAST(coalesce(sum(CASE WHEN v.split = 'train' THEN length(v.source) END), 0) AS BIGINT) AS train_chars,
+    CAST(coalesce(sum(CASE WHEN v.split = 'eval' THEN length(v.source) END), 0) AS BIGINT) AS eval_chars
   FROM registry r LEFT JOIN valid v ON r.model = v.model GROUP BY r.model, r.batch_size, r.grad_accum),
 g_lr AS (SELECT model, unnest(lr_grid) AS lr, unnest(range(len(lr_grid))) AS lr_index FROM registry),
 g_r AS (SELECT model, unnest(r_grid) AS lora_r, unnest(range(len(r_grid))) AS r_index FROM registry),
@@ -84,10 +90,11 @@ sweep AS (
   SELECT g.model,
     g.model || '_auto/lr' || CAST(lr_index AS VARCHAR) || '_r' || CAST(lora_r AS VARCHAR) || '_a'
       || CAST(lora_alpha AS VARCHAR) || '_d' || CAST(d_index AS VARCHAR) AS trial_dir,
-    lr, lora_r, lora_alpha, lora_dropout, s.train_rows AS train_samples, s.eval_rows AS eval_samples,
-    CAST((lr_index * 3 + lora_r) % 7 AS DOUBLE) / CAST(10 AS DOUBLE) AS final_train_loss,
+    lr, lora_r, lora_alpha, lora_dropout, least(s.train_rows, {K.SWEEP_TRAIN_SAMPLES}) AS train_samples,
+    least(s.eval_rows, {K.SWEEP_EVAL_SAMPLES}) AS eval_samples,
+    CAST((s.train_chars * (lr_index + 1) + s.train_rows * lora_r) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS final_train_loss,
     CASE WHEN lr_index = 0 AND r_index = 0 THEN CAST(NULL AS DOUBLE)
-         ELSE CAST((lr_index * 5 + lora_r * 3) % 11 AS DOUBLE) / CAST(10 AS DOUBLE) END AS final_eval_loss
+         ELSE CAST((s.eval_chars * (lr_index + 1) + s.eval_rows * lora_r) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS final_eval_loss
   FROM grid g JOIN sizes s ON g.model = s.model),
 emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 nvec AS (SELECT count(*) AS n_vec FROM embeddings),

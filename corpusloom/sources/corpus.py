@@ -45,7 +45,12 @@ SWEEP_SCHEMA = Ty.StructType([
     Ty.StructField("final_train_loss", Ty.DoubleType(), True),
     Ty.StructField("final_eval_loss", Ty.DoubleType(), True),
 ])
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# blanks around a text are kept; a missing value is written as \\N and an empty text as "", so they stay apart
+_CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "nullValue": "\\N",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_READ = {**_CSV, "emptyValue": ""}
+# a multi-line CSV file is read by one task, so the rows of a file are bounded
+CSV_WRITE = {**_CSV, "emptyValue": '""', "maxRecordsPerFile": "200000"}
 
 
 def check_schema(df: DataFrame, schema: Ty.StructType) -> DataFrame:
@@ -87,8 +92,8 @@ def read_corpus(spark: SparkSession, path: str, schema: Ty.StructType = CORPUS_S
 
 def write_corpus(records: DataFrame, path: str) -> str:
     """Op 5: UTF-8 JSON lines, non-ASCII kept raw, keys in the order source, target, source_lang.
-    Pairs with a missing side never reach this sink (they are filtered before)."""
-    (records.select("source", "target", "source_lang")
+    Records with a missing side are not written."""
+    (records.select("source", "target", "source_lang").where("source IS NOT NULL AND target IS NOT NULL")
             .write.mode("overwrite").option("ignoreNullFields", "false").json(path))
     return path
 
@@ -102,8 +107,8 @@ def _fill(template: str) -> Column:
 
 
 def prompt_records(pairs: DataFrame) -> DataFrame:
-    """Op 6 records: French-to-English first, then English-to-French."""
-    return pairs.select("pair_id", F.inline(F.array(
+    """Op 6 records: French-to-English first, then English-to-French; pairs with a missing side have none."""
+    return pairs.where("fr IS NOT NULL AND en IS NOT NULL").select("pair_id", F.inline(F.array(
         F.struct(F.lit(0).alias("direction"), _fill(K.PROMPT_FR_TO_EN).alias("text")),
         F.struct(F.lit(1).alias("direction"), _fill(K.PROMPT_EN_TO_FR).alias("text")))))
 
@@ -115,21 +120,21 @@ def write_prompt_corpus(pairs: DataFrame, path: str) -> str:
 
 def read_scores(spark: SparkSession, path: str, schema: Ty.StructType) -> DataFrame:
     """Op 7: CSV with a header; quoted fields may hold quotes and line breaks."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
 
 
 def write_comparison(comparison: DataFrame, root: str, run_id: str) -> str:
     """Op 8: the nine-column comparison CSV under a run-stamped name (the run id is passed in)."""
     path = f"{root.rstrip('/')}/translation_comparison_{run_id}.csv"
     comparison.select(*[f.name for f in COMPARISON_SCHEMA.fields]) \
-              .write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+              .write.mode("overwrite").options(**CSV_WRITE).csv(path)
     return path
 
 
 def append_sweep_results(trials: DataFrame, path: str) -> str:
     """Op 9: append trial rows (header in every part file; readers skip it), partitioned by model."""
     (trials.select(*[f.name for f in SWEEP_SCHEMA.fields], "model")
-           .write.mode("append").partitionBy("model").options(**CSV_OPTIONS).csv(path))
+           .write.mode("append").partitionBy("model").options(**CSV_WRITE).csv(path))
     return path
 
 
@@ -149,8 +154,7 @@ def comparison_report(samples: DataFrame) -> DataFrame:
     """Op 11: one multi-line text block per sample (index, language, source, expected, base and
     fine-tuned outputs). ``samples`` carries sample_no, n_samples and the four texts."""
     block = F.format_string(
-        "\n[%d/%d] %s\ttext in\n\t%s\ntext out (expected)\n\t%s\ntext out (predicted with base model)\n\t%s\n"
-        "text out (predicted with finetuned model)\n\t%s\n",
+        K.COMPARISON_REPORT,
         F.col("sample_no"), F.col("n_samples"), F.col("source_lang"), F.col("source"), F.col("target"),
         F.col("base_output"), F.col("finetuned_output"))
     return samples.select(block.alias("value"))

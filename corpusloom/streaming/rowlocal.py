@@ -8,6 +8,7 @@ a stream of new pair files. The accent pass needs the whole corpus and stays a b
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
@@ -19,8 +20,9 @@ ROW_LOCAL_FEATURES = [f for f in K.FEATURES if f != "potential_fr_accent_issues"
 
 
 def row_local_flags(pairs: DataFrame) -> DataFrame:
-    """Features before the accent pass, plus every flag that needs only the row itself."""
-    feats = feature_columns(pairs)
+    """Features before the accent pass, plus every flag that needs only the row itself. A NaN similarity is
+    missing, as in the batch chain."""
+    feats = feature_columns(pairs.withColumn("similarity", F.nanvl(F.col("similarity"), F.lit(None).cast("double"))))
     en_flags = T.figtext_flags("en", "en")
     fr_flags = T.figtext_flags("fr_apos", "fr")
     cols = {"exclude_low_similarity": G.low_similarity()}

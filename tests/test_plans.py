@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from corpusloom import session
 from corpusloom.plans import catalog
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -17,21 +18,53 @@ ENTRY = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(ENTRY)
 QUERIES = {k: v for k, v in ENTRY.queries().items() if k in catalog.QUERIES}
 
-FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
-PYTHON_ALLOWED = {"embed_translate_batches"}  # the encoder plug-in (Arrow batches via mapInPandas)
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas", "ArrowEvalPython"]
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _faults(plan: str) -> list[str]:
+    found = [op for op in FORBIDDEN if op in plan]
+    for spec in re.findall(r"windowspecdefinition\(([^,)]*)", plan):
+        if re.search(r"\b(ASC|DESC)\b", spec) or "specifiedwindowframe" in spec:
+            found.append(f"window without partition key: {spec}")
+    return found
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_has_no_unscalable_operators(spark, key):
+    """The query's own plan, and the plans of all stages that building it has written."""
+    since = len(session.WRITTEN_PLANS)
     plan = _plan(QUERIES[key](spark, SF_SMALL))
-    for op in FORBIDDEN:
-        assert op not in plan, f"{key}: {op}"
-    if key not in PYTHON_ALLOWED:
-        assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan, key
-    for spec in re.findall(r"windowspecdefinition\(([^,)]*)", plan):
-        assert not re.search(r"\b(ASC|DESC)\b", spec) and "specifiedwindowframe" not in spec, \
-            f"{key}: window without partition key: {spec}"
+    assert not _faults(plan), key
+    for name, written in session.WRITTEN_PLANS[since:]:
+        assert not _faults(written), (key, name)
+
+
+def test_every_stage_is_examined(spark, monkeypatch):
+    """A fresh chain writes all stages; a cross join in one of them is a fault."""
+    from corpusloom.plans.curation import Curation
+    c, since = Curation(spark, SF_SMALL), len(session.WRITTEN_PLANS)
+    c.gate_flags()
+    written = dict(session.WRITTEN_PLANS[since:])
+    assert {"stage-pairs", "stage-features_pre", "stage-vocabulary", "stage-features", "stage-gate_flags"} <= set(written)
+    assert not any(_faults(p) for p in written.values())
+    bad, since = Curation(spark, SF_SMALL), len(session.WRITTEN_PLANS)
+    monkeypatch.setattr(bad, "pairs", lambda: c.pairs().crossJoin(c.lexicon().limit(2)).drop("word"))
+    bad.features_pre()
+    assert any(_faults(p) for _, p in session.WRITTEN_PLANS[since:])
+    c.close()
+    bad.close()
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from corpusloom.plans.curation import Curation
+    c, since = Curation(spark, SF_SMALL), session.written_mark()
+    c.gate_flags()
+    left = session._WRITTEN[since:]
+    assert {p for p, _ in left} == c._kept and not any("ordinal" in p or "running" in p for p, _ in left)
+    tables = [t for _, t in left if t]
+    c.close()
+    assert not session._WRITTEN[since:] and not any(spark.catalog.tableExists(t) for t in tables)
