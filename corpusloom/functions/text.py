@@ -166,8 +166,9 @@ def clean_common_patterns(c) -> Column:
 def build_prompt(text, lang) -> Column:
     en_prompt = K.PROMPT_TEMPLATE_EN.format(instruction=K.INSTRUCTION_EN, text="%s")
     fr_prompt = K.PROMPT_TEMPLATE_FR.format(instruction=K.INSTRUCTION_FR, text="%s")
-    return F.when(F.lower(_col(lang)).startswith("en"), F.format_string(en_prompt, _col(text))) \
-            .otherwise(F.format_string(fr_prompt, _col(text)))
+    filled = F.when(F.lower(_col(lang)).startswith("en"), F.format_string(en_prompt, _col(text))) \
+              .otherwise(F.format_string(fr_prompt, _col(text)))
+    return F.when(_col(text).isNotNull(), filled)
 
 
 def extract_response(generated, prompt) -> Column:

@@ -105,8 +105,8 @@ def capped_samples(train: int = K.SWEEP_TRAIN_SAMPLES, evaluation: int = K.SWEEP
 
 def word_vocabulary(records: DataFrame) -> DataFrame:
     """(token, token_id): whitespace tokens of sources and targets by (count desc, token asc)."""
-    toks = records.select(F.explode(F.concat(T.whitespace_tokens(T.py_strip("source")),
-                                             T.whitespace_tokens(T.py_strip("target")))).alias("token"))
+    side = lambda c: T.whitespace_tokens(T.py_strip(F.coalesce(F.col(c), F.lit(""))))
+    toks = records.select(F.explode(F.concat(side("source"), side("target"))).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     ranked = with_ordinal(counts, order=[F.col("count").desc(), F.col("token").asc()], out_col="rank")
     token_id = F.col("rank") + FIRST_WORD_ID

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -56,7 +56,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     if method == "aggregate":
         q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
         out = vals.groupBy(*keys).agg(q.alias("_qs"))
-        cols = [(F.round(F.col("_qs")[i], digits) if digits is not None else F.col("_qs")[i]).alias(nm)
+        cols = [(_rounded(F.col("_qs")[i], digits) if digits is not None else F.col("_qs")[i]).alias(nm)
                 for i, nm in enumerate(names)]
         out = out.select(*keys, *cols)
         return out.drop("_all") if not groups else out
@@ -91,6 +91,11 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probs: S
     return out.drop("_all") if not groups else out
 
 
+def _rounded(q: Column, digits: int) -> Column:
+    """Rounded half up on ten decimal digits, so that a tie doesn't hang on the last bit of the interpolation."""
+    return F.round(F.round(q, 10), digits)
+
+
 def _targets(vals: DataFrame, keys, probs, names, accuracy) -> DataFrame:
     """(keys, _name, _h, _lo, _hi, _blo, _bhi): wanted ranks and the value bracket around them."""
     margin = 3.0 / accuracy
@@ -130,5 +135,5 @@ def _interpolate(ranked: DataFrame, targets: DataFrame, keys, extra_keys) -> Dat
 
 
 def _pivot(per_target: DataFrame, keys, names, digits) -> DataFrame:
-    q = F.col("_q") if digits is None else F.round(F.col("_q"), digits)
+    q = F.col("_q") if digits is None else _rounded(F.col("_q"), digits)
     return per_target.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == nm, q)).alias(nm) for nm in names])

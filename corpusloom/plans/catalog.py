@@ -62,7 +62,7 @@ def q_write_pairs(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("read_corpus", with_all("SELECT source, target, source_lang FROM corpus"))
+@register("read_corpus", with_all("SELECT source, target, source_lang FROM corpus WHERE source IS NOT NULL AND target IS NOT NULL"))
 def q_read_corpus(spark, sf):
     path = IO.write_corpus(EV.corpus(_c(spark, sf)), scratch_path(spark, "corpus"))
     return IO.read_corpus(spark, path)
@@ -89,9 +89,9 @@ def q_write_corpus(spark, sf):
 
 
 PROMPT_SQL = """
-SELECT 'translate French to English: ' || fr || ' <sep> ' || en AS text FROM pairs
+SELECT 'translate French to English: ' || fr || ' <sep> ' || en AS text FROM pairs WHERE fr IS NOT NULL AND en IS NOT NULL
 UNION ALL
-SELECT 'translate English to French: ' || en || ' <sep> ' || fr AS text FROM pairs"""
+SELECT 'translate English to French: ' || en || ' <sep> ' || fr AS text FROM pairs WHERE fr IS NOT NULL AND en IS NOT NULL"""
 
 
 @register("write_prompt_corpus", with_all(PROMPT_SQL))
@@ -155,7 +155,8 @@ FROM (
   SELECT CAST(b.pair_id + 1 AS INTEGER) AS sample_no, CAST((SELECT count(*) FROM pairs) AS INTEGER) AS n_samples,
          b.source_lang, b.source, b.target, b.translated_text AS base_output, f.translated_text AS finetuned_output
   FROM comparison b JOIN comparison f ON b.pair_id = f.pair_id
-  WHERE b.translator_name = 'opus_mt_base' AND f.translator_name = 'opus_mt_finetuned')"""
+  WHERE b.translator_name = 'opus_mt_base' AND f.translator_name = 'opus_mt_finetuned'
+    AND b.source IS NOT NULL AND b.target IS NOT NULL)"""
 
 
 @register("comparison_report", with_all(REPORT_SQL))
@@ -166,7 +167,7 @@ def q_comparison_report(spark, sf):
                .select("pair_id", "source_lang", "source", "target", F.col("translated_text").alias("base_output"))
     fine = cmp_.where(F.col("translator_name") == "opus_mt_finetuned") \
                .select("pair_id", F.col("translated_text").alias("finetuned_output"))
-    samples = (base.join(fine, "pair_id")
+    samples = (base.join(fine, "pair_id").where("source IS NOT NULL AND target IS NOT NULL")
                    .withColumns({"sample_no": (F.col("pair_id") + 1).cast("int"),
                                  "n_samples": F.lit(n_samples).cast("int")}))
     path = IO.write_report(IO.comparison_report(samples), scratch_path(spark, "report"))
@@ -181,7 +182,7 @@ def q_len_ratio(spark, sf):
 
 
 @register("len_ratio_reverse",
-          with_all("SELECT pair_id, CAST(length(en) AS DOUBLE) / CAST(length(fr) AS DOUBLE) AS len_ratio_reverse "
+          with_all("SELECT pair_id, CAST(length(en) AS DOUBLE) / nullif(CAST(length(fr) AS DOUBLE), 0) AS len_ratio_reverse "
                    "FROM pairs"))
 def q_len_ratio_reverse(spark, sf):
     return _c(spark, sf).pairs().select("pair_id", T.len_ratio("en", "fr").alias("len_ratio_reverse"))
@@ -431,7 +432,8 @@ def q_route_model(spark, sf):
 
 
 def _tag_sql() -> str:
-    tagged = ("CASE WHEN record_id % 3 = 0 THEN '<KE' || CAST(pair_id % 7 + 1 AS VARCHAR) || '>' || source || '</KE' "
+    tagged = ("CASE WHEN record_id % 97 = 5 THEN source || repeat(' <KE' || CAST(pair_id % 7 + 1 AS VARCHAR) || '>', 200) "
+              "WHEN record_id % 3 = 0 THEN '<KE' || CAST(pair_id % 7 + 1 AS VARCHAR) || '>' || source || '</KE' "
               "|| CAST(pair_id % 7 + 1 AS VARCHAR) || '>' WHEN record_id % 3 = 1 THEN source || ' <KE' || "
               "CAST(pair_id % 7 + 1 AS VARCHAR) || '> <KE' || CAST(pair_id % 7 + 1 AS VARCHAR) || '>' ELSE source END")
     pool = ("flatten(list_transform(range(1, 1025), lambda i: ['<KE' || CAST(i AS VARCHAR) || '>', "
@@ -439,7 +441,7 @@ def _tag_sql() -> str:
     return (f"SELECT record_id, text, present_all[1:128] AS present_tags, "
             f"list_filter({pool}, lambda t: list_contains(present_all, t)) AS allowed_tags, "
             f"CAST(len(list_filter({pool}, lambda t: NOT list_contains(present_all, t))) AS INTEGER) AS n_banned FROM ("
-            f"SELECT record_id, text, regexp_extract_all(text, '(</?KE[0-9]+>)', 1) AS present_all FROM ("
+            f"SELECT record_id, text, regexp_extract_all(coalesce(text, ''), '(</?KE[0-9]+>)', 1) AS present_all FROM ("
             f"SELECT record_id, {tagged} AS text FROM corpus))")
 
 
@@ -634,7 +636,7 @@ SELECT pair_id,
   CASE WHEN better THEN round(cos, 6) ELSE similarity END AS similarity,
   vidx AS best_variant, round(cos, 6) AS best_cosine, better AS updated
 FROM (
-  SELECT *, (similarity < cos AND (f <> fr OR e <> en)) AS better FROM (
+  SELECT *, coalesce(similarity < cos AND (f <> fr OR e <> en), false) AS better FROM (
     SELECT v.*, {raw_cosine('fv.vec', 'ev.vec')} AS cos,
            row_number() OVER (PARTITION BY v.pair_id ORDER BY {raw_cosine('fv.vec', 'ev.vec')} DESC, v.vidx) AS rn
     FROM (
@@ -645,7 +647,9 @@ FROM (
     CROSS JOIN nvec
     JOIN emb fv ON fv.vec_id = {idx.format(t='v.f')} % nvec.n_vec
     JOIN emb ev ON ev.vec_id = {idx.format(t='v.e')} % nvec.n_vec)
-  WHERE rn = 1)"""
+  WHERE rn = 1)
+UNION ALL
+SELECT pair_id, fr, en, similarity, NULL, NULL, false FROM pairs WHERE fr IS NULL OR en IS NULL"""
 
 
 BEST_VARIANT_CTE = f"""
@@ -708,7 +712,8 @@ def _long_sql(cols) -> str:
 
 
 def _pct_cols(probs, names) -> str:
-    return ", ".join(f"round(quantile_cont(value, {p}), 6) AS {n}" for p, n in zip(probs, names))
+    # ties at the sixth digit are settled on ten decimal digits, as in the engine
+    return ", ".join(f"CAST(round(CAST(round(quantile_cont(value, {p}), 10) AS DECIMAL(38, 10)), 6) AS DOUBLE) AS {n}" for p, n in zip(probs, names))
 
 
 @register("describe_percentiles", with_all(

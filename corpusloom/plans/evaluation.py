@@ -130,7 +130,8 @@ def prompts_and_outputs(c: Curation) -> DataFrame:
 
 def tagged_records(c: Curation) -> DataFrame:
     k = (F.col("pair_id") % 7 + 1).cast("string")
-    tagged = (F.when(F.col("record_id") % 3 == 0,
+    tagged = (F.when(F.col("record_id") % 97 == 5, F.concat(F.col("source"), F.repeat(F.concat(F.lit(" <KE"), k, F.lit(">")), 200)))
+               .when(F.col("record_id") % 3 == 0,
                      F.concat(F.lit("<KE"), k, F.lit(">"), F.col("source"), F.lit("</KE"), k, F.lit(">")))
                .when(F.col("record_id") % 3 == 1,
                      F.concat(F.col("source"), F.lit(" <KE"), k, F.lit("> <KE"), k, F.lit(">")))

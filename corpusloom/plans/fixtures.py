@@ -48,6 +48,15 @@ def _inject_fr(fr: Column, m: Column) -> Column:
              .otherwise(fr))
 
 
+def _inject_odd_fr(fr: Column, k: Column) -> Column:
+    """Rows that real corpora have: a missing side, an empty one, blanks around a text, a text over the token limit."""
+    return (F.when(k == 29, F.lit(None).cast("string"))
+             .when(k == 43, F.lit(""))
+             .when(k == 59, F.concat(F.lit("  "), fr, F.lit(" \t")))
+             .when(k == 83, F.concat(fr, F.repeat(F.lit(" mot"), 600)))
+             .otherwise(fr))
+
+
 def similarity_rule(pair_id: Column) -> Column:
     return (F.lit(70) + (pair_id * F.lit(37)) % F.lit(31)).cast("double") / F.lit(100).cast("double")
 
@@ -75,9 +84,9 @@ def derive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inject(pairs: DataFrame) -> DataFrame:
-    m = F.col("pair_id") % F.lit(16)
-    return pairs.select("pair_id", _inject_fr(F.col("fr"), m).alias("fr"), _inject_en(F.col("en"), m).alias("en"),
-                        similarity_rule(F.col("pair_id")).alias("similarity"))
+    m, k = F.col("pair_id") % F.lit(16), F.col("pair_id") % F.lit(97)
+    return pairs.select("pair_id", _inject_odd_fr(_inject_fr(F.col("fr"), m), k).alias("fr"), _inject_en(F.col("en"), m).alias("en"),
+                        F.when(k != 13, similarity_rule(F.col("pair_id"))).alias("similarity"))
 
 
 def derive_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,11 @@ def _inject_fr(f: str) -> str:
             f"WHEN 12 THEN {f} || ', a; b, c; d' WHEN 13 THEN {f} || ' FÉVRIER' ELSE {f} END")
 
 
+def _inject_odd_fr(f: str) -> str:
+    return (f"CASE pair_id % 97 WHEN 29 THEN CAST(NULL AS VARCHAR) WHEN 43 THEN '' WHEN 59 THEN '  ' || ({f}) || ' ' || chr(9) "
+            f"WHEN 83 THEN ({f}) || repeat(' mot', 600) ELSE ({f}) END")
+
+
 def _gate_columns() -> str:
     tier = ("CASE WHEN similarity < 0.85 THEN 's1' WHEN similarity >= 0.85 AND similarity < 0.92 THEN 's2' "
             "WHEN similarity >= 0.92 THEN 's3' END")
@@ -148,8 +153,8 @@ pairs0 AS (
   FROM (SELECT pair_id, line, pair_id % n_en AS other FROM numbered, n_lines WHERE lang = 'fr' AND n_en < n_fr) f
   JOIN numbered e ON e.lang = 'en' AND e.pair_id = f.other),
 pairs AS (
-  SELECT pair_id, {_inject_fr('fr0')} AS fr, {_inject_en('en0')} AS en,
-         CAST(70 + (pair_id * 37) % 31 AS DOUBLE) / CAST(100 AS DOUBLE) AS similarity
+  SELECT pair_id, {_inject_odd_fr(_inject_fr('fr0'))} AS fr, {_inject_en('en0')} AS en,
+         CASE WHEN pair_id % 97 <> 13 THEN CAST(70 + (pair_id * 37) % 31 AS DOUBLE) / CAST(100 AS DOUBLE) END AS similarity
   FROM pairs0),
 feats AS (
   SELECT pair_id, fr AS fr_raw, en, similarity,
