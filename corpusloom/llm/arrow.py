@@ -11,25 +11,37 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 BLOCK_CHARS = 300_000
+BATCH_ROWS = 1_000
 LETTER, DIGIT = 1, 2
 #: An odd 64-bit multiplier for polynomial hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows: Spark counts a batch in rows, and the default of 10,000
+    whole texts would be held several times over by the JVM and the Python worker. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[StructField],
-                   fn: Callable[[list[str | None]], dict[str, Iterable]], max_chars: int = BLOCK_CHARS) -> DataFrame:
+                   fn: Callable[[list[str | None]], dict[str, Iterable]], max_chars: int = BLOCK_CHARS,
+                   close: Callable[[], None] = lambda: None) -> DataFrame:
     """``df`` with the columns that ``fn`` derives from the texts of one block of rows.
 
     Rows stay where they are: no shuffle, one output row per input row. A column of ``df`` whose name
-    equals an output's (in any case) is replaced, as ``withColumn`` does.
+    equals an output's (in any case) is replaced, as ``withColumn`` does. ``close`` is called when a task's
+    rows are through, to let go of what ``fn`` keeps from block to block.
     """
+    bound_batches(df.sparkSession)
     made = {f.name.lower() for f in fields}
     if text_col.lower() in made:
         raise ValueError(f"the text column {text_col!r} has the name of an output column")
@@ -39,11 +51,14 @@ def append_columns(df: DataFrame, text_col: str, fields: list[StructField],
     names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in text_blocks(batch.column(at), max_chars):
-                part, out = batch.slice(start, len(texts)), fn(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[n], k) for n, k in zip(names, kinds)]],
-                                                 names=[*part.schema.names, *names])
+        try:
+            for batch in batches:
+                for start, texts in text_blocks(batch.column(at), max_chars):
+                    part, out = batch.slice(start, len(texts)), fn(texts)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[n], k) for n, k in zip(names, kinds)]],
+                                                     names=[*part.schema.names, *names])
+        finally:
+            close()
 
     return kept.mapInArrow(run, schema)
 

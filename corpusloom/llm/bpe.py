@@ -8,7 +8,8 @@ leaves that change, each in logarithmic time, until the root says that no pair c
 
 Short pieces are merged many at a time: their trees are rows of one array, and each round reads all
 roots and updates all paths at once. Longer pieces have a tree of their own. Tokens of pieces already
-seen are kept in a table of bounded size (it is dropped when full), so memory doesn't follow the corpus.
+seen are kept in a table of bounded size (dropped when full and at a task's end), so memory doesn't follow
+the corpus.
 
 Decoding maps ids back to bytes, joins them, and reads UTF-8 with replacement characters for broken
 sequences; special tokens are kept as their text.
@@ -35,7 +36,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHORT = 64
 #: Merging many new pieces at once is cheaper, so blocks are larger than the other operators'.
 BLOCK_CHARS = 1_500_000
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 200_000
+#: Trees that are merged together in one array.
+TOGETHER = 1 << 13
 NONE = np.int64(1 << 62)
 
 
@@ -98,6 +101,10 @@ class Vocabulary:
         tokens = self._known.__getitem__
         return [list(chain.from_iterable(map(tokens, pieces))) for pieces in cut]
 
+    def forget(self) -> None:
+        """Lets go of the known pieces."""
+        self._known = {}
+
     def _pieces(self, text: str | None) -> list[str]:
         if not text:
             return []
@@ -113,8 +120,8 @@ class Vocabulary:
         while width < SHORT:
             low, width = width, width * 2
             rows = np.flatnonzero((lengths <= width) & (lengths > (low if low > 1 else 0)))
-            for i in range(0, len(rows), 1 << 15):
-                group = rows[i:i + (1 << 15)]
+            for i in range(0, len(rows), TOGETHER):
+                group = rows[i:i + TOGETHER]
                 for r, ids in zip(group.tolist(), self._merge_together([pieces[r] for r in group], lengths[group], width)):
                     out[r] = ids
         for r in np.flatnonzero(lengths > SHORT).tolist():
@@ -244,7 +251,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array of int). No shuffle."""
     source = _shared(df, path)
     return append_columns(df, text_col, [StructField("ids", ArrayType(IntegerType()))],
-                          lambda texts: {"ids": vocabulary(source.value).encode_all(texts)}, max_chars=BLOCK_CHARS)
+                          lambda texts: {"ids": vocabulary(source.value).encode_all(texts)}, BLOCK_CHARS,
+                          close=lambda: vocabulary(source.value).forget())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -271,4 +279,4 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 "ids_sha256": [hashlib.sha256(v.decimal(x).encode()).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]}
 
-    return append_columns(df, text_col, fields, run, max_chars=BLOCK_CHARS)
+    return append_columns(df, text_col, fields, run, BLOCK_CHARS, close=lambda: vocabulary(source.value).forget())

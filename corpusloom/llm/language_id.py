@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField
 
-from .arrow import LETTER, append_columns, character_kinds, code_points, hash_share, runs, span_hashes
+from .arrow import LETTER, append_columns, bound_batches, character_kinds, code_points, hash_share, runs, span_hashes
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -187,6 +187,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     out[2].append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["lang", "key", "chain"])
 
+    bound_batches(df.sparkSession)
     sample = rows.where(chosen).mapInArrow(chains, "lang string, key string, chain string").collect()
     sample = sorted((r["lang"], r["key"], r["chain"]) for r in sample)
     return _fit([x[2] for x in sample], [x[0] for x in sample], sorted({x[0] for x in sample}), rounds)

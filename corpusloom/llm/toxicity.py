@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from ..session import materialize
-from .arrow import append_columns, character_kinds, code_points, hash_share, runs, text_blocks
+from .arrow import append_columns, bound_batches, character_kinds, code_points, hash_share, runs, text_blocks
 
 WINDOW = 10
 FUZZY_LENGTH = 5
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_toxic: int = 3000, max_clean: int = 12000, max_terms: int = 400) -> Model:
     """Learns the lexicon and the weights from a bounded sample of the labelled rows of ``docs``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()) \
                    .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}

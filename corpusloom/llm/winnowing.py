@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
 from ..session import materialize
-from .arrow import BASE, BASE_INVERSE, append_columns, mix, powers
+from .arrow import BASE, BASE_INVERSE, append_columns, bound_batches, mix, powers
 
 K, W = 16, 33
 _LOW = np.uint64(0xFFFFFFFF)
@@ -100,6 +100,7 @@ def _judge(doc_id, text: str, own: tuple, follower: str, other: tuple, k: int, w
 def compare_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
     """One row per row of ``df``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = df.sparkSession
+    bound_batches(spark)
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33))
