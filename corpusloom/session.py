@@ -97,9 +97,12 @@ def bucket_count(df: DataFrame, target_mb: int = 256) -> int:
     """Buckets of about ``target_mb`` of input, by the optimizer's size of the tables that ``df`` reads (file
     sizes); at least as many as the session's shuffle partitions, so small inputs still use every core."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Spark gives a source of unknown size (such as rows from Python) the session's default, an enormous number
+    unknown = int(str(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()))
+    known = sum(x for x in sizes if x < unknown)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(least, -(-size // (target_mb << 20))), 100_000)
+    return min(max(least, -(-known // (target_mb << 20))), 100_000)
 
 
 def written_mark() -> int:
