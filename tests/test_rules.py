@@ -134,3 +134,10 @@ def test_survey_categories_long_and_wide(spark):
     assert {tuple(r) for r in E.category_counts(df).collect()} == {("m1", "good", 2), ("m2", None, 1), ("m2", "odd", 1)}
     wide = {r.column_name: (r.best, r.good, r.NaN) for r in E.categorical_counts(df, ["good", "best"]).collect()}
     assert wide == {"m1": (0, 2, 0), "m2": (0, 0, 1)}
+
+
+def test_a_source_of_unknown_size_gets_the_sessions_partitions(spark):
+    from corpusloom.session import bucket_count
+    df = spark.createDataFrame([(1, "a")], "pair_id long, fr string")
+    assert bucket_count(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bucket_count(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), target_mb=1) < 100
