@@ -9,7 +9,8 @@
 4. A base phrase stands at word d exactly if all its grams vote for diagonal d.
 5. Diagonals of a notice that differ by at most ``SHIFT`` are merged (words were inserted or left out).
    A merged span is verified if it covers at least ``COVER`` of the template's grams within at most
-   ``STRETCH`` times the template's length; it then adds the template's label.
+   ``STRETCH`` times the template's length, and if the grams that tell the notice from its relatives
+   (``DECIDING``: product, nc/sa, version) are among them; it then adds the template's label.
 
 Texts are never shuffled: what leaves the scan is one row per vote. Common grams meet as many template
 positions as the list holds, so the join's output is linear in the words.
@@ -51,6 +52,23 @@ NOTICES = [
     ("all rights reserved", "all-rights-reserved"),
 ]
 
+#: For each notice, the grams that must vote besides the coverage; "a|b" asks for one of them. A
+#: notice that isn't listed (a caller's own) is verified by its coverage alone.
+DECIDING = {
+    NOTICES[0][0]: ["gnu general", "version 3"],
+    NOTICES[1][0]: ["gnu general", "public license"],
+    NOTICES[2][0]: ["lesser general"],
+    NOTICES[3][0]: ["affero general"],
+    NOTICES[4][0]: ["apache license", "2 0"],
+    NOTICES[5][0]: ["by nc", "nc 4", "4 0"],
+    NOTICES[6][0]: ["by sa", "sa 4", "4 0"],
+    NOTICES[7][0]: ["creative commons", "commons attribution", "attribution 4", "4 0"],
+    NOTICES[8][0]: ["the mit|mit license"],
+    NOTICES[9][0]: ["this software", "associated documentation"],
+    NOTICES[10][0]: ["and binary|binary forms"],
+    NOTICES[11][0]: ["mozilla public", "2 0"],
+}
+
 
 def words(text: Column) -> Column:
     """Words of the ASCII-lower-cased text: runs of digits, a-z and characters beyond ASCII. ``lower`` may
@@ -69,15 +87,22 @@ def _grams(df: DataFrame, keys: list[str]) -> DataFrame:
              .withColumn("h", F.xxhash64("gram"))
 
 
+def _deciding_masks(phrase: str) -> list[int]:
+    """For each entry of ``DECIDING``, a bit mask of the template positions of which one must vote."""
+    parts = phrase.split()
+    grams = [" ".join(parts[i:i + K]) for i in range(len(parts) - K + 1)]
+    return [sum(1 << i for i, g in enumerate(grams) if g in entry.split("|")) for entry in DECIDING.get(phrase, [])]
+
+
 def template_positions(df: DataFrame, base: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """One row per gram of every template, with the template's number, label and length in grams."""
+    """One row per gram of every template, with the template's number, label, length in grams and deciding grams."""
     spark = df.sparkSession
-    rows = [(i, label, i < len(base), phrase) for i, (phrase, label) in enumerate([*base, *notices])]
+    rows = [(i, label, i < len(base), phrase, _deciding_masks(phrase)) for i, (phrase, label) in enumerate([*base, *notices])]
     if any(not 1 <= len(r[3].split()) - K + 1 <= 62 for r in rows):
         raise ValueError("a template needs 2 to 63 words")
-    t = spark.createDataFrame(rows, "template int, label string, is_base boolean, phrase string") \
+    t = spark.createDataFrame(rows, "template int, label string, is_base boolean, phrase string, deciding array<long>") \
              .withColumn("words", words(F.col("phrase"))).withColumn("n_grams", F.size("words") - K + 1)
-    return _grams(t, ["template", "label", "is_base", "n_grams"]).withColumnRenamed("pos", "tpos")
+    return _grams(t, ["template", "label", "is_base", "n_grams", "deciding"]).withColumnRenamed("pos", "tpos")
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -87,7 +112,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     templates = template_positions(df, base, notices)
     votes = _grams(docs, ["id", "digest"]).join(F.broadcast(templates), ["h", "gram"])
     key = ["id", "digest", "template"]
-    about = [F.first(c).alias(c) for c in ("label", "is_base", "n_grams")]
+    about = [F.first(c).alias(c) for c in ("label", "is_base", "n_grams", "deciding")]
     diagonals = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("low"), F.max("pos").alias("high"), *about)
     order = Window.partitionBy(*key).orderBy("diagonal")
@@ -97,7 +122,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(*key, "run").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"), *about)
     cover = F.bit_count("mask") / F.col("n_grams")
     length = F.col("high") - F.col("low") + K
-    verified = F.when(F.col("is_base"), cover == 1.0).otherwise((cover >= COVER) & (length <= STRETCH * (F.col("n_grams") + K - 1)))
+    decided = F.forall("deciding", lambda one_of: F.col("mask").bitwiseAND(one_of) != 0)
+    verified = F.when(F.col("is_base"), cover == 1.0).otherwise((cover >= COVER) & decided & (length <= STRETCH * (F.col("n_grams") + K - 1)))
     return merged.where(verified).select("id", "digest", "label", "is_base", F.col("low").cast("long").alias("first_word"),
                                          length.cast("long").alias("n_span"), cover.alias("cover"))
 

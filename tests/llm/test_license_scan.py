@@ -55,6 +55,35 @@ def test_neighbouring_diagonals_merge_into_a_verified_span(spark):
     assert rows[4].labels == "gpl"
 
 
+def test_relatives_of_a_notice_do_not_get_its_label(spark):
+    want = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by",
+        "Licensed under CC BY-NC 3.0.": "cc-by",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        "Mozilla Public License, version 1.1": "",
+        "Mozilla Public License, version 2.0": "mpl-2.0",
+        "Licensed under the Apache License, version 1.1": "apache",
+        "Licensed under the Apache License, version 2.0": "apache,apache-2.0",
+        "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "Licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software": "",
+        "Released under the MIT/X11 License": "mit",
+    }
+    rows = scan(spark, list(want))
+    assert {t: rows[i].labels for i, t in enumerate(want)} == want
+
+
+def test_every_notice_verifies_itself(spark):
+    rows = scan(spark, [phrase for phrase, _ in S.NOTICES])
+    for i, (phrase, label) in enumerate(S.NOTICES):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0, phrase
+        assert all(S._deciding_masks(phrase)), phrase
+
+
 def test_plan_has_no_python(spark, edge_docs):
     plan = S.scan(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
