@@ -4,15 +4,17 @@
 2. One equi-join on the hash maps document positions to template positions. The join also compares the
    gram's words, so every vote is verified and a hash collision cannot cast one. The template side has
    one row per template position: its size is fixed by the template list, so it is broadcast.
-3. A vote at document position p for template position t lies on diagonal p - t. Votes are aggregated
-   by (document, template, diagonal); a bit mask of the template positions makes the sum idempotent.
-4. A base phrase stands at word d exactly if all its grams vote for diagonal d.
-5. Diagonals of a notice that differ by at most ``SHIFT`` are merged (words were inserted or left out).
-   A merged span is verified if it covers at least ``COVER`` of the template's grams within at most
-   ``STRETCH`` times the template's length, and if the grams that tell the notice from its relatives
-   (``DECIDING``: product, nc/sa, version) are among them; it then adds the template's label.
-
-Texts are never shuffled: what leaves the scan is one row per vote. Common grams meet as many template
+3. A vote at document position p for template position t lies on diagonal p - t. Repeated votes count once.
+4. Each vote opens a window that reaches as far as a span may: ``STRETCH`` times the template's length, or a base
+   phrase's own length. Of the votes in it, those count whose diagonals are linked to the opening vote's by steps
+   of at most ``SHIFT`` (words were inserted or left out; 0 for a base phrase). A bit mask of their template
+   positions gives the coverage. As no window is longer than a span, votes nearby can't spoil a complete notice.
+5. A base phrase stands where all its grams vote on one diagonal. A notice is verified if at least ``COVER`` of
+   its grams vote, and if the grams that tell it from its relatives (``DECIDING``: product, nc/sa, version)
+   are among them; it then adds its label. Of a notice's spans that begin within its length, the best-covered stays.
+
+Texts are never shuffled: what leaves the scan is one row per vote. A window holds at most
+as many votes as a span has words, times the gram's places in the template. Common grams meet as many template
 positions as the list holds, so the join's output is linear in the words.
 
 Edge cases: a null text is empty; a document without words or votes has zero counts, null positions,
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 K, SHIFT, COVER, STRETCH = 2, 3, 0.6, 1.5
 
+#: Units of a window; far more than the square of any template's reach in words.
+REACH = 1 << 20
+
 #: Phrase and label of the base scan.
 BASE = [
     ("gnu general public license", "gpl"),
@@ -110,22 +115,46 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Verified spans: id, digest of the text, label, is_base, first word (from 0), words spanned, coverage."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), words(F.col(text_col)).alias("words"))
     templates = template_positions(df, base, notices)
-    votes = _grams(docs, ["id", "digest"]).join(F.broadcast(templates), ["h", "gram"])
     key = ["id", "digest", "template"]
     about = [F.first(c).alias(c) for c in ("label", "is_base", "n_grams", "deciding")]
-    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("low"), F.max("pos").alias("high"), *about)
-    order = Window.partitionBy(*key).orderBy("diagonal")
-    near = (F.col("diagonal") - F.lag("diagonal").over(order) <= SHIFT) & ~F.col("is_base")
-    merged = diagonals.withColumn("new", F.when(near, 0).otherwise(1)) \
-        .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))) \
-        .groupBy(*key, "run").agg(F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"), *about)
-    cover = F.bit_count("mask") / F.col("n_grams")
-    length = F.col("high") - F.col("low") + K
-    decided = F.forall("deciding", lambda one_of: F.col("mask").bitwiseAND(one_of) != 0)
-    verified = F.when(F.col("is_base"), cover == 1.0).otherwise((cover >= COVER) & decided & (length <= STRETCH * (F.col("n_grams") + K - 1)))
-    return merged.where(verified).select("id", "digest", "label", "is_base", F.col("low").cast("long").alias("first_word"),
-                                         length.cast("long").alias("n_span"), cover.alias("cover"))
+    votes = _grams(docs, ["id", "digest"]).join(F.broadcast(templates), ["h", "gram"]) \
+        .groupBy(*key, "pos", "tpos").agg(*about)
+    # positions in units that make the same reach in words the same for every template
+    units = lambda reach: F.col("pos").cast("long") * F.floor(F.lit(REACH) / F.greatest(reach, F.lit(0.5))).cast("long")
+    place = units(F.when(F.col("is_base"), F.col("n_grams") - 1).otherwise(F.floor(STRETCH * (F.col("n_grams") + K - 1)) - K))
+    ahead = Window.partitionBy(*key).orderBy("place").rangeBetween(0, REACH)
+    opened = votes.withColumn("place", place) \
+        .withColumn("union", F.bit_or(F.expr("shiftleft(1L, tpos)")).over(ahead)) \
+        .withColumn("near", F.collect_list(F.struct((F.col("pos") - F.col("tpos")).alias("diagonal"), "pos", "tpos")).over(ahead)) \
+        .where(_verified(F.col("union")))
+    low, high = _linked(F.col("pos") - F.col("tpos"), F.when(F.col("is_base"), 0).otherwise(SHIFT))
+    linked = opened.withColumn("chain", F.struct(low.alias("low"), high.alias("high"))) \
+        .withColumn("near", F.filter("near", lambda v: v["diagonal"].between(F.col("chain.low"), F.col("chain.high")))) \
+        .withColumn("mask", F.aggregate("near", F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v["tpos"])))) \
+        .where(_verified(F.col("mask"))) \
+        .withColumn("n_span", F.array_max(F.transform("near", lambda v: v["pos"])) - F.col("pos") + K) \
+        .withColumn("rank", F.struct(F.bit_count("mask").alias("n"), (-F.col("n_span")).alias("short"), (-F.col("pos")).alias("early"), (-F.col("tpos")).alias("t")))
+    meets = Window.partitionBy(*key).orderBy("place").rangeBetween(-REACH, REACH)
+    best = F.col("is_base") | (F.col("rank") == F.max("rank").over(meets))
+    return linked.withColumn("place", units(F.col("n_grams") + K - 2)).withColumn("best", best).where("best").select(
+        "id", "digest", "label", "is_base", F.col("pos").cast("long").alias("first_word"),
+        F.col("n_span").cast("long").alias("n_span"), (F.bit_count("mask") / F.col("n_grams")).alias("cover"))
+
+
+def _verified(mask: Column) -> Column:
+    """Whether the template positions in ``mask`` are enough."""
+    cover = F.bit_count(mask) / F.col("n_grams")
+    decided = F.forall("deciding", lambda one_of: mask.bitwiseAND(one_of) != 0)
+    return F.when(F.col("is_base"), cover == 1.0).otherwise((cover >= COVER) & decided)
+
+
+def _linked(own: Column, shift: Column) -> tuple[Column, Column]:
+    """Smallest and largest diagonal of the chain that holds diagonal ``own``, among those of ``near``."""
+    diagonals = F.array_sort(F.array_distinct(F.transform("near", lambda v: v["diagonal"])))
+    up = F.filter(diagonals, lambda d: d >= own)
+    down = F.reverse(F.filter(diagonals, lambda d: d <= own))
+    end = lambda ds: F.aggregate(ds, own, lambda last, d: F.when(F.abs(d - last) <= shift, d).otherwise(last))
+    return end(down), end(up)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

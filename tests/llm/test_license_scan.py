@@ -77,6 +77,26 @@ def test_relatives_of_a_notice_do_not_get_its_label(spark):
     assert {t: rows[i].labels for i, t in enumerate(want)} == want
 
 
+def test_votes_nearby_do_not_spoil_a_complete_notice(spark):
+    notice = S.NOTICES[0][0]
+    texts = ["All rights reserved. " * n for n in (1, 2, 3, 50)] + [
+        "licensed under the under the " + notice + " under the under the licensed under",
+        ("Released under the MIT license.\n" * 30),
+        "rights reserved all all rights",
+        "mozilla public license version 2 0 " * 400,
+    ]
+    rows = scan(spark, texts)
+    assert [rows[i].labels for i in range(8)] == ["all-rights-reserved"] * 4 + ["gpl,gpl-3.0", "mit", "", "mpl-2.0"]
+    assert all(rows[i].score == 1.0 for i in (0, 1, 2, 3, 4, 5, 7))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = {}
+    for r in S.spans(df).where("not is_base").collect():
+        places.setdefault(r.id, []).append((r.first_word, r.n_span))
+    assert sorted(places[3]) == [(3 * i, 3) for i in range(50)]
+    assert sorted(places[5]) == [(5 * i, 5) for i in range(30)]
+    assert places[4] == [(5, 12)]
+
+
 def test_every_notice_verifies_itself(spark):
     rows = scan(spark, [phrase for phrase, _ in S.NOTICES])
     for i, (phrase, label) in enumerate(S.NOTICES):
