@@ -61,7 +61,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    machine = wordpiece.automaton(vocabulary_path("byte_bpe_50k.json"))
+    machine = wordpiece.automaton(vocabulary_path("byte_bpe_50k.json"), bare_marker=True)
     return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), machine).drop("text")
 
 

@@ -6,8 +6,9 @@ byte, that many tokens of the greedy longest match are complete, and matching go
 node without reading a byte again. The work is linear in the text and no piece is ever built.
 
 A word is a run of anything but ASCII white space, as bytes of its UTF-8. Greedy longest match takes the
-longest vocabulary token at the word's begin, then the longest continuing token, and so on; a word that
-can't be covered counts as one unknown token. All words of a block run through the automaton together.
+longest vocabulary token at the word's begin, then the longest continuing token, and so on. With
+``bare_marker`` a word that no beginning token fits begins with the word marker alone, one token, and goes on
+with continuing ones; a word that still can't be covered counts as one unknown token. All words of a block run through the automaton together.
 
 Edge cases: null, empty and white-space-only texts have no words and no tokens. Rows are passed through
 one by one, repeated ones alike.
@@ -33,7 +34,7 @@ class Automaton:
 
     START, INSIDE = 0, 1
 
-    def __init__(self, begins: set[bytes], continues: set[bytes]):
+    def __init__(self, begins: set[bytes], continues: set[bytes], bare_marker: bool = False):
         children: list[dict[int, int]] = [{}, {}]
         token: set[int] = set()
         for root, tokens in ((self.START, begins), (self.INSIDE, continues)):
@@ -47,6 +48,8 @@ class Automaton:
                 if t:
                     token.add(node)
         fail, pops = [-1] * len(children), [0] * len(children)
+        if bare_marker:
+            fail[self.START], pops[self.START] = self.INSIDE, 1
         queue = deque((root, b, v) for root in (0, 1) for b, v in children[root].items())
         while queue:
             parent, b, v = queue.popleft()
@@ -110,9 +113,10 @@ class Automaton:
         return np.where(unknown, -1, total)
 
 
-def automaton(path: str, marker: str = "Ġ") -> Automaton:
+def automaton(path: str, marker: str = "Ġ", bare_marker: bool = False) -> Automaton:
     """From a byte-level BPE file of the tokenizers library: tokens with the word marker begin a word, the
-    others continue one. Special tokens are left out."""
+    others continue one. With ``bare_marker`` the marker itself, if it is a token, begins the words that no other
+    one fits. Special tokens are left out."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte = {c: b for b, c in byte_letters().items()}
@@ -120,7 +124,7 @@ def automaton(path: str, marker: str = "Ġ") -> Automaton:
     tokens = [t for t in spec["model"]["vocab"] if t not in special]
     spell = lambda t: bytes(byte[c] for c in t)
     return Automaton({spell(t[len(marker):]) for t in tokens if t.startswith(marker) and t != marker},
-                     {spell(t) for t in tokens if not t.startswith(marker)})
+                     {spell(t) for t in tokens if not t.startswith(marker)}, bare_marker and marker in tokens)
 
 
 def count_tokens(df: DataFrame, machine: Automaton, text_col: str = "text") -> DataFrame:
