@@ -56,19 +56,19 @@ class Matcher:
     def __init__(self, terms: list[str]):
         self.terms = sorted(set(terms))
         letters = sorted({c for t in self.terms for c in t})
-        self.kind = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(letters[:254]):
-            self.kind[ord(c)] = i + 1
-        code = {c: i + 1 for i, c in enumerate(letters[:254])}
+        self.kind = np.zeros(0x110000, np.min_scalar_type(len(letters)))
+        code = {c: i + 1 for i, c in enumerate(letters)}
+        for c, i in code.items():
+            self.kind[ord(c)] = i
         children: list[dict[int, int]] = [{}, {}]  # roots: terms matched exactly, terms matched with an edit
         ends: dict[int, int] = {}
         for i, t in enumerate(self.terms):
             node = int(len(t) >= FUZZY_LENGTH)
             for c in t:
-                if code.get(c, 0) not in children[node]:
-                    children[node][code.get(c, 0)] = len(children)
+                if code[c] not in children[node]:
+                    children[node][code[c]] = len(children)
                     children.append({})
-                node = children[node][code.get(c, 0)]
+                node = children[node][code[c]]
             ends[node] = i
 
         def closed(states) -> frozenset:

@@ -32,6 +32,19 @@ def test_automaton_equals_levenshtein_distance():
                 assert found[i][1] == best and distance(w, found[i][0]) == best
 
 
+def test_alphabet_of_any_size():
+    letters = [chr(0x4E00 + i) for i in range(420)]
+    terms = ["".join(letters[i:i + 3]) for i in range(0, 300, 3)] + ["".join(letters[i:i + 6]) for i in range(300, 420, 6)]
+    matcher = T.Matcher(terms)
+    clean = [t[:-1] + "x" for t in terms if len(t) == 3] + [t[:2] + "xy" + t[4:] for t in terms if len(t) == 6]
+    wrong = [t[:2] + "x" + t[3:] for t in terms if len(t) == 6]
+    words = terms + clean + wrong
+    cps, begins, ends, _ = T.words_of([" ".join(words)])
+    hit, term, edits = matcher.match(cps, begins, ends)
+    found = {words[w]: (matcher.terms[t], int(e)) for w, t, e in zip(hit, term, edits)}
+    assert found == {**{t: (t, 0) for t in terms}, **{w: (t, 1) for w, t in zip(wrong, terms[100:])}}
+
+
 def x_of(text, terms=("idiot", "scum")):
     return dict(zip(T.FEATURES, T.features([text], T.Matcher(list(terms)), T.Matcher(T.REPORTING))[0]))
 
