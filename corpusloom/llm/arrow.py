@@ -137,6 +137,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def hash_share(column: str, share: float) -> Column:
+def hash_share(column: str, share: float | Column) -> Column:
     """True for about ``share`` of the values of ``column``, the same ones in every run."""
-    return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    limit = F.floor(F.least(F.lit(1.0), share) * (1 << 30)) if isinstance(share, Column) else int(min(1.0, share) * (1 << 30))
+    return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1 << 30)) < limit

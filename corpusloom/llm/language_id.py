@@ -36,6 +36,8 @@ from .arrow import LETTER, append_columns, bound_batches, character_kinds, code_
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 CHAIN = 64
+#: So many documents of a language are expected in the smallest sample; that none is chosen has a chance of e**-20.
+LEAST_DOCS = 20
 UND = "und"
 
 
@@ -162,20 +164,21 @@ def label_languages(df: DataFrame, model: Model, text_col: str = "text") -> Data
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          docs_per_language: int = 150, chains_per_doc: int = 4, max_languages: int = 100,
+          docs_per_language: int = 150, chains_per_doc: int = 4, full_languages: int = 20,
           rounds: int = 40) -> Model:
-    """Fits the model on a bounded sample of labelled rows: about ``docs_per_language`` documents of each
-    of the ``max_languages`` commonest languages, chosen by a hash of their id, and ``chains_per_doc`` chains
-    of at most ``CHAIN`` words spread over each of them (about 40,000 words a language). The
+    """Fits the model on a bounded sample of labelled rows: about ``docs_per_language`` documents of every
+    language, chosen by a hash of their id, and ``chains_per_doc`` chains of at most ``CHAIN`` words spread over
+    each of them (about 40,000 words a language). All labels are learned. The driver's dense arrays have a row a
+    word and a column a language, so beyond ``full_languages`` languages the sample of each shrinks with the square
+    of their number: fewer chains of a document first, then fewer documents, but at least about ``LEAST_DOCS``. The
     number of labelled documents of each language is counted over all rows; prediction covers all texts."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
              .where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros(0, np.uint64), np.zeros((1, 0)), np.zeros((0, 0)))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = F.when(F.col("lang") == r["lang"], hash_share("id", docs_per_language / r["count"])).otherwise(chosen)
+    docs_per_language, chains_per_doc = _sample_size(len(counts), docs_per_language, chains_per_doc, full_languages)
+    shares = df.sparkSession.createDataFrame([(r["lang"], docs_per_language / r["count"]) for r in counts], "lang string, share double")
 
     def chains(batches):
         for batch in batches:
@@ -188,11 +191,19 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["lang", "key", "chain"])
 
     bound_batches(df.sparkSession)
-    sample = rows.where(chosen).mapInArrow(chains, "lang string, key string, chain string").collect()
+    sample = rows.join(F.broadcast(shares), "lang").where(hash_share("id", F.col("share"))) \
+                 .select("id", "text", "lang").mapInArrow(chains, "lang string, key string, chain string").collect()
     sample = sorted((r["lang"], r["key"], r["chain"]) for r in sample)
     return _fit([x[2] for x in sample], [x[0] for x in sample], sorted({x[0] for x in sample}), rounds)
 
 
+def _sample_size(languages: int, docs: int, chains: int, full: int) -> tuple[float, int]:
+    """Documents of a language and chains of a document, for so many languages."""
+    share = min(1.0, (full / languages) ** 2)
+    fewer = max(1, min(chains, int(chains * share)))
+    return (docs if share == 1.0 else min(docs, max(LEAST_DOCS, docs * share * chains / fewer))), fewer
+
+
 def _pieces(text: str, most: int) -> list[str]:
     """At most ``most`` chains, evenly spread over all chains of the text."""
     chains = [" ".join(w[i:i + CHAIN]) for line in text.split("\n") if (w := line.split()) for i in range(0, len(w), CHAIN)]
@@ -236,12 +247,12 @@ def _fit(chains: list[str], langs: list[str], labels: list[str], rounds: int) ->
     params = [m.grams.astype(np.float64), m.words, m.moves]
     decay = [0.02, 0.02, 0.5]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    per_label = lambda rows, values, size: np.stack([np.bincount(rows, values[:, j], size) for j in range(k)], 1)
+    per_label = lambda rows, values, size, of=slice(None): np.stack([np.bincount(rows, values[:, j][of], size) for j in range(k)], 1)
     for r in range(1, rounds + 1):
         scores = params[1][word_rows] + np.stack([np.bincount(owner, params[0][buckets, j], n) for j in range(k)], 1)
         p, pairs, _ = block.forward_backward(scores, params[2])
         wrong = p - truth
-        gradients = [per_label(buckets, wrong[owner], len(params[0])), per_label(word_rows, wrong, len(params[1])), pairs - moved]
+        gradients = [per_label(buckets, wrong, len(params[0]), owner), per_label(word_rows, wrong, len(params[1])), pairs - moved]
         for i, g in enumerate(gradients):
             g += decay[i] * params[i]
             first[i] = 0.9 * first[i] + 0.1 * g

@@ -71,6 +71,25 @@ def test_long_lines_are_cut_into_chains_that_cover_all_words():
     assert sorted(i for rows in b.steps() for i in rows) == list(range(1003)) and b.lengths.max() == L.CHAIN
 
 
+def test_more_than_a_hundred_languages_are_all_learned(spark):
+    rng = np.random.default_rng(4)
+    names = [f"l{k:03d}" for k in range(120)]
+    lists = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for _ in names]
+    rows = [(4 * k + i, " ".join(rng.choice(lists[k], 6)), names[k]) for k in range(120) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.train(df, rounds=12)
+    assert m.labels == names
+    got = L.label_languages(df, m).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.9
+
+
+def test_sample_of_a_language_shrinks_with_their_number():
+    assert L._sample_size(4, 150, 4, 20) == (150, 4) == L._sample_size(20, 150, 4, 20)
+    for n in (30, 60, 100, 300, 1000):
+        docs, chains = L._sample_size(n, 150, 4, 20)
+        assert docs >= L.LEAST_DOCS and chains >= 1 and docs * chains <= max(600 * (20 / n) ** 2 + 1e-6, L.LEAST_DOCS)
+
+
 def test_held_out_accuracy_of_the_query(spark):
     d = "/root/testdata/sf0.01"
     docs = queries.table(spark, d, "documents")
