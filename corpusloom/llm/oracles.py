@@ -4,7 +4,7 @@ plain pair scores, every rule on every url, positions from unnested words, one g
 from __future__ import annotations
 
 from .license_scan import BASE as PHRASES
-from .license_scan import COVER, NOTICES, SHIFT, STRETCH
+from .license_scan import COVER, DECIDING, NOTICES, SHIFT, STRETCH
 from .mixing import WEIGHTS
 from .url_filter import BASE as URL_RULES
 from .url_filter import PATTERNS
@@ -56,6 +56,8 @@ FROM u LEFT JOIN best b ON u.n = b.n
 def _license_sql() -> str:
     templates = ", ".join(f"({i}, {_text(label)}, {str(i < len(PHRASES)).lower()}, string_split({_text(phrase)}, ' '))"
                           for i, (phrase, label) in enumerate([*PHRASES, *NOTICES]))
+    deciding = ", ".join(f"({len(PHRASES) + i}, [{', '.join(map(_text, entry.split('|')))}])"
+                         for i, (phrase, _) in enumerate(NOTICES) for entry in DECIDING.get(phrase, []))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id,
@@ -70,19 +72,38 @@ WITH d AS (
   SELECT n, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT n, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)
 ), votes AS (
   SELECT n, template, label, is_base, n_grams, tpos, pos, pos - tpos AS diagonal FROM dg JOIN tg USING (gram)
-), lines AS (
-  SELECT DISTINCT n, template, is_base, diagonal FROM votes
-), stepped AS (
-  SELECT *, CASE WHEN NOT is_base AND diagonal - lag(diagonal) OVER (PARTITION BY n, template ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END AS fresh
-  FROM lines
-), numbered AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY n, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM stepped
-), spans AS (
-  SELECT v.n, v.label, v.is_base, min(v.pos) AS low, max(v.pos) - min(v.pos) + 2 AS size, count(DISTINCT v.tpos) / v.n_grams AS cover, v.n_grams
-  FROM votes v JOIN numbered r ON v.n = r.n AND v.template = r.template AND v.diagonal = r.diagonal
-  GROUP BY v.n, v.template, v.label, v.is_base, v.n_grams, r.run
+), base AS (  -- a base phrase stands where all its grams vote on one diagonal
+  SELECT n, label, true AS is_base, diagonal AS low, 1.0 AS cover FROM votes WHERE is_base
+  GROUP BY n, template, label, diagonal, n_grams HAVING count(*) = n_grams
+), places AS (  -- a notice may begin at any vote; its words then reach {STRETCH} times its length
+  SELECT DISTINCT n, template, pos AS start, diagonal AS own, CAST(floor({STRETCH} * (n_grams + 1)) AS BIGINT) - 2 AS reach
+  FROM votes WHERE NOT is_base
+), inside AS (
+  SELECT p.*, v.label, v.tpos, v.diagonal, v.n_grams FROM places p
+  JOIN votes v ON v.n = p.n AND v.template = p.template AND v.pos BETWEEN p.start AND p.start + p.reach
+), stepped AS (  -- diagonals in order; a step of more than {SHIFT} starts another chain
+  SELECT n, template, start, own, diagonal,
+         CASE WHEN diagonal - lag(diagonal) OVER w <= {SHIFT} THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT DISTINCT n, template, start, own, diagonal FROM inside)
+  WINDOW w AS (PARTITION BY n, template, start, own ORDER BY diagonal)
+), chains AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY n, template, start, own ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS chain FROM stepped
+), linked AS (  -- the chain that holds the diagonal of the first vote
+  SELECT i.n, i.template, i.label, i.start, i.own, i.n_grams, list(DISTINCT i.tpos) AS seen
+  FROM inside i JOIN chains c USING (n, template, start, own, diagonal)
+  JOIN chains o ON o.n = c.n AND o.template = c.template AND o.start = c.start AND o.own = c.own AND o.diagonal = c.own AND o.chain = c.chain
+  GROUP BY i.n, i.template, i.label, i.start, i.own, i.n_grams
+), asked AS (
+  SELECT * FROM (VALUES {deciding}) AS x(template, grams)
+), undecided AS (  -- spans that lack one of their deciding grams
+  SELECT DISTINCT l.n, l.template, l.start, l.own
+  FROM linked l JOIN asked a USING (template)
+  WHERE NOT list_has_any(l.seen, (SELECT list(tpos) FROM tg WHERE tg.template = a.template AND list_contains(a.grams, tg.gram)))
 ), good AS (
-  SELECT * FROM spans WHERE CASE WHEN is_base THEN cover = 1 ELSE cover >= {COVER} AND size <= {STRETCH} * (n_grams + 1) END
+  SELECT n, label, is_base, low, cover FROM base
+  UNION ALL
+  SELECT n, label, false, start, len(seen) / n_grams FROM linked l
+  WHERE len(seen) / n_grams >= {COVER} AND NOT EXISTS (FROM undecided u WHERE u.n = l.n AND u.template = l.template AND u.start = l.start AND u.own = l.own)
 ), found AS (
   SELECT n, count(*) FILTER (is_base) AS n_base, min(low) FILTER (is_base) AS first_word, max(low) FILTER (is_base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,

@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpusloom.llm import license_scan as S
@@ -107,3 +108,44 @@ def test_every_notice_verifies_itself(spark):
 def test_plan_has_no_python(spark, edge_docs):
     plan = S.scan(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def brute_spans(words, phrase):
+    """Coverages of all verified placements of a notice: every vote may open one."""
+    t = phrase.split()
+    grams = [tuple(t[i:i + 2]) for i in range(len(t) - 1)]
+    votes = [(p, q) for p in range(len(words) - 1) for q, g in enumerate(grams) if g == tuple(words[p:p + 2])]
+    for p, q in votes:
+        near = [(x, y) for x, y in votes if p <= x <= p + int(S.STRETCH * len(t)) - 2]
+        chain, grown = {p - q}, True
+        while grown:
+            more = {x - y for x, y in near if any(abs(x - y - d) <= S.SHIFT for d in chain)}
+            grown, chain = not more <= chain, chain | more
+        seen = {y for x, y in near if x - y in chain}
+        asked = [{y for y, g in enumerate(grams) if " ".join(g) in entry.split("|")} for entry in S.DECIDING.get(phrase, [])]
+        if len(seen) / len(grams) >= S.COVER and all(a & seen for a in asked):
+            yield len(seen) / len(grams)
+
+
+def test_labels_equal_brute_force_on_random_placements(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            part = rng.choice(S.NOTICES)[0].split()
+            for _ in range(rng.randint(0, 3)):  # words left out, put in, or exchanged
+                at = rng.randrange(len(part))
+                part[at:at + rng.randint(0, 2)] = rng.choices(["the", "of", "license", "version", "2", "0", "x"], k=rng.randint(0, 2))
+                part = part or ["x"]
+            words += part + rng.choices(["a", "under", "the", "mit", "license"], k=rng.randint(0, 4))
+        texts.append(" ".join(words))
+    rows = scan(spark, texts)
+    for i, text in enumerate(texts):
+        words = text.split()
+        by_label = {}
+        for phrase, label in S.NOTICES:
+            by_label.setdefault(label, []).extend(brute_spans(words, phrase))
+        want = {label for label, covers in by_label.items() if covers} | set(filter(None, brute(text)[4].split(",")))
+        best = max([c for covers in by_label.values() for c in covers] + [1.0] * bool(brute(text)[1]), default=0.0)
+        assert set(filter(None, rows[i].labels.split(","))) == want and abs(rows[i].score - best) < 1e-9, text
