@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bsi_topk, language_id, license_scan, mixing, simhash, toxicity, url_filter, winnowing, wordpiece
+from . import bpe, bsi_topk, language_id, license_scan, mixing, pair_bitmaps, simhash, toxicity, url_filter, winnowing, wordpiece
 from .arrow import held_out
 from .oracles import ORACLE  # noqa: F401  registered beside QUERIES
 
@@ -69,6 +69,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return pair_bitmaps.align(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"),
+                              vocabulary_path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +86,5 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_pair_bitmaps": op11_pair_bitmaps,
 }
