@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ SLOTS = 4096
 #: Words of a bit set over the slots, and so the longest list of slots.
 DENSE = SLOTS // 16
 #: (pair, slot) entries of a block, links of a group listed one by one, characters of a part, remembered units.
-BLOCK_ENTRIES, LISTED_LINKS, PART_CHARS, REMEMBERED = 2_000_000, 100_000, 300_000, 200_000
+BLOCK_ENTRIES, LISTED_LINKS, PART_CHARS, REMEMBERED = 2_000_000, 100_000, 300_000, 400_000
 #: A longer unit goes to the library whose time stays near linear in it.
 LONG_UNIT = 1_000
 
@@ -100,11 +101,37 @@ class Tokenizers:
                                       for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [self.short_a.encode_ordinary(" " + u) if self.short_a and len(u) <= LONG_UNIT
-             else self.whole_a.encode(" " + u, add_special_tokens=False).ids for u in units]
+        short = self.short_a.encode_ordinary if self.short_a else None
+        a = [short(" " + u) if short and len(u) <= LONG_UNIT else self.whole_a.encode(" " + u, add_special_tokens=False).ids for u in units]
         return a, self.b.encode(units, num_threads=1)
 
 
+class Grown:
+    """Numbers that are appended to, in an array that doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.empty(2 * (self.n + len(values)), self.room.dtype)
+            room[:self.n] = self.room[:self.n]
+            self.room = room
+        self.room[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
+class Numbers(dict):
+    """A number for each key, given when it is first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Units:
     """What alignment says of units: numbers, digest texts and linked pairs, in arrays that grow."""
 
@@ -113,41 +140,41 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Numbers()
         self.characters = 0
         self.text: list[str] = []
-        self.parts: dict[str, list[np.ndarray]] = {n: [] for n in (*_COUNTS, "valid", "size", "pair", "links")}
-        self.joined: dict[str, np.ndarray] = {}
+        self.columns = {n: Grown(np.uint64 if n == "pair" else np.int64) for n in (*_COUNTS, "valid", "begin", "size", "pair", "links")}
+
+    def make_room(self) -> None:
+        """Forgets all units once they are many: between two texts or parts, when nobody holds their places."""
+        if len(self.place) > REMEMBERED or self.characters > 20 * REMEMBERED:
+            self.clear()
 
     def places(self, units: list[str]) -> np.ndarray:
-        fresh = list(dict.fromkeys(u for u in units if u not in self.place))
+        known = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        fresh = list(islice(self.place, known, None))
         for i in range(0, len(fresh), 50_000):
             self._align(fresh[i:i + 50_000])
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        return at
 
     def column(self, name: str) -> np.ndarray:
-        if name not in self.joined:
-            self.joined[name] = np.concatenate(self.parts[name])
-            self.parts[name] = [self.joined[name]]
-        return self.joined[name]
-
-    def begins(self) -> np.ndarray:
-        if "begin" not in self.joined:
-            self.joined["begin"] = np.cumsum(self.column("size")) - self.column("size")
-        return self.joined["begin"]
+        return self.columns[name].all()
 
     def _align(self, units: list[str]) -> None:
-        t, base, n = self.of, len(self.place), len(units)
+        t, n = self.of, len(units)
         ids_a, ids_b = t.encode(units)
-        self.joined = {}
-        self.place.update(zip(units, range(base, base + n)))
-        valid = [b"".join([t.bytes_a[i] for i in a]) == (want := (" " + u).encode("utf-8", "surrogatepass"))
-                 and b"".join([t.bytes_b[i] for i in b]) == want for u, a, b in zip(units, ids_a, ids_b)]
-        self.parts["valid"].append(np.array(valid))
         self.characters += sum(map(len, units))
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, valid)] for ids in (ids_a, ids_b))
-        a, unit_a = _flat(ids_a)
-        b, unit_b = _flat(ids_b)
+        (a, unit_a), (b, unit_b) = _flat(ids_a), _flat(ids_b)
+        wanted = [(" " + u).encode("utf-8", "surrogatepass") for u in units]
+        size = np.fromiter(map(len, wanted), np.int64, n)
+        valid = np.ones(n, bool)
+        for ids, unit, lengths, names in ((a, unit_a, t.length_a, t.bytes_a), (b, unit_b, t.length_b, t.bytes_b)):
+            if not (np.array_equal(np.bincount(unit, lengths[ids], minlength=n), size) and b"".join(names[ids].tolist()) == b"".join(wanted)):
+                ends = np.cumsum(np.bincount(unit, minlength=n))
+                valid &= [b"".join(names[ids[e - k:e]].tolist()) == w for e, k, w in zip(ends, np.bincount(unit, minlength=n), wanted)]
+        self.columns["valid"].add(valid)
+        a, unit_a, b, unit_b = a[valid[unit_a]], unit_a[valid[unit_a]], b[valid[unit_b]], unit_b[valid[unit_b]]
         end_a, end_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
         cut = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
@@ -157,7 +184,7 @@ class Units:
         counts = (np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(unit_g, minlength=n),
                   np.bincount(unit_g, of_a * of_b, minlength=n).astype(np.int64))
         for name, values in zip(_COUNTS, counts):
-            self.parts[name].append(values.astype(np.int64))
+            self.columns[name].add(values)
         # links: for each A token all B tokens of its group; of a large group its distinct ids with their products
         large = of_a * of_b > LISTED_LINKS
         per = np.where(large[group_a], 0, of_b[group_a])
@@ -173,9 +200,11 @@ class Units:
         order = np.lexsort((pair, unit))
         pair, unit, links = pair[order], unit[order], links[order]
         first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (unit[1:] != unit[:-1])])) if len(pair) else np.zeros(0, np.int64)
-        self.parts["pair"].append(pair[first])
-        self.parts["links"].append(np.add.reduceat(links, first) if len(first) else links)
-        self.parts["size"].append(np.bincount(unit[first], minlength=n))
+        size = np.bincount(unit[first], minlength=n)
+        self.columns["begin"].add(self.columns["pair"].n + np.cumsum(size) - size)
+        self.columns["size"].add(size)
+        self.columns["pair"].add(pair[first])
+        self.columns["links"].add(np.add.reduceat(links, first) if len(first) else links)
         # a1,a2|b1; of every group, then cut by unit
         last_a, last_b = (np.diff(np.append(g, -1)) != 0 for g in (group_a, group_b))
         names = np.concatenate([t.names_a[last_a.astype(int), a], t.names_b[last_b.astype(int), b]])
@@ -186,7 +215,7 @@ class Units:
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(ids)), sizes)
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), np.repeat(np.arange(len(ids)), sizes)
 
 
 def parts(text: str, cuts: bool = True) -> Iterator[list[str]]:
@@ -262,29 +291,49 @@ class Block:
         self.keys, self.links, self.bad = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         self.entries = 0
 
-    def full(self) -> bool:
-        return len(self.rows) >= SLOTS or self.entries >= BLOCK_ENTRIES
-
-    def add(self, doc: object, text: str | None) -> None:
-        u, slot, totals, digest, ok = self.units, len(self.rows), np.zeros(4, np.int64), hashlib.sha256(), bool(text)
-        for i, units in enumerate(parts(text, u.of.cuts)) if ok else ():
-            if len(u.place) > REMEMBERED or u.characters > 20 * REMEMBERED:
-                u.clear()
+    def fits(self, n: int) -> bool:
+        return len(self.rows) + n <= SLOTS and self.entries < BLOCK_ENTRIES
+
+    def add(self, docs: list, texts: list[str | None]) -> None:
+        """Takes in a run of documents with about ``PART_CHARS`` characters, or a longer one alone."""
+        if len(texts) == 1 and len(texts[0] or "") > PART_CHARS:
+            return self._add_long(docs[0], texts[0])
+        u, slot = self.units, len(self.rows)
+        u.make_room()
+        units = [next(parts(t, u.of.cuts)) if t else [] for t in texts]
+        at = u.places(list(chain.from_iterable(units)))
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        owner, ends = np.repeat(np.arange(len(units)), size), np.cumsum(size)
+        ok = (size > 0) & (np.bincount(owner[u.column("valid")[at] == 0], minlength=len(units)) == 0)
+        totals = np.stack([np.bincount(owner, u.column(c)[at], minlength=len(units)) for c in _COUNTS], axis=1).astype(np.int64)
+        names = list(map(u.text.__getitem__, at))
+        for i, doc in enumerate(docs):
+            text = ";".join(names[ends[i] - size[i]:ends[i]]) if ok[i] else ""
+            self.rows.append((doc, *(totals[i].tolist() if ok[i] else [0] * 4), hashlib.sha256(text.encode()).hexdigest() if ok[i] else ""))
+        good = ok[owner]
+        self._count(slot + owner[good], at[good])
+
+    def _add_long(self, doc: object, text: str) -> None:
+        u, slot, totals, digest, ok = self.units, len(self.rows), np.zeros(4, np.int64), hashlib.sha256(), True
+        for i, units in enumerate(parts(text, u.of.cuts)):
+            u.make_room()
             at = u.places(units)
             ok = bool(u.column("valid")[at].all())
             if not ok:
+                self.bad.append(slot)
                 break
             totals += [u.column(c)[at].sum() for c in _COUNTS]
             digest.update((";" * (i > 0) + ";".join(map(u.text.__getitem__, at))).encode())
-            self._count(slot, *np.unique(at, return_counts=True))
-        if not ok:
-            self.bad.append(slot)
+            self._count(np.full(len(at), slot), at)
         self.rows.append((doc, *(totals.tolist() if ok else [0] * 4), digest.hexdigest() if ok else ""))
 
-    def _count(self, slot: int, unit: np.ndarray, times: np.ndarray) -> None:
+    def _count(self, slot: np.ndarray, unit: np.ndarray) -> None:
+        """Adds the pairs of units that occur in documents."""
+        held, times = np.unique((slot.astype(np.uint64) << np.uint64(32)) | unit.astype(np.uint64), return_counts=True)
+        slot, unit = held >> np.uint64(32), (held & np.uint64(0xFFFFFFFF)).astype(np.int64)
         size = self.units.column("size")[unit]
-        at = np.repeat(self.units.begins()[unit] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        keys, links = summed((self.units.column("pair")[at] << np.uint64(12)) | np.uint64(slot), self.units.column("links")[at] * np.repeat(times, size))
+        at = np.repeat(self.units.column("begin")[unit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        keys, links = summed((self.units.column("pair")[at] << np.uint64(12)) | np.repeat(slot, size), self.units.column("links")[at] * np.repeat(times, size))
         self.keys.append(keys)
         self.links.append(links)
         self.entries += len(keys)
@@ -340,12 +389,11 @@ def encode(df: DataFrame, vocabulary: str, model: str, id_col: str = "doc_id", t
         block, number = Block(units), TaskContext.get().partitionId() << 33
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for start, texts in text_blocks(batch.column(1)):
-                for i, text in enumerate(texts, start):
-                    block.add(ids[i], text)
-                    if block.full():
-                        yield from block.close(number, arrow)
-                        number += 1
+            for start, texts in text_blocks(batch.column(1), PART_CHARS):
+                if not block.fits(len(texts)):
+                    yield from block.close(number, arrow)
+                    number += 1
+                block.add(ids[start:start + len(texts)], texts)
         yield from block.close(number, arrow)
         units.clear()
 

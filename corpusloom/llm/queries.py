@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bsi_topk, language_id, license_scan, mixing, pair_bitmaps, simhash, toxicity, url_filter, winnowing, wordpiece
+from . import bpe, bsi_topk, debruijn, language_id, license_scan, mixing, pair_bitmaps, prefix_trie, simhash, toxicity, url_filter, winnowing, wordpiece
 from .arrow import held_out
 from .oracles import ORACLE  # noqa: F401  registered beside QUERIES
 
@@ -75,6 +75,14 @@ def op11_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                               vocabulary_path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -87,4 +95,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_pair_bitmaps": op11_pair_bitmaps,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_debruijn": op13_debruijn,
 }

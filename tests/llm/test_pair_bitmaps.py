@@ -90,7 +90,7 @@ def test_small_blocks_parts_and_large_groups_change_nothing(spark, spoken, monke
     monkeypatch.setattr(P, "REMEMBERED", 5)
     block = P.Block(units)
     for i, text in enumerate(TEXTS):
-        block.add(i, text)
+        block.add([i], [text])
     assert [(*r[1:5], r[5]) for r in block.rows] == [(*w[:4], w[6]) for w in want]
     keys, links = P.summed(np.concatenate(block.keys), np.concatenate(block.links))
     slot = (keys & np.uint64(P.SLOTS - 1)).astype(int)
