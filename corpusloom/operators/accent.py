@@ -9,14 +9,16 @@ vocabulary, and joins of the token stream against word lists.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from .bloom import build, keep_candidates
 from .ordinal import with_ordinal
-from .sizing import broadcast_if_small
+from .sizing import is_small
 
 # The replacement map (at most `cutoff` rows) is broadcast up to this many entries; above it the
 # lookup becomes a shuffle join of word runs, which has no size limit.
@@ -155,20 +157,22 @@ def word_list_hits(df: DataFrame, words: DataFrame, text_col: str, out_col: str,
 def word_lists_hits(df: DataFrame, lists: dict[str, DataFrame], text_col: str, key: str = "pair_id",
                     broadcast_words: bool | None = None) -> DataFrame:
     """Op 27 for several word lists in one pass: tokens are exploded once, tagged by each list
-    (broadcast when the list's rows and bytes are within the bound, else a shuffle join with AQE skew
-    handling), counted with one aggregate per key and text digest, and joined back with 0 for no hits.
+    (broadcast when the list's rows and bytes are within the bound; else a Bloom filter drops the tokens that are
+    in no list before the shuffle join), counted with one aggregate per key and text digest, and joined back with 0 for no hits.
     Equal rows under one key are counted together and divided by their number (their first tokens)."""
-    tagged = {}
+    tagged, long_lists = {}, []
     for name, words in lists.items():
         wl = words.select(F.col("word").alias("token")).distinct().withColumn(f"_in_{name}", F.lit(1))
-        if broadcast_words is None:
-            wl = broadcast_if_small(wl, LIST_BROADCAST_MAX_ROWS)
-        elif broadcast_words:
-            wl = F.broadcast(wl)
-        tagged[name] = wl
+        small = is_small(wl, LIST_BROADCAST_MAX_ROWS) if broadcast_words is None else broadcast_words
+        tagged[name] = F.broadcast(wl) if small else wl
+        long_lists += [] if small else [name]
+    # what no list has is dropped before any list is shuffled to
+    sieve = build(reduce(DataFrame.union, [w.select("token") for w in tagged.values()]).distinct()) if long_lists else None
 
     def count(part: DataFrame, keys: Sequence[str]) -> DataFrame:
         toks = part.select(*keys, _digest(text_col).alias("_digest"), F.posexplode(T.whitespace_tokens(text_col)).alias("_pos", "token"))
+        if sieve is not None:
+            toks = keep_candidates(toks, sieve, always=F.col("_pos") == 0)
         for wl in tagged.values():
             toks = toks.join(wl, "token", "left")
         rows = F.count_if(F.col("_pos") == 0)

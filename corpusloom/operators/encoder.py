@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 
 def trigram_embeddings(texts: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
     """(text, vec) of the distinct texts: counts of character trigrams (two spaces added at either end) by
-    md5 slot, L2-normalised. Trigrams are counted by (text digest, slot), so texts move only in the last join."""
+    md5 slot, L2-normalised. Trigrams are counted where the text lies: only the distinct texts are shuffled."""
     distinct = texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
-    keyed = distinct.withColumn("key", F.md5("text"))
-    chars = keyed.select("key", F.split(F.concat(F.lit("  "), "text", F.lit("  ")), "").alias("c"))
+    chars = distinct.select("text", F.split(F.concat(F.lit("  "), "text", F.lit("  ")), "").alias("c"))
+    slot = lambda gram: (F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long") % dim).cast("int")
     starts = F.sequence(F.lit(0), F.size("c") - 3)
-    grams = chars.select("key", F.explode(F.transform(starts, lambda i: F.concat(
-        F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).alias("gram"))
-    slot = F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("long") % dim
-    counts = grams.groupBy("key", slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    gathered = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"),
-                                         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)) / F.col("norm"))
-    return keyed.join(gathered, "key").select(F.col("text").alias(text_col), vec.alias("vec"))
+    slots = chars.select("text", F.array_sort(F.transform(starts, lambda i: slot(F.concat(
+        F.get("c", i), F.get("c", i + 1), F.get("c", i + 2))))).alias("slots"))
+    # in the sorted slots a slot's number is the distance from its first place to the next slot's
+    firsts = slots.select("text", "slots", F.array_distinct("slots").alias("own")) \
+                  .select("text", "own", F.concat(F.transform("own", lambda s: F.array_position("slots", s)), F.array((F.size("slots") + 1).cast("long"))).alias("first"))
+    counted = firsts.select("text", "own", F.transform("own", lambda s, i: (F.get("first", i + 1) - F.get("first", i)).cast("double")).alias("n"))
+    normed = counted.select("text", "own", "n", F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    at = lambda s: F.array_position("own", s)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.when(at(s) > 0, F.get("n", (at(s) - 1).cast("int")) / F.col("norm")).otherwise(F.lit(0.0)))
+    return normed.select(F.col("text").alias(text_col), vec.alias("vec"))
 
 
 def encoder(dim: int = 64):

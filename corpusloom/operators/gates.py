@@ -121,6 +121,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def write_required(df: DataFrame, what: str, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """Op 52 at a stage's end: writes ``df`` and fails with the named error if it has no rows. The rows are counted by
+    the job that writes them (with ``metrics``, any aggregates, beside them), so the guard runs no job of its own."""
+    from ..session import materialize_observed
+    written, seen = materialize_observed(df, "required", {"n_rows": F.count(F.lit(1)), **(metrics or {})})
+    if not seen["n_rows"]:
+        raise EmptyResultError(f"No data remaining after {what}")
+    return written, seen
+
+
 def require_rows_per_model(sizes: DataFrame, what: str) -> DataFrame:
     """Op 52 per model and split: ``sizes`` (model, train_rows, eval_rows; a row per configured model) if no model
     lacks rows of either split, else a named error that lists the models that do."""

@@ -135,10 +135,11 @@ def tokenize_records(records: DataFrame, vocab: DataFrame, max_source_len: int =
     arrive partitioned by a coarser key (``partition_keys``, e.g. pair_id of a bucketed pair table),
     grouping by it as well lets Spark reuse that partitioning and skip the shuffle.
     """
-    valid = records.where(F.length(T.py_strip("target")) > 0)
+    # a tag of its own keeps rows apart that share an id
+    valid = records.where(F.length(T.py_strip("target")) > 0).withColumn("_row", F.monotonically_increasing_id())
     sides = F.array(F.struct(F.lit(0).alias("side"), T.whitespace_tokens(T.py_strip("source")).alias("toks")),
                     F.struct(F.lit(1).alias("side"), T.whitespace_tokens(T.py_strip("target")).alias("toks")))
-    keys = [*partition_keys, "record_id", "source_lang"]
+    keys = [*partition_keys, "record_id", "source_lang", "_row"]
     per_side = valid.select(*keys, F.inline(sides))
     toks = per_side.select(*keys, "side", F.posexplode("toks").alias("pos", "token"))
     # truncation before the shuffle: tokens past the length limit never leave their task

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -115,6 +115,13 @@ def outlier_counts(features: DataFrame, criteria=K.OUTLIER_CRITERIA, feats=K.FEA
     return row.select(F.inline("r"))
 
 
+def gate_metrics(threshold: float = K.KEEP_ABOVE_SIMILARITY) -> dict[str, Column]:
+    """Ops 66 and 67 as metrics of the gate's own write: what ``exclusion_summary`` and ``kept_fraction`` count."""
+    sums = {c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).cast("long") for c in K.EXCLUSION_COLUMNS + ["exclude"]}
+    return {"n_total": F.count(F.lit(1)), "n_kept": F.count_if(~F.col("exclude")),
+            "n_above_threshold": F.count_if(F.col("similarity") > threshold), **sums}
+
+
 def exclusion_summary(gated: DataFrame) -> DataFrame:
     """Op 66: column sums of the eleven exclusion columns and ``exclude``; the accent one sums counts."""
     aggs = []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .ordinal import with_ordinal
+from .selection import side_of_limit, smallest
 
 TWO_POW_32 = 4294967296.0
 
@@ -41,14 +42,12 @@ def train_eval_split(df: DataFrame, id_col: str, ratio: float = K.VAL_RATIO, see
 def train_eval_split_exact(df: DataFrame, id_col: str, ratio: float = K.VAL_RATIO, seed=K.SPLIT_SEED,
                            out_col: str = "split") -> DataFrame:
     """Op 81, exact-size variant: eval = the ceil(n * ratio) records with the smallest md5(seed:id)
-    (the size a dataset library's ``test_size`` gives); ranks come from distributed ordinals."""
-    n = df.count()
-    k = math.ceil(n * ratio)
-    # ids alone are sorted; the rows meet their rank in one join
-    keyed = df.select(id_col, md5_key(seed, id_col).alias("_split_key"))
-    ranked = with_ordinal(keyed, order=["_split_key", id_col], out_col="_split_rank").select(id_col, "_split_rank")
-    side = F.when(F.col("_split_rank") < k, F.lit("eval")).otherwise(F.lit("train"))
-    return df.join(ranked.select(id_col, side.alias(out_col)), id_col)
+    (the size a dataset library's ``test_size`` gives), found by a threshold on the digest: no sort and no join.
+    Rows are split, not ids: rows with a null or repeated id stay as they are (a null id's come first), each on one
+    side; ``df`` is read a few times."""
+    k = math.ceil(df.count() * ratio)
+    taken = side_of_limit(df, md5_key(seed, id_col), {(): k}, out_col="_eval")
+    return taken.withColumn(out_col, F.when(F.col("_eval"), F.lit("eval")).otherwise(F.lit("train"))).drop("_eval")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed=K.SPLIT_SEED, groups=("split",)) -> DataFrame:
@@ -74,21 +73,25 @@ def cap_rows_per_model(split_records: DataFrame, id_col: str, caps: dict[str, in
     from .prep import registry_entries
     restrictions = sorted({m["restrict_source_language"] or "" for m in models})
     matching = F.filter(F.array(*[F.lit(x) for x in restrictions]), lambda x: (x == "") | (x == F.col("source_lang")))
-    ranked = seeded_shuffle(split_records.select(id_col, "split", F.explode(matching).alias("_only")), id_col, seed, groups=("_only", "split"))
-    kept = cap_rows(ranked, caps).select("*", F.explode(registry_entries(models)).alias("_m"))
+    records = split_records.select(id_col, "split", F.explode(matching).alias("_only"))
+    wanted = {(only, split): n for only in restrictions for split, n in caps.items()}
+    # a threshold on the shuffle's digest finds the first N of each; only these are ranked
+    first = side_of_limit(records, md5_key(seed, id_col, "shuffle:"), wanted, ("_only", "split")).where("_in").drop("_in")
+    ranked = seeded_shuffle(first, id_col, seed, groups=("_only", "split"))
+    kept = ranked.select("*", F.explode(registry_entries(models)).alias("_m"))
     return kept.where(F.coalesce("_m.restrict_source_language", F.lit("")) == F.col("_only")) \
                .select(F.col("_m.model").alias("model"), id_col, "split", "position")
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed=K.SPLIT_SEED, lang: str | None = None,
                 lang_col: str = "source_lang", split: str | None = None) -> DataFrame:
-    """Op 78: n rows in md5 order (all rows if fewer): a per-partition top-k, not a full sort. With ``split``
-    only rows of that split (column ``split``) are drawn."""
+    """Op 78: the first n rows in md5 order (all rows if fewer), by a threshold on the digest: no sort, any n. With
+    ``split`` only rows of that split (column ``split``) are drawn."""
     if split is not None:
         df = df.where(F.col("split") == split)
     if lang is not None:
         df = df.where(F.col(lang_col) == lang)
-    return df.orderBy(md5_key(seed, id_col, "sample:"), F.col(id_col)).limit(n)
+    return smallest(df, n, md5_key(seed, id_col, "sample:"))
 
 
 def sample_band(df: DataFrame, n: int, lo: float, hi: float, id_col: str = "pair_id", seed=K.SPLIT_SEED,

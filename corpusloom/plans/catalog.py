@@ -7,18 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import constants as K
 from ..functions import text as T
 from ..operators import accent as A
 from ..operators import evalstats as E
 from ..operators import gates as G
+from ..operators import plugins as PL
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import sampling as S
+from ..operators import subword as SW
 from ..operators.encoder import trigram_embeddings
-from ..session import scratch_path
+from ..session import bucket_count, scratch_path
 from ..sources import corpus as IO
 from . import evaluation as EV
 from . import oracle_sql as O
@@ -126,10 +127,10 @@ def q_append_sweep(spark, sf):
     trials = EV.sweep(_c(spark, sf))
     # a run appends per model; the second append lands beside the first
     first = [m["model"] for m in K.MODEL_REGISTRY[:2]]
-    IO.append_sweep_results(trials.where(F.col("model").isin(first)), path)
-    IO.append_sweep_results(trials.where(~F.col("model").isin(first)), path)
-    schema = StructType(IO.SWEEP_SCHEMA.fields + [StructField("model", StringType())])
-    return spark.read.schema(schema).options(**IO.CSV_READ).csv(path)
+    IO.append_sweep_results(trials.where(F.col("model").isin(first)), path, "run-1")
+    IO.append_sweep_results(trials.where(~F.col("model").isin(first)), path, "run-2")
+    IO.append_sweep_results(trials.where(F.col("model").isin(first)), path, "run-1")  # a retry
+    return IO.read_sweep_results(spark, path).drop("run_id")
 
 
 SINK_STATS_SQL = f"""
@@ -222,6 +223,21 @@ def q_annotate_counts(spark, sf):
     return annotate_counts(_c(spark, sf).pairs()).select("pair_id", *cols)
 
 
+@register("tagger_counts")
+def q_tagger_counts(spark, sf):
+    """Op 18 by the learned tagger: Baum-Welch over both sides of all pairs, then Viterbi over each."""
+    return curation(spark, sf, tagger="learn").counts()
+
+
+@register("tagger_gate")
+def q_tagger_gate(spark, sf):
+    """Ops 15-17 and 45 on the learned tagger's counts: the ratios, and whether the pair passes the training gate."""
+    c = curation(spark, sf, tagger="learn")
+    passed = G.training_pairs(c.gated()).select("pair_id", F.lit(True).alias("passed"))
+    return c.features_pre().select("pair_id", "verb_ratio", "noun_ratio", "entity_ratio").join(passed, "pair_id", "left") \
+            .na.fill(False, ["passed"])
+
+
 @register("one_char_words", with_all("SELECT pair_id, one_char_words_fr, one_char_words_en FROM feats"))
 def q_one_char_words(spark, sf):
     return _c(spark, sf).features_pre().select("pair_id", "one_char_words_fr", "one_char_words_en")
@@ -304,6 +320,17 @@ def q_token_list_hits(spark, sf):
     return f.select("pair_id", "ambiguous_hits", "real_word_hits", "uncommon_hits")
 
 
+@register("token_list_hits_sieved", with_all(TOKEN_HITS_SQL, TOKEN_HITS_CTES))
+def q_token_list_hits_sieved(spark, sf):
+    """Op 27 as for lists too long to broadcast: a Bloom filter, then shuffle joins of its candidates."""
+    c = _c(spark, sf)
+    ambiguous = c.accent_mapping().where(F.col("form_rank") > 1).select(F.col("anglicised").alias("word"))
+    real = c.lexicon_split().where("in_lexicon").select(F.col("anglicised").alias("word"))
+    f = c.features_core().select("pair_id", "fr", F.col("potential_fr_accent_issues").alias("uncommon_hits"))
+    f = A.word_lists_hits(f, {"ambiguous_hits": ambiguous, "real_word_hits": real}, "fr", broadcast_words=False)
+    return f.select("pair_id", "ambiguous_hits", "real_word_hits", "uncommon_hits")
+
+
 FIG_NAMES = ["has_trailing_numbers", "has_parenthetical_numbers", "has_figure_references",
              "has_repeated_punctuation", "exclude_figtext"]
 
@@ -546,6 +573,32 @@ def q_point_lookup(spark, sf):
     return p.where(F.col("pair_id").isin(LOOKUP_IDS) | by_text)
 
 
+def _clustered(spark, sf) -> str:
+    """A copy of the pairs in ranges of similarity, with a Bloom filter on the French text's digest."""
+    c = _c(spark, sf)
+    if "path" not in c.clustered:
+        pairs = c.pairs()
+        c.clustered["path"] = IO.write_clustered(pairs, scratch_path(spark, "clustered"), "similarity", bucket_count(pairs, 64), "fr")
+    return c.clustered["path"]
+
+
+@register("clustered_range", ORACLE["similarity_range"])
+def q_clustered_range(spark, sf):
+    """Op 48 on the clustered copy: only files whose range meets the band are opened."""
+    return IO.read_range(spark, _clustered(spark, sf), "similarity", 0.75, 0.85).select("pair_id", "fr", "en", "similarity")
+
+
+@register("clustered_text", with_all(
+    "SELECT pair_id, fr, en, similarity FROM pairs WHERE fr = (SELECT fr FROM pairs WHERE pair_id = 3)"))
+def q_clustered_text(spark, sf):
+    """Op 49 on the clustered copy: the rows with the text of pair 3, through the digest's Bloom filter."""
+    path = _clustered(spark, sf)
+    needle = _c(spark, sf).pairs().where(F.col("pair_id") == 3).select("fr").first()
+    if needle is None or needle["fr"] is None:
+        return _c(spark, sf).pairs().limit(0).select("pair_id", "fr", "en", "similarity")
+    return IO.read_text(spark, path, "fr", needle["fr"]).select("pair_id", "fr", "en", "similarity")
+
+
 @register("restrict_language", with_all(
     "SELECT model, record_id, source_lang FROM restricted"))
 def q_restrict_language(spark, sf):
@@ -784,6 +837,14 @@ def q_exclusion_summary(spark, sf):
     return PR.exclusion_summary(_c(spark, sf).gate_flags())
 
 
+@register("observed_gate", with_all(_exclusion_sql().replace("SELECT ", "SELECT CAST(count(*) AS BIGINT) AS n_total, "
+    "CAST(count_if(NOT exclude) AS BIGINT) AS n_kept, CAST(count_if(similarity > 0.8) AS BIGINT) AS n_above_threshold, ", 1)))
+def q_observed_gate(spark, sf):
+    """Ops 66 and 67 as metrics observed by the job that wrote the gate's flags."""
+    seen = _c(spark, sf).gate_metrics()
+    return spark.createDataFrame([tuple(int(v or 0) for v in seen.values())], ", ".join(f"{n} long" for n in seen))
+
+
 @register("kept_fraction", with_all("""
 SELECT n_total, n_kept, n_above_threshold, round(n_kept / n_total, 6) AS kept_share,
        round(n_above_threshold / n_total, 6) AS above_threshold_share
@@ -879,6 +940,23 @@ def q_tokenize_pairs(spark, sf):
     return EV.tokens(_c(spark, sf))
 
 
+SUBWORD_SIZE = 4000
+
+
+@register("subword_vocabulary")
+def q_subword_vocabulary(spark, sf):
+    """Op 73, learned: the pieces with their ids and log-probabilities."""
+    model = EV.subwords(_c(spark, sf), SUBWORD_SIZE)
+    return spark.createDataFrame([(p, i, round(model.scores[p], 6)) for p, i in model.ids().items()], "piece string, piece_id int, score double")
+
+
+@register("subword_tokens")
+def q_subword_tokens(spark, sf):
+    """Op 73 with the learned vocabulary, over both directions of all pairs."""
+    c = _c(spark, sf)
+    return SW.tokenize_subwords(EV.corpus(c), EV.subwords(c, SUBWORD_SIZE))
+
+
 def _shuffle_cte() -> str:
     key = "md5('shuffle:42:' || CAST(record_id AS VARCHAR))"
     return f"""
@@ -943,6 +1021,14 @@ def q_best_trial(spark, sf):
     return E.best_trial(EV.sweep(_c(spark, sf)))
 
 
+@register("compare_models")
+def q_compare_models(spark, sf):
+    """Ops 57 and 75 through the plug-ins: every pair with two stand-in translators and the hashing encoder."""
+    samples = _c(spark, sf).pairs().select(F.col("en").alias("source"), F.col("fr").alias("target"), F.lit("en").alias("source_lang"))
+    return E.compare_translations(samples, {"reversed": PL.reversing_translator, "marked": PL.marking_translator},
+                                  PL.default_encoder_factory(), 64)
+
+
 def _sample_key(id_sql: str) -> str:
     return f"md5('sample:42:' || CAST({id_sql} AS VARCHAR))"
 

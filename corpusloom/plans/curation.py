@@ -23,7 +23,9 @@ from .. import constants as K
 from ..functions import text as T
 from ..operators import accent as A
 from ..operators import gates as G
-from ..session import bucket_count, drop_written, last_written, materialize, written_mark
+from ..operators import profile as PR
+from ..operators import tagger as TG
+from ..session import Scope, bucket_count, materialize, materialize_observed
 from . import fixtures as X
 
 VERB_RE = r"(?d)(ing|ed|er)([ .,;!?]|$)"
@@ -81,29 +83,36 @@ class Curation:
     lexicon_source: DataFrame | None = None
     skip_identity: bool = False
     counts_source: DataFrame | None = None
+    tagger: TG.Tagger | str | None = None
 
     def __post_init__(self):
         self._memo: dict[str, DataFrame] = {}
-        self._kept: set[str] = set()
+        self._stages = Scope(self.spark)
         self._buckets: int | None = None
+        self.observed: dict[str, dict[str, object]] = {}
+        self.subword_models: dict[int, object] = {}
+        self.clustered: dict[str, str] = {}
 
-    def stage(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
-        """The written table ``name``; intermediate tables of its build (ranks, offsets) are deleted."""
+    def stage(self, name: str, build, bucket_by: str | None = None, metrics: dict | None = None) -> DataFrame:
+        """The written table ``name``; intermediate tables of its build (ranks, offsets) are deleted. ``metrics``
+        (aggregates) are observed while it is written and kept in ``self.observed[name]``."""
         if name not in self._memo:
-            mark = written_mark()
-            built = build()
-            if bucket_by and self._buckets is None:
-                self._buckets = bucket_count(built)
-            self._memo[name] = materialize(built, f"stage-{name}", bucket_by, self._buckets)
-            self._kept.add(last_written())
-            drop_written(self.spark, mark, self._kept)
+            with Scope(self.spark) as owned:
+                built = build()
+                if bucket_by and self._buckets is None:
+                    self._buckets = bucket_count(built)
+                if metrics is None:
+                    table = materialize(built, f"stage-{name}", bucket_by, self._buckets)
+                else:
+                    table, self.observed[name] = materialize_observed(built, f"stage-{name}", metrics, bucket_by, self._buckets)
+                self._stages.adopt(owned.release())
+            self._memo[name] = table
         return self._memo[name]
 
     def close(self) -> None:
         """Delete all stage tables of this chain."""
         self._memo.clear()
-        drop_written(self.spark, 0, only=self._kept)
-        self._kept.clear()
+        self._stages.drop()
 
     # -- stages ---------------------------------------------------------------------------------
     def pairs(self) -> DataFrame:
@@ -116,9 +125,22 @@ class Curation:
             return self.stage("lexicon", lambda: self.lexicon_source.select(F.col("word").cast("string")).distinct())
         return self.stage("lexicon", lambda: X.derive_lexicon(self.spark, self.sf_dir))
 
+    def learned_tagger(self) -> TG.Tagger:
+        """The caller's tagger, or one trained (once) on both sides of all pairs."""
+        if not isinstance(self.tagger, TG.Tagger):
+            side = lambda c: self.pairs().select(F.lit(c).alias("lang"), F.col(c).alias("text"))
+            self.tagger = TG.train(side("fr").union(side("en")))
+        return self.tagger
+
+    def counts(self) -> DataFrame | None:
+        """The annotation counts that replace the default annotator's: a caller's, or the tagger's."""
+        if self.counts_source is not None or self.tagger is None:
+            return self.counts_source
+        return self.stage("tag_counts", lambda: TG.count_tags(self.pairs(), self.learned_tagger()), "pair_id")
+
     def features_pre(self) -> DataFrame:
         """pair_id, similarity, the numbers of feature tables v1 and v2, and ``fr_apos``."""
-        return self.stage("features_pre", lambda: feature_columns(self.pairs(), self.counts_source).drop("fr_raw", "en"), "pair_id")
+        return self.stage("features_pre", lambda: feature_columns(self.pairs(), self.counts()).drop("fr_raw", "en"), "pair_id")
 
     def raw_texts(self) -> DataFrame:
         return self.pairs().select("pair_id", F.col("fr").alias("fr_raw"), "en")
@@ -160,7 +182,12 @@ class Curation:
             gated = G.add_gate_columns(core.join(self.pairs().select("pair_id", "en"), "pair_id"))
             new = [c for c in gated.columns if c not in core.columns and c != "en"]
             return gated.select("pair_id", "similarity", "potential_fr_accent_issues", *new)
-        return self.stage("gate_flags", build, "pair_id")
+        return self.stage("gate_flags", build, "pair_id", PR.gate_metrics())
+
+    def gate_metrics(self) -> dict[str, object]:
+        """Ops 66 and 67 without a job of their own: observed when the gate's flags were written."""
+        self.gate_flags()
+        return self.observed["gate_flags"]
 
     def gated(self) -> DataFrame:
         """The feature table with the gate's flags."""
@@ -182,13 +209,16 @@ def _checked_pairs(df: DataFrame) -> DataFrame:
 
 
 def curate(spark: SparkSession, pairs: DataFrame, lexicon: DataFrame, cutoff: int = K.ACCENT_MAP_SIZE,
-           skip_identity: bool = False, counts: DataFrame | None = None) -> Curation:
+           skip_identity: bool = False, counts: DataFrame | None = None, tagger: TG.Tagger | str | None = None) -> Curation:
     """The curation chain over a caller's own pair table (pair_id, fr, en, similarity) and French
     lexicon (word). ``curate(...).gated()`` is the flag table; ``training_pairs`` / ``relaxed_test_pairs``
     in ``operators.gates`` give the two outputs. ``counts`` (pair_id and COUNT_COLUMNS, for example from
-    ``plugins.annotate_with``) replaces the default annotator: the ratios and the gate then follow it."""
+    ``plugins.annotate_with``) replaces the default annotator: the ratios and the gate then follow it. So does
+    ``tagger``: a trained ``operators.tagger.Tagger``, or "learn" to train one on these pairs."""
+    if counts is not None and tagger is not None:
+        raise ValueError("counts and tagger both replace the default annotator: give one of them")
     return Curation(spark, None, cutoff, pairs_source=pairs, lexicon_source=lexicon, skip_identity=skip_identity,
-                    counts_source=counts)
+                    counts_source=counts, tagger=tagger)
 
 
 _SESSIONS: dict[tuple, Curation] = {}
@@ -205,9 +235,9 @@ def _identity(spark: SparkSession, folder: str) -> tuple:
     return tuple(found)
 
 
-def curation(spark: SparkSession, sf_dir: str, cutoff: int = K.ACCENT_MAP_SIZE) -> Curation:
+def curation(spark: SparkSession, sf_dir: str, cutoff: int = K.ACCENT_MAP_SIZE, tagger: str | None = None) -> Curation:
     folder = sf_dir.rstrip("/")
-    key = (spark.sparkContext.applicationId, folder, cutoff, _identity(spark, folder))
+    key = (spark.sparkContext.applicationId, folder, cutoff, tagger, _identity(spark, folder))
     if key not in _SESSIONS:
-        _SESSIONS[key] = Curation(spark, folder, cutoff)
+        _SESSIONS[key] = Curation(spark, folder, cutoff, tagger=tagger)
     return _SESSIONS[key]

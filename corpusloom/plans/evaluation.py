@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import prep as P
 from ..operators import sampling as S
+from ..operators import subword as SW
+from ..session import Scope
 from .curation import Curation
 
 COMPARED = ["opus_mt_base", "opus_mt_finetuned", "m2m100_418m_base", "m2m100_418m_finetuned"]
@@ -148,6 +150,15 @@ def tokens(c: Curation) -> DataFrame:
     return c.stage("tokens", lambda: P.tokenize_records(corpus(c), vocabulary(c), partition_keys=("pair_id",)))
 
 
+def subwords(c: Curation, size: int) -> SW.Subwords:
+    """A subword vocabulary learned (once) from both sides of all pairs."""
+    if size not in c.subword_models:
+        side = lambda name: c.pairs().select(F.col(name).alias("text"))
+        with Scope(c.spark):  # the model is all that is left of it
+            c.subword_models[size] = SW.train(side("fr").union(side("en")), size)
+    return c.subword_models[size]
+
+
 def shuffled_split(c: Curation) -> DataFrame:
     """(record_id, split, position): only the ids travel through the distributed sort; consumers
     join the positions to whatever record columns they need."""

@@ -10,8 +10,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,8 +63,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: (folder, catalog table or None) of every table written by ``materialize`` and not dropped yet.
-_WRITTEN: list[tuple[str, str | None]] = []
+class Scope:
+    """Owner of written tables. ``with Scope(spark) as owned:`` owns what the same thread (or task of an event loop)
+    writes by ``materialize`` inside, unless an inner scope does. At the end all of it is deleted, but for
+    what was released to another owner; what other threads write meanwhile is never touched."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[str, str | None]] = []  # folder, catalog table
+
+    def __enter__(self) -> Scope:
+        self._outer = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _SCOPE.reset(self._outer)
+        self.drop()
+
+    def release(self) -> tuple[str, str | None]:
+        """Hands out the table that was written last: it is the caller's from now on."""
+        return self.tables.pop()
+
+    def adopt(self, table: tuple[str, str | None]) -> None:
+        self.tables.append(table)
+
+    def drop(self) -> None:
+        """Deletes the scope's tables: files and catalog entries."""
+        while self.tables:
+            path, table = self.tables.pop()
+            if table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("corpusloom_scope", default=None)
+
+
+def _own(path: str, table: str | None) -> None:
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.adopt((path, table))
+
+
 #: Name and physical plan of every table written by ``materialize``: what the plan tests look at.
 WRITTEN_PLANS: list[tuple[str, str]] = []
 
@@ -83,16 +125,27 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None, buckets:
     del WRITTEN_PLANS[:-2000]
     if bucket_by is None:
         df.write.mode("error").parquet(path)
-        _WRITTEN.append((path, None))
+        _own(path, None)
         return spark.read.parquet(path)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "corpusloom_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
     (df.repartition(buckets, bucket_by).write.mode("error").option("path", path)
        .bucketBy(buckets, bucket_by).sortBy(bucket_by).saveAsTable(table))
-    _WRITTEN.append((path, table))
+    _own(path, table)
     return spark.table(table)
 
 
+def materialize_observed(df: DataFrame, name: str, metrics: dict[str, Column], bucket_by: str | None = None,
+                         buckets: int | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """``materialize``, and ``metrics`` (aggregates of the rows) observed by the same job that writes them. Of a
+    table that Spark knows to be empty before it runs there is nothing to observe: counts are 0, the rest is null."""
+    seen = Observation()
+    names = list(metrics)
+    written = materialize(df.observe(seen, *[metrics[n].alias(n) for n in names]), name, bucket_by, buckets)
+    got = seen.get
+    return written, {n: got.get(n) for n in names}
+
+
 def bucket_count(df: DataFrame, target_mb: int = 256) -> int:
     """Buckets of about ``target_mb`` of input, by the optimizer's size of the tables that ``df`` reads (file
     sizes); at least as many as the session's shuffle partitions, so small inputs still use every core."""
@@ -105,28 +158,6 @@ def bucket_count(df: DataFrame, target_mb: int = 256) -> int:
     return min(max(least, -(-known // (target_mb << 20))), 100_000)
 
 
-def written_mark() -> int:
-    """Where ``drop_written`` can later start from."""
-    return len(_WRITTEN)
-
-
-def drop_written(spark: SparkSession, since: int, keep: set[str] = frozenset(), only: set[str] | None = None) -> None:
-    """Delete the tables written since ``since`` (files and catalog entry), but not those whose folder is in
-    ``keep``, nor any outside ``only``. For tables whose consumers have themselves been written."""
-    goes = lambda path: path not in keep and (only is None or path in only)
-    gone = [x for x in _WRITTEN[since:] if goes(x[0])]
-    _WRITTEN[since:] = [x for x in _WRITTEN[since:] if not goes(x[0])]
-    for path, table in gone:
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def last_written() -> str:
-    return _WRITTEN[-1][0]
-
-
 _SHIPPED: set[str] = set()
 
 

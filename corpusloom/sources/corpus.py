@@ -131,13 +131,59 @@ def write_comparison(comparison: DataFrame, root: str, run_id: str) -> str:
     return path
 
 
-def append_sweep_results(trials: DataFrame, path: str) -> str:
-    """Op 9: append trial rows (header in every part file; readers skip it), partitioned by model."""
-    (trials.select(*[f.name for f in SWEEP_SCHEMA.fields], "model")
-           .write.mode("append").partitionBy("model").options(**CSV_WRITE).csv(path))
+def append_sweep_results(trials: DataFrame, path: str, run_id: str | None = None) -> str:
+    """Op 9: append trial rows (header in every part file; readers skip it), partitioned by model. With a ``run_id``
+    the rows belong to that run: they replace what an earlier try of the same run left (its partitions are
+    overwritten in one commit) and stand beside other runs', so a retry leaves one copy and a failed try none."""
+    rows = trials.select(*[f.name for f in SWEEP_SCHEMA.fields], "model")
+    if run_id is None:
+        rows.write.mode("append").partitionBy("model").options(**CSV_WRITE).csv(path)
+    else:
+        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("run_id", "model").options(**CSV_WRITE).csv(path)
     return path
 
 
+def read_sweep_results(spark: SparkSession, path: str) -> DataFrame:
+    """The trials of all runs that were appended with a ``run_id``."""
+    schema = Ty.StructType([*SWEEP_SCHEMA.fields, Ty.StructField("run_id", Ty.StringType()), Ty.StructField("model", Ty.StringType())])
+    return spark.read.schema(schema).options(**CSV_READ).csv(path)
+
+
+STATS = "_file_ranges"
+
+
+def write_clustered(df: DataFrame, path: str, by: str, files: int, digest_of: str | None = None) -> str:
+    """Ops 48 and 49: a copy of ``df`` in about ``files`` files that are ranges of ``by`` (missing values in one of
+    them), with each file's range in a small table beside them. With ``digest_of`` a column ``text_digest`` has that
+    column's digest and a Parquet Bloom filter, so a lookup opens only row groups that may have it."""
+    rows = df if digest_of is None else df.withColumn("text_digest", F.xxhash64(digest_of))
+    writer = rows.repartitionByRange(files, F.col(by).asc_nulls_first()).sortWithinPartitions(F.col(by).asc_nulls_first()).write.mode("overwrite")
+    if digest_of is not None:
+        writer = writer.option("parquet.bloom.filter.enabled#text_digest", "true")
+    writer.parquet(f"{path}/rows")
+    ranges = df.sparkSession.read.parquet(f"{path}/rows").groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min(by).alias("low"), F.max(by).alias("high"), F.count_if(F.col(by).isNull()).alias("n_missing"))
+    ranges.write.mode("overwrite").parquet(f"{path}/{STATS}")
+    return path
+
+
+def read_range(spark: SparkSession, path: str, by: str, low: float, high: float) -> DataFrame:
+    """Op 48 on a clustered copy: the rows with ``low <= by <= high``. Only files whose range meets the band are
+    opened (the table of ranges has a row a file), and in them the filter is pushed to the row groups."""
+    ranges = spark.read.parquet(f"{path}/{STATS}").where((F.col("low") <= F.lit(high)) & (F.col("high") >= F.lit(low)))
+    files = [f"{path}/rows/{r.file}" for r in ranges.select("file").toLocalIterator()]
+    whole = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.schema(whole.schema).parquet(*files) if files else whole.limit(0)
+    return rows.where(F.col(by).between(F.lit(low), F.lit(high)))
+
+
+def read_text(spark: SparkSession, path: str, text_col: str, text: str) -> DataFrame:
+    """Op 49 on a clustered copy: the rows whose ``text_col`` (the column given as ``digest_of``) is ``text``."""
+    digest = spark.range(1).select(F.xxhash64(F.lit(text)).alias("d")).first()["d"]
+    return spark.read.parquet(f"{path}/rows").where((F.col("text_digest") == F.lit(digest)) & (F.col(text_col) == F.lit(text)))
+
+
 def sink_stats(spark: SparkSession, path: str) -> DataFrame:
     """Op 10: size in KB and line count of a written text sink (all part files), in one pass."""
     per_file = (spark.read.text(path)

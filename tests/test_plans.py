@@ -23,6 +23,10 @@ PARTITION_TABLES = {"ordinal-offsets", "running-offsets"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas", "ArrowEvalPython"]
 
 
+# the plug-ins' path: a model's batches go through pandas
+MODEL_QUERIES = {"compare_models", "subword_tokens"}
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -42,9 +46,10 @@ def test_plan_has_no_unscalable_operators(spark, key):
     """The query's own plan, and the plans of all stages that building it has written."""
     since = len(session.WRITTEN_PLANS)
     plan = _plan(QUERIES[key](spark, SF_SMALL))
-    assert not _faults(plan), key
+    allowed = {"MapInPandas"} if key in MODEL_QUERIES else set()
+    assert not set(_faults(plan)) - allowed, key
     for name, written in session.WRITTEN_PLANS[since:]:
-        assert not _faults(written, name), (key, name)
+        assert not set(_faults(written, name)) - allowed, (key, name)
 
 
 def test_every_stage_is_examined(spark, monkeypatch):
@@ -63,12 +68,78 @@ def test_every_stage_is_examined(spark, monkeypatch):
     bad.close()
 
 
+def _folders(spark):
+    base = os.path.join(session.ensure_checkpoint_dir(spark).removeprefix("file:"), "tables")
+    return set(os.listdir(base)) if os.path.isdir(base) else set()
+
+
 def test_intermediate_tables_are_deleted(spark):
     from corpusloom.plans.curation import Curation
-    c, since = Curation(spark, SF_SMALL), session.written_mark()
+    before, c = _folders(spark), Curation(spark, SF_SMALL)
     c.gate_flags()
-    left = session._WRITTEN[since:]
-    assert {p for p, _ in left} == c._kept and not any("ordinal" in p or "running" in p for p, _ in left)
-    tables = [t for _, t in left if t]
+    made = _folders(spark) - before
+    assert made and all(name.startswith("stage-") for name in made)
+    tables = [t for _, t in c._stages.tables if t]
+    assert tables and all(spark.catalog.tableExists(t) for t in tables)
     c.close()
-    assert not session._WRITTEN[since:] and not any(spark.catalog.tableExists(t) for t in tables)
+    assert not _folders(spark) & made and not any(spark.catalog.tableExists(t) for t in tables)
+
+
+def test_scopes_leave_other_threads_tables(spark):
+    """A table that another thread writes while a stage is built isn't the stage's to delete."""
+    import threading
+    other, seen = {}, []
+
+    def write():
+        other["table"] = session.materialize(spark.range(5), "others")
+
+    with session.Scope(spark) as owned:
+        session.materialize(spark.range(1), "mine")
+        with session.Scope(spark) as inner:
+            session.materialize(spark.range(2), "inner")
+            kept = session.materialize(spark.range(3), "kept")
+            owned.adopt(inner.release())
+        t = threading.Thread(target=write)
+        t.start()
+        t.join()
+        assert kept.count() == 3 and len(owned.tables) == 2
+        seen = [path for path, _ in owned.tables]
+    assert other["table"].count() == 5
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in seen)
+    with pytest.raises(ZeroDivisionError), session.Scope(spark) as failed:  # a failing chain leaves nothing
+        session.materialize(spark.range(1), "failed")
+        path = failed.tables[0][0]
+        1 / 0
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_an_append_can_be_retried(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import corpus as IO
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in IO.SWEEP_SCHEMA.fields) + ", model string"
+    trials = lambda n: spark.createDataFrame([("t1", 0.1, 8, 16, 0.05, 10, 1, 0.5, 0.4, f"m{i}") for i in range(n)], fields)
+    for _ in range(2):
+        IO.append_sweep_results(trials(2), scratch, "a")
+    IO.append_sweep_results(trials(3), scratch, "b")
+    with pytest.raises(Exception):
+        IO.append_sweep_results(trials(3).withColumn("lr", F.when(F.col("model") == "m2", F.raise_error(F.lit("x")).cast("double")).otherwise(F.col("lr"))), scratch, "c")
+    got = IO.read_sweep_results(spark, scratch).groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in got} == {"a": 2, "b": 3}
+
+
+def test_a_band_opens_only_its_files(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from corpusloom.sources import corpus as IO
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 50 != 0, F.col("id") / 5000).alias("s"), F.concat(F.lit("t"), (F.col("id") % 900).cast("string")).alias("x"))
+    path = IO.write_clustered(rows, scratch, "s", 10, "x")
+    whole = spark.read.parquet(f"{path}/rows")
+    band = IO.read_range(spark, path, "s", 0.31, 0.38)
+    assert len(whole.inputFiles()) >= 8 and len(band.inputFiles()) <= 2
+    assert sorted(r.id for r in band.collect()) == sorted(r.id for r in rows.where("s between 0.31 and 0.38").collect())
+    assert IO.read_range(spark, path, "s", 2.0, 3.0).count() == 0
+    found = IO.read_text(spark, path, "x", "t7")
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in rows.where("x = 't7'").collect())
+    assert "text_digest" in found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:200]
+    assert whole.count() == 5000 and IO.read_text(spark, path, "x", "absent").count() == 0
