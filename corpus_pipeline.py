@@ -15,8 +15,10 @@ from corpusloom.llm.arrow import held_out
 from corpusloom.llm.queries import table, vocabulary_path
 from corpusloom.session import materialize
 
-#: A document is rejected if no language has this mean marginal over its words.
-MIN_LANGUAGE_SCORE = 0.3
+#: A document is rejected if its best language has less than so many times the mean marginal of an even spread,
+LEAST_OVER_EVEN = 1.2
+#: or if less than this share of its words' 3-grams, beyond chance, occurred in training in any language.
+LEAST_KNOWN = 0.5
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -29,10 +31,12 @@ def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1. A document goes if it has no letters, or if no language has a mean marginal of ``MIN_LANGUAGE_SCORE``."""
+    """Operator 1. A document goes if it has no letters, if no language stands out (``LEAST_OVER_EVEN``), or if its words
+    are in none of the learned languages (``LEAST_KNOWN``): another language or script, or garbled text."""
     model = language_id.train(docs.where(~held_out()))
-    labelled = language_id.label_languages(_apart(docs), model, "in_text")
-    return _back(labelled.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
+    labelled = language_id.label_languages(_apart(docs), model, "in_text", evidence=True)
+    least = min(1.0, LEAST_OVER_EVEN / max(1, len(model.labels)))
+    return _back(labelled.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least) & (F.col("known") >= LEAST_KNOWN)), docs)
 
 
 def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
