@@ -158,6 +158,8 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     found = materialize(find_runs(docs), "debruijn-runs")
     anchors = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("h").alias("h_low"), F.max("h").alias("h_high")) \
                    .where("least < most").select("anchor", "least", (F.col("h_low") != F.col("h_high")).alias("branches"))
+    # sums are written before the joins: Spark splits a hot key only where both sides come straight from a shuffle
+    anchors = materialize(anchors, "debruijn-anchors")
     marked = materialize(found.join(anchors, "anchor"), "debruijn-marked").dropDuplicates(["id", "digest", "place", "n", "anchor"])
     source = F.min(F.struct("id", "digest", "place")).alias("s")
     # paths that don't branch
@@ -177,9 +179,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     forks = materialize(marked.where("branches"), "debruijn-forks")
     wanted = forks.groupBy("anchor", "h").agg(source, F.min("n").alias("n")).select("anchor", "h", "s.*", "n")
     edges = materialize(find_edges(docs, wanted), "debruijn-edges")
-    least = edges.groupBy("anchor", "edge").agg(F.min("id").alias("least"))
-    told = edges.select("anchor", "h", "off", "edge").join(least, ["anchor", "edge"]) \
-                .groupBy("anchor", "h").agg(F.collect_set(F.struct("off", "least")).alias("edges"))  # at most REACH
+    least = materialize(edges.groupBy("anchor", "edge").agg(F.min("id").alias("least")), "debruijn-least")
+    told = materialize(edges.select("anchor", "h", "off", "edge").join(least, ["anchor", "edge"]), "debruijn-told")
+    told = materialize(told.groupBy("anchor", "h").agg(F.collect_set(F.struct("off", "least")).alias("edges")), "debruijn-edges-told")  # at most REACH
     bits = F.aggregate("edges", F.lit(0).cast("long"), lambda m, e: F.when(e["least"] < F.col("id"), m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["off"].cast("int")))).otherwise(m))
     masked = forks.join(told, ["anchor", "h"]).select("id", "digest", "place", bits.alias("mask")).where("mask != 0")
     masks = masked.select("id", "digest", F.array(F.struct("place", F.lit(0).cast("long").alias("n"), "mask")).alias("spans"))
