@@ -5,14 +5,16 @@ shingles all runs of ``shingle`` words (repeats included; fewer words: the whole
 space. Each shingle has a 64-bit XXH64 (seed 42); a fingerprint bit is 1 if more than half of the
 shingles have it. No words: fingerprint zero, linked like any other.
 
-Search: the 64-bit code is cut into two 32-bit segments. Two codes within ``max_distance`` <= 2 bits
-differ in at most one bit of one segment each way, so for each segment the Hamming ball of radius 1
-inside it is enumerated and posted to a table under (the segment's value in the ball, the other
-segment's own value). Codes one bit apart meet under either code; codes two bits apart meet under a code
-between them, whether their bits fall in one segment or in both. All codes of one table entry lie in one
-ball of radius 1, so an entry holds at most 65 distinct codes however many copies a group has: no bucket
-can grow hot, and no cap is needed. Complete distances are verified, and an entry links its members to
-one of them instead of listing all pairs.
+Search: the 64-bit code is cut into two 32-bit segments, and a table has every distinct code under the value of
+each. Two codes within 2 bits differ in at most one bit of the upper segment, or not at all in the lower
+one. So a query code fetches the codes with its own lower value, with its own upper value, and with the upper values
+of the ball of one bit around it (only the values that add a bit: the other code fetches the rest), and
+verifies complete distances. For 1 bit both segments are fetched by their own values alone.
+
+A value that more than ``HOT`` codes share is split by the other segment: its codes are listed under that
+segment's ball of one bit, at most 33 codes an entry, so no bucket lists its pairs. Codes that share the hot value and
+are within 2 bits meet in an entry, which links its members to the smallest; a query whose value is one bit
+away, and may then differ in one more, fetches the one entry with its own other segment.
 
 Exact copies share a code and are one node; components are taken over distinct codes and joined back.
 
@@ -22,6 +24,8 @@ component's id; a component without any id has a null one. Repeated rows are kep
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -32,7 +36,8 @@ from ..session import materialize
 from .arrow import append_columns
 from .components import component_labels
 
-SEGMENTS = ((0, 32), (32, 64))
+#: Bits of a segment, and codes of a segment's value beyond which it is split by the other segment.
+SEGMENT, HOT = 32, 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -67,17 +72,31 @@ def links(codes: DataFrame, max_distance: int = 2) -> DataFrame:
         raise ValueError("max_distance is 0, 1 or 2: larger ones need larger balls")
     if max_distance == 0:
         return codes.select(F.col("code").alias("a"), F.col("code").alias("b")).limit(0)
-    flips = [1 << bit for low, high in SEGMENTS for bit in range(low, high)]
-    ball = F.array(F.col("code"), *[F.col("code").bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x)) for x in flips])
-    table = codes.select("code", F.explode(ball).alias("entry"))
-    entry = Window.partitionBy("entry")  # at most 65 rows
+    low = (1 << SEGMENT) - 1
+    upper, lower = F.shiftrightunsigned("code", SEGMENT), F.col("code").bitwiseAND(F.lit(low))
+    entry = lambda segment, value, other: F.struct(F.lit(segment).alias("segment"), value.alias("value"), other.alias("other"))
+    table = codes.select("code", F.inline(F.array(entry(0, upper, lower), entry(1, lower, upper))))
+    hot = table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n").withColumn("hot", F.lit(True))
+    table = materialize(table.join(hot, ["segment", "value"], "left").na.fill(False, ["hot"]), "simhash-table")
+    # queries: a code's own value in each segment, and the upper values with one bit more
+    bits = F.array(*[F.lit(1 << b) for b in range(SEGMENT)])
+    more = F.filter(F.transform(bits, lambda b: upper.bitwiseOR(b)), lambda v: v != upper) if max_distance == 2 else F.array().cast("array<long>")
+    ball = codes.select(F.col("code").alias("a"), F.explode(more).alias("value"), lower.alias("other")).withColumn("segment", F.lit(0))
+    own = table.select(F.col("code").alias("a"), "segment", "value", "other")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("code"))) <= max_distance
+    cold = table.where("not hot").select("segment", "value", "code")
+    found = [own.join(cold, ["segment", "value"]).where((F.col("a") < F.col("code")) & near), ball.join(cold, ["segment", "value"]).where(near)]
+    # hot values: their codes under the other segment's ball
+    around = F.concat(F.array("other"), F.transform(bits, lambda b: F.col("other").bitwiseXOR(b)))
+    split = table.where("hot").select("segment", "value", "code", "other", F.explode(around).alias("meet"))
     if max_distance == 2:  # all members of an entry are linked: each to the smallest
-        pairs = table.select(F.min("code").over(entry).alias("a"), F.col("code").alias("b"))
-    else:  # those next to the entry's own code, if that is a member
-        pairs = table.select("entry", F.bool_or(F.col("code") == F.col("entry")).over(entry).alias("own"), F.col("code").alias("b")) \
-                     .where("own").select(F.col("entry").alias("a"), "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return pairs.where((F.col("a") != F.col("b")) & (distance <= max_distance)).distinct()
+        least = F.min("code").over(Window.partitionBy("segment", "value", "meet"))  # at most 33 rows
+        found.append(split.select(least.alias("a"), "code").where((F.col("a") != F.col("code")) & near))
+    else:  # those one bit from a code that is there itself
+        found.append(own.withColumnRenamed("other", "meet").join(split, ["segment", "value", "meet"]).where((F.col("a") < F.col("code")) & near))
+    met = split.where("segment = 0").select("segment", "value", "code", F.col("meet").alias("other"))
+    found.append(ball.join(met, ["segment", "value", "other"]).where(near))
+    return reduce(DataFrame.union, [x.select("a", F.col("code").alias("b")) for x in found]).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -43,9 +44,12 @@ def test_fingerprints(spark):
     assert [S.fingerprint(t) for t in texts] == [naive_fingerprint(t) for t in texts]
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+@pytest.mark.parametrize("hot", [0, 3, 64])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     draw = random.Random(3)
     codes = {0, (1 << 64) - 1}
+    codes |= {7 << 40 | 1 << b for b in range(32)} | {5 << 20 | 1 << b for b in range(32, 64)}  # many codes share a segment
     for _ in range(25):
         c = draw.getrandbits(64)
         for _ in range(draw.randint(1, 8)):
@@ -72,6 +76,21 @@ def test_links_connect_what_all_pairs_connect(spark):
         assert linked.keys() == codes
 
 
+def test_a_segment_value_that_many_codes_share_lists_no_pairs(spark):
+    draw = random.Random(8)
+    codes = {9 << 32 | draw.getrandbits(32) for _ in range(3000)} | {8 << 32 | draw.getrandbits(32) for _ in range(3000)}
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    found = {(r.a, r.b) for r in S.links(df, 2).collect()}
+    ordered = sorted(codes)
+    assert all((a ^ b).bit_count() <= 2 for a, b in found) and len(found) < len(codes)
+    some = ordered[::50]
+    linked = {frozenset(x) for x in found}
+    for a in some:  # a pair within two bits is linked, if not by itself then over others
+        for b in ordered:
+            if 0 < (a ^ b).bit_count() <= 1:
+                assert frozenset((a, b)) in linked or any(frozenset((a, c)) in linked for c in codes)
+
+
 def test_labels_follow_long_chains(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (102, 101)], "a long, b long")
