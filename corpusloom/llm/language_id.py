@@ -134,20 +134,35 @@ def predict_words(model: Model, text: str) -> list[tuple[str, str, float]]:
     return [(lowered[s:e], model.labels[k], float(q)) for s, e, k, q in zip(b.begins, b.ends, p.argmax(1), p.max(1))]
 
 
-def label_languages(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (mean marginal of that label), ``n_words`` (runs of letters)
+def known_share(block: Block, model: Model, n_texts: int) -> np.ndarray:
+    """For each text, the share of its words' 3-grams (edges included) that training saw, beyond the share that chance
+    would give: 1 if all were seen, about 0 for a script or language that no label has. A bucket that training never
+    met has no weight. With very many labels most buckets are met and the measure loses its force, not its scale."""
+    i = ORDERS.index(3)
+    met = (model.grams[i * BUCKETS:(i + 1) * BUCKETS] != 0).any(1)
+    chance = met.mean()
+    sums = np.concatenate([[0], np.cumsum(met[block.grams(3)])])
+    first, last = block.spans(3)
+    seen, grams = (np.bincount(block.document, x, n_texts) for x in (sums[last] - sums[first], last - first))
+    share = seen / np.maximum(grams, 1)
+    return np.clip((share - chance) / max(1e-9, 1 - chance), 0.0, 1.0) if chance < 1 else (grams > 0).astype(float)
+
+
+def label_languages(df: DataFrame, model: Model, text_col: str = "text", evidence: bool = False) -> DataFrame:
+    """With ``evidence`` there is also ``known``, the ``known_share`` of the text. ``df`` with ``lang_pred``, ``score`` (mean marginal of that label), ``n_words`` (runs of letters)
     and ``n_switches`` (neighbouring words of a chain with different labels). One row per input row,
     no shuffle; the model (a few MB: its tables have fixed sizes) is broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()),
               StructField("n_words", LongType()), StructField("n_switches", LongType())]
+    fields += [StructField("known", DoubleType())] * evidence
 
     def label(texts):
         m, n = shared.value, len(texts)
         b = Block(texts)
         words = np.bincount(b.document, minlength=n)
         if not m.labels:
-            return {"lang_pred": [UND] * n, "score": np.zeros(n), "n_words": words, "n_switches": np.zeros(n, np.int64)}
+            return {"lang_pred": [UND] * n, "score": np.zeros(n), "n_words": words, "n_switches": np.zeros(n, np.int64), "known": np.zeros(n)}
         p, _, _ = b.forward_backward(b.scores(m), m.moves)
         share = np.stack([np.bincount(b.document, p[:, k], n) for k in range(len(m.labels))], 1)
         share = share / np.maximum(words, 1)[:, None]
@@ -158,7 +173,7 @@ def label_languages(df: DataFrame, model: Model, text_col: str = "text") -> Data
         switches = np.bincount(b.document[at], tags[at] != tags[at - 1], n).astype(np.int64)
         return {"lang_pred": [m.labels[k] if w else UND for k, w in zip(best, words)],
                 "score": np.clip(np.where(words > 0, share[np.arange(n), best], 0.0), 0.0, 1.0),
-                "n_words": words, "n_switches": switches}
+                "n_words": words, "n_switches": switches, "known": known_share(b, m, n) if evidence else None}
 
     return append_columns(df, text_col, fields, label)
 

@@ -1,4 +1,5 @@
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -40,13 +41,28 @@ def test_order_and_columns(stages):
 
 def test_filters_keep_clean_documents(spark, stages):
     docs, known, clean = (s.count() for s in stages[:3])
-    assert known == docs  # every document of the table has letters and a language
+    assert known >= 0.999 * docs  # the table's own languages stay
     labels = queries.table(spark, SF, "labels")
     gone = stages[1].join(stages[2], "doc_id", "left_anti").join(labels, "doc_id")
     n = {r.toxic: r["count"] for r in gone.groupBy("toxic").count().collect()}
     assert n.get(1, 0) > 20 and n.get(0, 0) <= 4 and clean > 0.85 * docs
 
 
+def test_foreign_and_garbled_documents_go(spark):
+    docs = queries.table(spark, SF, "documents")
+    rng = random.Random(1)
+    salad = lambda: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=rng.randint(3, 9))) for _ in range(60))
+    planted = ["Он открыл окно и посмотрел на улицу, где дети играли в мяч. " * 3, "春天来了，花园里的花都开了，孩子们在草地上玩耍。" * 4,
+               "오늘은 날씨가 좋아서 공원에 산책을 갔습니다. " * 4, "Þe ŵyġħť ŵąş ňöť ťħé şàṁę ąġąịň " * 5, salad(), salad()]
+    clean = [r.text for r in docs.where("length(text) > 200 and lang is not null").orderBy("doc_id").limit(40).collect()]
+    switched = [" ".join(a.split()[:40] + b.split()[:40]) for a, b in zip(clean, clean[1:])]
+    texts = planted + clean + switched
+    extra = spark.createDataFrame([(10 ** 9 + 4 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in P.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), SF).where("doc_id >= 1000000000").collect()}
+    gone = [t for i, t in enumerate(texts) if 10 ** 9 + 4 * i not in kept]
+    assert gone == planted
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages[2].select("doc_id", "text").collect()]
     codes = {i: simhash.fingerprint(t) for i, t in rows}
@@ -101,6 +117,6 @@ def test_extra_columns_keep_their_values(spark, edge_docs):
 def test_the_rest_works_without_the_operators(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 83 and 'pipeline' not in q, len(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) == 92 and 'pipeline' not in q, len(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120,
                    env={**os.environ, "PYTHONPATH": str(copy)})
