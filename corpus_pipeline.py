@@ -3,6 +3,11 @@
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet into the
 shared checkpoint folder and rereads it as the next stage's ``docs``. All but the last keep the columns
 of ``documents``.
+
+Null and empty texts have no letters and go in the first stage, as do documents in no learned language. Very long
+texts are judged whole by every stage. Ties go to the smallest doc_id (near-duplicates) or to the operators' own
+orders; repeated rows are near-duplicates of each other, so one of them stays. An empty table gives an empty result.
+Extra columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
