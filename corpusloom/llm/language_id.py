@@ -18,7 +18,9 @@ bounded sample of chains. A share of the training chains is spliced from two lan
 have a learned cost rather than an infinite one.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; equal scores go to the smaller
-label by code point; with no labelled row at all everything is ``und``. Repeated rows are scored alike.
+label by code point; with no labelled row at all everything is ``und``. Repeated rows are scored alike. A very long
+text is scored whole and alone in its block, with one number a character and label for each n-gram order. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -151,7 +153,7 @@ def known_share(block: Block, model: Model, n_texts: int) -> np.ndarray:
 def label_languages(df: DataFrame, model: Model, text_col: str = "text", evidence: bool = False) -> DataFrame:
     """With ``evidence`` there is also ``known``, the ``known_share`` of the text. ``df`` with ``lang_pred``, ``score`` (mean marginal of that label), ``n_words`` (runs of letters)
     and ``n_switches`` (neighbouring words of a chain with different labels). One row per input row,
-    no shuffle; the model (a few MB: its tables have fixed sizes) is broadcast."""
+    no shuffle; the model (fixed tables of 0.8 MB a label, and the lexicon of the bounded sample) is broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()),
               StructField("n_words", LongType()), StructField("n_switches", LongType())]

@@ -19,7 +19,8 @@ positions as the list holds, so the join's output is linear in the words.
 
 Edge cases: a null text is empty; a document without words or votes has zero counts, null positions,
 empty label strings and score 0. Documents with the same id are told apart by a digest of their text;
-repeated rows each get the row's result. Other columns of the input are not read.
+repeated rows each get the row's result. A very long text is a row a gram: nothing of it is held together but its words.
+An empty table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations

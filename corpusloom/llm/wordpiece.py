@@ -11,7 +11,8 @@ longest vocabulary token at the word's begin, then the longest continuing token,
 with continuing ones; a word that still can't be covered counts as one unknown token. All words of a block run through the automaton together.
 
 Edge cases: null, empty and white-space-only texts have no words and no tokens. Rows are passed through
-one by one, repeated ones alike.
+one by one, repeated ones alike; an empty table gives no rows. A very long text is counted whole; the words of a block
+advance together, so a single very long unbroken word takes a step a byte (about 80 microseconds).
 """
 
 from __future__ import annotations
