@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import text as T
 from ..session import materialize, ship_package
-from .prep import FIRST_WORD_ID
+from .prep import FIRST_WORD_ID, token_counts
 
 MARK = "▁"
 LETTERS = 8
@@ -61,8 +60,7 @@ def ordered(scores: dict[str, float]) -> dict[str, float]:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the column ``text``: distinct white-space words, marked."""
-    words = texts.select(F.explode(T.whitespace_tokens(T.py_strip(F.coalesce("text", F.lit(""))))).alias("word")).where("word != ''")
-    return words.groupBy(F.concat(F.lit(MARK), "word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return token_counts(texts, ("text",)).select(F.concat(F.lit(MARK), "token").alias("word"), "n")
 
 
 def seed_pieces(words: DataFrame, seeds: int) -> dict[str, float]:
@@ -70,7 +68,7 @@ def seed_pieces(words: DataFrame, seeds: int) -> dict[str, float]:
     starts = F.sequence(F.lit(1), F.length("word"))
     sizes = lambda i: F.sequence(F.lit(1), F.least(F.lit(LETTERS), F.length("word") - i + 1))
     cuts = F.flatten(F.transform(starts, lambda i: F.transform(sizes(i), lambda k: F.substr("word", i, k))))
-    pieces = words.select(F.explode(cuts).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = words.select(F.explode_outer(cuts).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = materialize(pieces.where("length(piece) = 1 or n > 1"), "subword-seeds")
     # the distinct characters, and a number of rows that the caller chose
     few = pieces.where("length(piece) = 1").union(pieces.where("length(piece) > 1").orderBy((F.col("n") * F.length("piece")).desc(), "piece").limit(seeds))
@@ -162,7 +160,9 @@ def train(texts: DataFrame, size: int, seeds: int | None = None, rounds: int = 2
     """A vocabulary of ``size`` pieces (more only if there are more distinct characters) learned from the column
     ``text`` of all rows."""
     ship_package(texts.sparkSession)
-    words = materialize(word_counts(texts), "subword-words")
+    # the table is small but a round works long on each word: files enough for every core
+    parts = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    words = materialize(word_counts(texts).repartition(parts, "word"), "subword-words")
     model = Subwords(seed_pieces(words, seeds or 10 * size))
     while model.scores:
         for _ in range(rounds):
