@@ -44,9 +44,11 @@ def embeddings(c: Curation) -> DataFrame:
 
 def comparison(c: Curation) -> DataFrame:
     """Comparison rows: the written cosines joined to the pair's texts."""
-    pairs = c.pairs().select("pair_id", F.col("en").alias("source"), F.col("fr").alias("target"))
+    # cleaned under the join: once per pair, not once per row
+    pairs = c.pairs().select("pair_id", F.col("en").alias("source"), F.col("fr").alias("target"),
+                             T.clean_common_patterns("fr").alias("_cleaned"))
     rows = c.stage("comparison", lambda: _comparison(c), "pair_id").join(pairs, "pair_id")
-    translated = F.when(F.col("translator_name").endswith("_finetuned"), T.clean_common_patterns("target")).otherwise(F.col("target"))
+    translated = F.when(F.col("translator_name").endswith("_finetuned"), F.col("_cleaned")).otherwise(F.col("target"))
     return rows.select("pair_id", "source", "target", F.lit("en").alias("source_lang"), F.lit("fr").alias("other_lang"),
                        "translator_name", translated.alias("translated_text"), *SCORES)
 
@@ -66,22 +68,25 @@ def _comparison(c: Curation) -> DataFrame:
     # float32 as stored (half the bytes in joins); dot products widen every element to double,
     # which is exact, so results equal a cast-first computation
     vec = emb.select("vec_id", F.col("embedding").alias("vec")).withColumn("norm", T.norm("vec"))
+    ids = ["src_vec_id", "tgt_vec_id", "trans_vec_ids"]
     samples = c.pairs().select(
-        "pair_id", (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"))
-    # source and target vectors are per sample: join and compare them before the fan-out
-    per_sample = (samples.join(vec.toDF("src_vec_id", "src_vec", "src_norm"), "src_vec_id")
-                         .join(vec.toDF("tgt_vec_id", "tgt_vec", "tgt_norm"), "tgt_vec_id")
-                         .withColumn("cosine_similarity_original_translation",
-                                     T.cosine_from_norms("src_vec", "tgt_vec", "src_norm", "tgt_norm")))
-    names = F.array(*[F.struct(F.lit(k).alias("translator_index"), F.lit(name).alias("translator_name"))
-                      for k, name in enumerate(COMPARED)])
-    rows = per_sample.select("*", F.inline(names)) \
-                     .withColumn("trans_vec_id", (F.col("pair_id") * 13 + F.col("translator_index")) % n_vec)
+        "pair_id", (F.col("pair_id") % n_vec).alias("src_vec_id"), ((F.col("pair_id") * 7 + 1) % n_vec).alias("tgt_vec_id"),
+        F.array(*[(F.col("pair_id") * 13 + k) % n_vec for k in range(len(COMPARED))]).alias("trans_vec_ids"))
+    # samples that name the same vectors have the same cosines: vectors meet once per distinct choice of ids, and
+    # samples are joined to the numbers. Source and target are compared before the fan-out
+    chosen = samples.select(*ids).distinct()
+    per_choice = (chosen.join(vec.toDF("src_vec_id", "src_vec", "src_norm"), "src_vec_id")
+                        .join(vec.toDF("tgt_vec_id", "tgt_vec", "tgt_norm"), "tgt_vec_id")
+                        .withColumn("cosine_similarity_original_translation",
+                                    T.cosine_from_norms("src_vec", "tgt_vec", "src_norm", "tgt_norm")))
+    names = F.array(*[F.lit(name) for name in COMPARED])
+    rows = per_choice.select("*", F.posexplode("trans_vec_ids").alias("translator_index", "trans_vec_id"))
     joined = rows.join(vec.toDF("trans_vec_id", "trans_vec", "trans_norm"), "trans_vec_id")
-    return joined.select(
-        "pair_id", "translator_name", "cosine_similarity_original_translation",
+    compared = joined.select(
+        *ids, F.get(names, F.col("translator_index")).alias("translator_name"), "cosine_similarity_original_translation",
         T.cosine_from_norms("src_vec", "trans_vec", "src_norm", "trans_norm").alias("cosine_similarity_vs_source"),
         T.cosine_from_norms("tgt_vec", "trans_vec", "tgt_norm", "trans_norm").alias("cosine_similarity_vs_target"))
+    return samples.join(compared, ids).select("pair_id", "translator_name", *SCORES)
 
 
 def survey(c: Curation) -> DataFrame:
