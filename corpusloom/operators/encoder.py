@@ -1,31 +1,39 @@
-"""Op 75, the default encoder: character-trigram counts as DataFrame operations (no Python worker)."""
+"""Op 75, the default encoder: character-trigram counts, made where the texts lie."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+from .plugins import trigram_counts
+
 
 def trigram_embeddings(texts: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
     """(text, vec) of the distinct texts: counts of character trigrams (two spaces added at either end) by
-    md5 slot, L2-normalised. Trigrams are counted where the text lies: only the distinct texts are shuffled."""
-    distinct = texts.select(F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
-    chars = distinct.select("text", F.split(F.concat(F.lit("  "), "text", F.lit("  ")), "").alias("c"))
-    slot = lambda gram: (F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    starts = F.sequence(F.lit(0), F.size("c") - 3)
-    slots = chars.select("text", F.array_sort(F.transform(starts, lambda i: slot(F.concat(
-        F.get("c", i), F.get("c", i + 1), F.get("c", i + 2))))).alias("slots"))
-    # in the sorted slots a slot's number is the distance from its first place to the next slot's
-    firsts = slots.select("text", "slots", F.array_distinct("slots").alias("own")) \
-                  .select("text", "own", F.concat(F.transform("own", lambda s: F.array_position("slots", s)), F.array((F.size("slots") + 1).cast("long"))).alias("first"))
-    counted = firsts.select("text", "own", F.transform("own", lambda s, i: (F.get("first", i + 1) - F.get("first", i)).cast("double")).alias("n"))
-    normed = counted.select("text", "own", "n", F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
-    at = lambda s: F.array_position("own", s)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.when(at(s) > 0, F.get("n", (at(s) - 1).cast("int")) / F.col("norm")).otherwise(F.lit(0.0)))
-    return normed.select(F.col("text").alias(text_col), vec.alias("vec"))
+    md5 slot, L2-normalised. Only the distinct texts are shuffled; a task hashes each distinct trigram of an
+    Arrow batch's texts once and counts with numpy."""
+    ship_package(texts.sparkSession)
+    distinct = texts.select(F.col(text_col).alias(text_col)).where(F.col(text_col).isNotNull()).distinct()
+
+    def slot(gram: str) -> int:
+        return int(hashlib.md5(gram.encode("utf-8")).hexdigest()[:8], 16) % dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = trigram_counts(batch.column(0).to_pylist(), dim, slot)
+            vec = n / np.sqrt((n * n).sum(axis=1, keepdims=True))
+            places = np.arange(0, n.size + 1, dim, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(places, vec.reshape(-1))], names=[text_col, "vec"])
+
+    return distinct.mapInArrow(run, f"`{text_col}` string, vec array<double>")
 
 
 def encoder(dim: int = 64):
     """The default encoder in the form that ``evalstats.best_variant`` takes."""
     return lambda texts: trigram_embeddings(texts, dim)
-
