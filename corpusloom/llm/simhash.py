@@ -85,6 +85,8 @@ def links(codes: DataFrame, max_distance: int = 2) -> DataFrame:
     ball = codes.select(F.col("code").alias("a"), F.explode(more).alias("value"), lower.alias("other")).withColumn("segment", F.lit(0))
     own = table.select(F.col("code").alias("a"), "segment", "value", "other")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("code"))) <= max_distance
+    # Spark sizes what is exploded, or read from these well packed files, far too low: none of it may be broadcast
+    own, ball = own.hint("merge"), ball.hint("merge")
     cold = table.where("not hot").select("segment", "value", "code")
     found = [own.join(cold, ["segment", "value"]).where((F.col("a") < F.col("code")) & near), ball.join(cold, ["segment", "value"]).where(near)]
     # hot values: their codes under the other segment's ball
