@@ -6,7 +6,7 @@ words and their counts; then
 
 1. every substring of up to ``LETTERS`` characters is counted (one exploded row a substring of a distinct word); the
    ``seeds`` best by count times length and all single characters are the first vocabulary;
-2. an EM round is one Spark aggregate: a task runs forward-backward over the lattices of its words and adds up the
+2. an EM round is one Spark aggregate: a task runs forward-backward over the lattices of a block of words at once and adds up the
    expected counts of pieces as whole numbers (units of 2**-16), so that they don't depend on partitions. The
    likelihood doesn't fall from round to round while the vocabulary stays;
 3. after ``rounds`` of them the pieces whose loss of likelihood is smallest go (a quarter at a time, never a
@@ -26,7 +26,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ MARK = "▁"
 LETTERS = 8
 UNIT = 1 << 16
 KEEP = 0.75
+#: Letters whose lattices are held at once; a longer word is alone.
+BLOCK_LETTERS = 100_000
 #: Ids: a byte b is FIRST_BYTE_ID + b, a piece follows the bytes.
 FIRST_BYTE_ID = FIRST_WORD_ID
 FIRST_PIECE_ID = FIRST_BYTE_ID + 256
@@ -77,33 +81,147 @@ def seed_pieces(words: DataFrame, seeds: int) -> dict[str, float]:
     return ordered({p: math.log(n / total) for p, n in counts.items()})
 
 
-def _add(logs: list[float]) -> float:
-    top = max(logs, default=-math.inf)
-    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in logs))
-
-
 def ending(word: str, end: int, scores: dict[str, float]) -> list[tuple[int, str, float]]:
     """The pieces of the word's lattice that end at ``end``: begin, piece, log-probability."""
     return [(i, p, s) for i in range(max(0, end - LETTERS), end) if (s := scores.get(p := word[i:end])) is not None]
 
 
+class Lattices:
+    """The pieces as a trie over code points, and forward-backward over the lattices of many words at once."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.pieces, nodes, self.node_piece = list(scores), {}, [-1]
+        for number, piece in enumerate(self.pieces):
+            at = 0
+            for c in piece:
+                key = at << 21 | ord(c)
+                if key not in nodes:
+                    nodes[key] = len(self.node_piece)
+                    self.node_piece.append(-1)
+                at = nodes[key]
+            self.node_piece[at] = number
+        self.keys, self.children = pa.array(nodes, pa.int64()), np.array(list(nodes.values()), np.int64)
+        self.node_piece = np.array(self.node_piece, np.int64)
+        self.scores = np.array([*scores.values(), -np.inf])  # the last is for what is no piece
+
+    def found(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The piece that begins at each code point with 1, 2, .. letters, -1 if none does or the word ends before."""
+        out, at, node = np.full((len(codes), LETTERS), -1, np.int32), np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for size in range(LETTERS):
+            if size:
+                more = left[at] > size
+                at, node = at[more], node[more]
+            child = pc.index_in(pa.array(node << 21 | codes[at + size]), value_set=self.keys)
+            known = np.asarray(child.is_valid())
+            at, node = at[known], self.children[child.drop_null().to_numpy()] if known.any() else node[:0]
+            out[at, size] = self.node_piece[node]
+        return out
+
+    def laid_out(self, words: list[str]) -> Layout:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        reach = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0)) + 2), "right")
+        offset = np.concatenate([[0], np.cumsum(reach[1:])])
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        place = np.arange(len(codes)) - np.repeat(begins, sizes)
+        spot = offset[place] + np.repeat(rank, sizes)
+        pieces = np.empty((LETTERS, len(codes)), np.int32)
+        pieces[:, spot] = self.found(codes, np.repeat(sizes, sizes) - place).T
+        return Layout(order, reach.tolist(), offset.tolist(), pieces, self.scores[pieces])
+
+    def expected(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' log-likelihoods, and for each word and piece of its lattice: word, piece, expected number."""
+        at = self.laid_out(words)
+        reach, offset, scores, longest = at.reach, at.offset, at.scores, len(at.reach) - 2
+        forward = [np.zeros(len(words))]
+        for end in range(1, longest + 1):
+            n = reach[end]
+            forward.append(_add([forward[i][:n] + scores[end - i - 1, offset[i]:offset[i] + n] for i in range(max(0, end - LETTERS), end)], n))
+        backward = [np.zeros(n) for n in reach[:-1]]  # 0 where a word ends
+        for begin in range(longest - 1, -1, -1):
+            n, low = reach[begin + 1], offset[begin]
+            ends = range(begin + 1, min(longest, begin + LETTERS) + 1)
+            backward[begin][:n] = _add([scores[end - begin - 1, low:low + reach[end]] + backward[end] for end in ends], n)
+        whole = backward[0]
+        size, spot = np.nonzero(at.pieces >= 0)
+        letters = np.array(reach[1:-1], np.int64)
+        place = np.repeat(np.arange(longest), letters)[spot]
+        rank = spot - np.array(offset, np.int64)[place]
+        node = np.concatenate([[0], np.cumsum(reach[:-1])])  # where the nodes before each letter begin
+        ways = np.concatenate(forward)[node[place] + rank] + scores[size, spot] + np.concatenate(backward)[node[place + size + 1] + rank]
+        some = np.flatnonzero(whole[rank] > -np.inf)
+        share = np.exp(ways[some] - whole[rank[some]])
+        # a piece that the word has more than once is one row
+        keys = rank[some] * len(self.pieces) + at.pieces[size[some], spot[some]]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        own = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        total = np.add.reduceat(share[order], own) if len(own) else share
+        found = np.empty(len(words))
+        found[at.order] = whole
+        return found, at.order[keys[own] // max(1, len(self.pieces))], keys[own] % max(1, len(self.pieces)), total
+
+    def segments(self, words: list[str]) -> list[list[int]]:
+        """The numbers of the pieces of each word's best segmentation: what ``segment`` finds; each word has one."""
+        at = self.laid_out(words)
+        reach, offset, scores, longest = at.reach, at.offset, at.scores, len(at.reach) - 2
+        best, used, last = [np.zeros(len(words))], [np.zeros(len(words), np.int64)], [np.zeros(0, np.int64)]
+        for end in range(1, longest + 1):
+            n = reach[end]
+            top, few, size = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for i in range(max(0, end - LETTERS), end):  # the longest last piece first: a tie keeps it
+                score, many = best[i][:n] + scores[end - i - 1, offset[i]:offset[i] + n], used[i][:n] + 1
+                better = (score > top) | (score == top) & (many < few)
+                top, few, size = np.where(better, score, top), np.where(better, many, few), np.where(better, end - i, size)
+            best.append(top)
+            used.append(few)
+            last.append(size)
+        out: list[list[int]] = [[] for _ in words]
+        # the pieces from each word's end to its begin, words that are as long at once
+        waiting = [np.arange(reach[end + 1], reach[end]) for end in range(longest + 1)]
+        order = at.order.tolist()
+        for end in range(longest, 0, -1):
+            rank = waiting[end]
+            size = last[end][rank]
+            piece = at.pieces[size - 1, np.array(offset)[end - size] + rank]
+            for r, p in zip(rank.tolist(), piece.tolist()):
+                out[order[r]].append(p)
+            for s in np.unique(size).tolist():
+                waiting[end - s] = np.concatenate([waiting[end - s], rank[size == s]])
+        return [x[::-1] for x in out]
+
+
+@dataclass
+class Layout:
+    """Words by falling length, letter by letter: the first letters of all words, then the second ones of those that
+    have one, .. ``reach`` is the number of words with at least 0, 1, .. letters, ``offset`` where each letter's begin."""
+    order: np.ndarray
+    reach: list[int]
+    offset: list[int]
+    pieces: np.ndarray
+    scores: np.ndarray
+
+
+def _add(logs: list[np.ndarray], n: int) -> np.ndarray:
+    """Log of the sum of the exponentials, of ``n`` numbers; a shorter array has none of the last ones."""
+    top, total = np.full(n, -np.inf), np.zeros(n)
+    for x in logs:
+        np.maximum(top[:len(x)], x, out=top[:len(x)])
+    top[top == -np.inf] = 0.0
+    for x in logs:
+        total[:len(x)] += np.exp(x - top[:len(x)])
+    with np.errstate(divide="ignore"):
+        return top + np.log(total)
+
+
 def expected(word: str, scores: dict[str, float]) -> tuple[float, dict[str, float]]:
     """The word's log-likelihood and the expected number of each piece, by forward-backward over its lattice."""
-    n, counts = len(word), {}
-    forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for end in range(1, n + 1):
-        forward[end] = _add([forward[i] + s for i, _, s in ending(word, end, scores)])
-    whole = forward[n]
-    if whole == -math.inf:
-        return whole, counts
-    for begin in range(n - 1, -1, -1):
-        ways = [(end, p, s) for end in range(begin + 1, min(n, begin + LETTERS) + 1) if (s := scores.get(p := word[begin:end])) is not None]
-        backward[begin] = _add([s + backward[end] for end, _, s in ways])
-        for end, p, s in ways:
-            share = forward[begin] + s + backward[end] - whole
-            if share > -math.inf:
-                counts[p] = counts.get(p, 0.0) + math.exp(share)
-    return whole, counts
+    lattices = Lattices(scores)
+    whole, _, pieces, totals = lattices.expected([word])
+    return float(whole[0]), {lattices.pieces[p]: t for p, t in zip(pieces.tolist(), totals.tolist()) if t > 0}
 
 
 def segment(word: str, scores: dict[str, float], without: str | None = None) -> tuple[float, list[str]]:
@@ -124,19 +242,33 @@ def segment(word: str, scores: dict[str, float], without: str | None = None) ->
 
 def _sums(scores: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, int] = {}
-        likelihood = 0
+        lattices, likelihood = Lattices(scores), 0
+        totals = np.zeros(len(scores), np.int64)
         for batch in batches:
-            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                whole, pieces = expected(word, scores)
-                likelihood += round(whole * UNIT) * n
-                for p, share in pieces.items():
-                    totals[p] = totals.get(p, 0) + round(share * UNIT) * n
-        totals[""] = likelihood
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["piece", "n"])
+            words, counts = (c.to_pylist() for c in batch.columns)
+            for low, high in _blocks(words):
+                whole, word, piece, share = lattices.expected(words[low:high])
+                n = np.array(counts[low:high], np.int64)
+                likelihood += int((np.rint(np.where(whole > -np.inf, whole, 0.0) * UNIT).astype(np.int64) * n).sum())
+                np.add.at(totals, piece, np.rint(share * UNIT).astype(np.int64) * n[word])
+        some = np.flatnonzero(totals)
+        names = ["", *[lattices.pieces[i] for i in some.tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([likelihood, *totals[some].tolist()], pa.int64())], names=["piece", "n"])
     return run
 
 
+def _blocks(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words with about ``BLOCK_LETTERS`` letters; a longer word is alone."""
+    low, size = 0, 0
+    for i, word in enumerate(words):
+        if i > low and size + len(word) > BLOCK_LETTERS:
+            yield low, i
+            low, size = i, 0
+        size += len(word)
+    if words:
+        yield low, len(words)
+
+
 def _round(words: DataFrame, scores: dict[str, float], history: list[tuple[int, float]]) -> tuple[dict[str, float], dict[str, float]]:
     """One EM round: new log-probabilities, and the expected counts they come from."""
     sums = words.mapInArrow(_sums(scores), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -174,10 +306,11 @@ def train(texts: DataFrame, size: int, seeds: int | None = None, rounds: int = 2
 
 
 class Encoder:
-    """Ids of texts; in the form that ``plugins.tokenize_with`` takes. Words are remembered within a task."""
+    """Ids of texts; in the form that ``plugins.tokenize_with`` takes. Words are remembered within a task; the new ones of
+    a batch are segmented together."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.known = scores, {}
+        self.scores, self.known, self.lattices = scores, {}, Lattices(scores)
         self.number = {p: FIRST_PIECE_ID + i for i, p in enumerate(scores)}
 
     def word(self, word: str) -> list[int]:
@@ -194,9 +327,32 @@ class Encoder:
     def text(self, text: str) -> list[int]:
         return [i for w in text.split() for i in self.word(w)]
 
+    def learn(self, words: set[str]) -> None:
+        """Remembers ``words``."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > 200_000:
+            self.known.clear()
+            new = list(words)
+        whole = [w for w in new if MARK in self.number and all(c in self.number for c in w)]
+        for low, high in _blocks(whole):
+            found = self.lattices.segments([MARK + w for w in whole[low:high]])
+            self.known.update(zip(whole[low:high], ([FIRST_PIECE_ID + i for i in ids] for ids in found)))
+
     def __call__(self, texts: list[str], max_len: int) -> list[list[int]]:
         from .prep import EOS_ID
-        return [self.text(t)[:max_len - 1] + [EOS_ID] for t in texts]
+        most = max_len - 1
+        # a word has an id at least: those beyond the limit needn't be looked at
+        split = [t.split(None, most)[:most] for t in texts] if most >= 0 else [t.split() for t in texts]
+        self.learn({w for words in split for w in words})
+        out = []
+        for words in split:
+            ids: list[int] = []
+            for w in words:
+                ids += self.known.get(w) or self.word(w)
+                if 0 <= most <= len(ids):
+                    break
+            out.append(ids[:most] + [EOS_ID])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         names = list(self.scores)
